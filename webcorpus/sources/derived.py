@@ -5,7 +5,8 @@ under test sees the same input on both sides. In Spark the base tables are passe
 DataFrame parameters (``spark.sql(text, pages=df)``): no global view names.
 
 * ``url_list``      URL batch with scheme removed, blanks added and unknown hosts (SRC2)
-* ``fetch_log``     request log per engine attempt, from ``events`` (SRC8)
+* ``fetch_log``     request log per engine attempt, from ``events`` (SRC8); ts stays
+                    wall-clock TIMESTAMP_NTZ (UTC) so reports do not depend on the session zone
 * ``requests``      search requests from user turns of ``conversations`` (FLT2)
 * ``engine_results`` ranked results per (query, engine) from documents x pages (SET1)
 * ``link_edges``    page -> page edges (JON1); no stored link points to a stored page
@@ -52,10 +53,13 @@ SELECT CAST(page_id AS INT) AS ord,
 FROM {pages}""",
     "fetch_log": f"""
 SELECT event_id AS request_id,
-       CAST(ts AS TIMESTAMP) AS ts,
+       ts,
        user_id AS query_id,
        {_ENGINE_CASE} AS engine,
        CASE event_id % 3 WHEN 0 THEN 'https' WHEN 1 THEN 'http' ELSE 'socks5' END AS protocol,
+       (CASE event_id % 3 WHEN 0 THEN 'https' WHEN 1 THEN 'http' ELSE 'socks5' END) || '://proxy'
+           || CAST(user_id % 50 AS STRING) || '.example.net:8080' AS proxy,
+       CASE user_id % 3 WHEN 0 THEN 'list_a' WHEN 1 THEN 'list_b' ELSE 'manual' END AS proxy_source,
        CAST(event_id % 3 + 1 AS INT) AS attempt_no,
        event_type <> 'error' AS success,
        CAST(CASE WHEN event_type = 'error' OR event_id % 11 = 0 THEN 0 ELSE event_id % 10 + 1 END AS INT) AS n_results,
@@ -125,5 +129,5 @@ def duck_cte(*names: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived view as a Spark DataFrame."""
-    frames = {b: tables.read_table(spark, sf_dir, b) for b in BASES[name]}
+    frames = {b: tables.read_table(spark, sf_dir, b, cast_ts=False) for b in BASES[name]}
     return spark.sql(VIEWS[name], **frames)

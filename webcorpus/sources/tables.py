@@ -51,13 +51,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one given table with its declared schema (no inference pass)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, cast_ts: bool = True) -> DataFrame:
+    """Read one given table with its declared schema (no inference pass).
+    ``cast_ts=False`` keeps ``events.ts`` as wall-clock ``TIMESTAMP_NTZ``."""
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     df = reader.parquet(table_path(sf_dir, name))
-    if name == "events":
+    if name == "events" and cast_ts:
         df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     return df
 
