@@ -72,10 +72,10 @@ FROM {{events}}""",
 SELECT CAST(conv_id AS BIGINT) AS query_id,
        CASE WHEN conv_id % 13 = 0 THEN ''
             WHEN conv_id % 17 = 0 THEN repeat(text, 6)
-            WHEN conv_id % 4 = 0 THEN regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){0,1})', 1)
-            WHEN conv_id % 4 = 1 THEN regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){0,2})', 1)
-            WHEN conv_id % 4 = 2 THEN regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){0,3})', 1)
-            ELSE regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){0,4})', 1) END AS query,
+            WHEN conv_id % 4 = 0 THEN regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){{0,1}})', 1)
+            WHEN conv_id % 4 = 1 THEN regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){{0,2}})', 1)
+            WHEN conv_id % 4 = 2 THEN regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){{0,3}})', 1)
+            ELSE regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){{0,4}})', 1) END AS query,
        CASE WHEN conv_id % 19 = 0 THEN 'maps'
             WHEN conv_id % 4 = 0 THEN 'all' WHEN conv_id % 4 = 1 THEN 'news'
             WHEN conv_id % 4 = 2 THEN 'images' ELSE 'videos' END AS search_type,
@@ -96,7 +96,7 @@ FROM (SELECT doc_id,
                   WHEN 2 THEN 'bing' ELSE 'yahoo' END AS engine,
              CAST(floor(doc_id / 160) + 1 AS INT) AS rank,
              CASE WHEN doc_id % 37 = 0 THEN 'images' ELSE 'web' END AS type,
-             regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){0,5})', 1) AS title,
+             regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){{0,5}})', 1) AS title,
              substr(text, 1, 160) AS snippet,
              ((doc_id % 40) * 3 + CAST(floor(doc_id / 160) AS BIGINT)) % 97 AS page_key
       FROM {documents}) r
