@@ -1,0 +1,109 @@
+"""Token-bucket quota replay over a request log (STR1, batch form).
+
+Rule (per key): capacity = requests per minute, refill rate = capacity / 60 per
+second, the bucket starts full at the key's first request; each request refills by
+the elapsed time (capped at capacity) and then takes one token or is refused (a
+refusal still moves the clock).
+
+Exact parallelism: whenever the gap between two requests of a key is at least
+``capacity / rate`` seconds, the bucket is full again whatever happened before, so the
+log splits into independent segments at those gaps. Segment boundaries come from a
+per-(key, minute) aggregate and a window over those minute rows (bounded by the time
+range, not by the row count); segments are hashed into buckets and each bucket is one
+``applyInPandas`` call that replays its segments with a NumPy loop. A key that never pauses for ``capacity / rate`` seconds
+forms one segment: the rule is sequential by definition, so such a burst is replayed
+in order in one task (documented limit).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+# --- fixed values -----------------------------------------------------------------
+SEARCH_REQUESTS_PER_MINUTE = 120
+WEBSITE_REQUESTS_PER_MINUTE = 60
+# ---------------------------------------------------------------------------------
+
+OUT_SCHEMA = "key string, request_id long, admitted boolean, tokens double"
+
+
+def epoch_seconds(ts_col) -> "F.Column":
+    """Seconds since the epoch with microseconds; a TIMESTAMP_NTZ reads as UTC."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_col})") / 1_000_000.0
+
+
+def replay_bucket(t: np.ndarray, capacity: float, rate: float, tokens: float | None = None,
+                  last_t: float | None = None):
+    """Replay one ordered sequence. Returns (admitted, tokens_after, tokens, last_t)."""
+    n = len(t)
+    admitted = np.zeros(n, dtype=bool)
+    after = np.zeros(n, dtype=np.float64)
+    if tokens is None:
+        tokens, last_t = float(capacity), float(t[0]) if n else 0.0
+    for i in range(n):
+        elapsed = max(0.0, t[i] - last_t)
+        tokens = min(capacity, tokens + elapsed * rate)
+        last_t = t[i]
+        if tokens >= 1:
+            tokens -= 1
+            admitted[i] = True
+        after[i] = tokens
+    return admitted, after, tokens, last_t
+
+
+def quota_replay(log: DataFrame, key: str = "engine", requests_per_minute: int = SEARCH_REQUESTS_PER_MINUTE,
+                 ts: str = "ts", order_id: str = "request_id") -> DataFrame:
+    """Mark every request admitted or over quota. Returns (key, request_id, admitted, tokens)."""
+    capacity = float(requests_per_minute)
+    rate = requests_per_minute / 60.0
+    full_gap = capacity / rate
+    ev = log.select(F.col(key).cast("string").alias("key"), F.col(order_id).alias("request_id"),
+                    epoch_seconds(ts).alias("t"))
+    ev = ev.withColumn("minute", F.floor(F.col("t") / 60).cast("long"))
+    # minute rows: first and last time per (key, minute); the previous minute's last time
+    mins = ev.groupBy("key", "minute").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+    w_min = Window.partitionBy("key").orderBy("minute")
+    mins = mins.withColumn("prev_last", F.lag("t_last").over(w_min))
+    # inside a minute, gaps >= full_gap (60 s at the defaults) cannot occur when full_gap >= 60;
+    # for smaller gaps the per-minute rows are refined with a window local to the minute.
+    w_local = Window.partitionBy("key", "minute").orderBy("t", "request_id")
+    ev = ev.withColumn("prev_t", F.lag("t").over(w_local))
+    ev = ev.join(mins.select("key", "minute", "prev_last"), ["key", "minute"])
+    prev = F.coalesce(F.col("prev_t"), F.col("prev_last"))
+    ev = ev.withColumn("starts", prev.isNull() | (F.col("t") - prev >= full_gap))
+    starts = ev.filter("starts").select("key", F.col("t").alias("seg_start"))
+    # segment of a row = latest segment start at or before it, found per minute then carried
+    seg_min = (starts.withColumn("minute", F.floor(F.col("seg_start") / 60).cast("long"))
+               .groupBy("key", "minute").agg(F.max("seg_start").alias("last_start_in_min")))
+    carried = (mins.select("key", "minute").join(seg_min, ["key", "minute"], "left")
+               .withColumn("carry", F.max("last_start_in_min").over(
+                   w_min.rowsBetween(Window.unboundedPreceding, -1))))
+    ev = ev.join(carried.select("key", "minute", "carry"), ["key", "minute"])
+    w_seg = w_local.rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumn("local_start", F.max(F.when(F.col("starts"), F.col("t"))).over(w_seg))
+    ev = ev.withColumn("segment", F.coalesce("local_start", "carry"))
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one call handles every segment hashed to this bucket, each replayed on its own
+        pdf = pdf.sort_values(["key", "segment", "t", "request_id"], kind="mergesort")
+        t = pdf["t"].to_numpy(np.float64)
+        seg = pdf[["key", "segment"]]
+        new = (seg.ne(seg.shift())).any(axis=1).to_numpy()
+        bounds = np.append(np.flatnonzero(new), len(pdf))
+        adm = np.zeros(len(pdf), dtype=bool)
+        after = np.zeros(len(pdf), dtype=np.float64)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            adm[a:b], after[a:b], _, _ = replay_bucket(t[a:b], capacity, rate)
+        return pd.DataFrame({"key": pdf["key"].to_numpy(), "request_id": pdf["request_id"].to_numpy(),
+                             "admitted": adm, "tokens": after})
+
+    # Segments are independent, so they are spread over hash buckets (a hot key's
+    # segments land in many buckets) and each bucket is one Arrow batch in Python.
+    n_buckets = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return (ev.select("key", "segment", "request_id", "t")
+            .withColumn("bucket", F.pmod(F.hash("key", "segment"), F.lit(n_buckets)))
+            .groupBy("bucket").applyInPandas(replay, OUT_SCHEMA)
+            .withColumn("tokens", F.round("tokens", 6)))
