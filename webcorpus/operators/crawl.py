@@ -68,12 +68,10 @@ def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int =
                .withColumn("rn", F.row_number().over(w))
                .filter(F.col("rn") <= F.lit(max_pages) - F.col("n_visited"))
                .select("seed_id", "page_id", "seed_domain", F.lit(depth).alias("depth"), "path"))
-        if checkpoint:
-            new = new.checkpoint()
         visited = visited.unionByName(new)
         if checkpoint:
             visited = visited.checkpoint()
-        frontier = new
+        frontier = visited.filter(F.col("depth") == depth)
     w_all = Window.partitionBy("seed_id").orderBy("depth", "path")
     return (visited.withColumn("crawl_order", F.row_number().over(w_all))
             .filter(F.col("crawl_order") <= max_pages)

@@ -7,9 +7,10 @@ language, and the top ``num_results`` per query are returned. A batch of queries
 DataFrame (SRCH2), so one plan answers all of them.
 
 Plan shape:
-* document lengths: one narrow projection (no shuffle);
-* postings: (doc, term) pairs are semi-joined with the batch's query terms *before*
-  the term-frequency aggregate, so only terms someone asked for are counted;
+* two passes over the corpus: one for the per-language statistics (N, average
+  length), one for the postings, where (doc, term) pairs carry the document length
+  and are semi-joined with the batch's query terms *before* the term-frequency
+  aggregate, so only terms someone asked for are counted;
 * corpus statistics per language (N, average length) and document frequency per
   (language, term) are aggregates; the score is a join on (language, term) and a sum
   per (query, doc). A very common term is a skewed join key: AQE's skew-join split
@@ -46,17 +47,19 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, doc_key: str = "doc_id",
     ``corpus(doc_key, text, lang)``; ``queries(query_id, query, language, num_results)``.
     Returns ``(query_id, rank, doc_key, score)`` with ``score`` rounded to 6 places."""
     docs = corpus.select(F.col(doc_key).alias("doc"), F.col(lang).alias("lang"), tokens(F.col(text)).alias("toks"))
-    doc_len = docs.select("doc", "lang", F.size("toks").alias("dl"))
-    stats = doc_len.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    # pass 1: corpus statistics from document lengths (partial aggregates, tiny shuffle)
+    stats = (docs.select("lang", F.size("toks").alias("dl")).groupBy("lang")
+             .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
     q_terms = (queries.select("query_id", F.col("language").alias("lang"),
                               F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
                .distinct())
     wanted = q_terms.select("lang", "term").distinct()
-    postings = (docs.select("doc", "lang", F.explode("toks").alias("term"))
+    # pass 2: postings of wanted terms only, each carrying its document's length
+    postings = (docs.select("doc", "lang", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .join(wanted, ["lang", "term"], "left_semi")
-                .groupBy("doc", "lang", "term").agg(F.count(F.lit(1)).alias("tf")))
+                .groupBy("doc", "lang", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
     df_t = postings.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
-    scored_terms = (postings.join(df_t, ["lang", "term"]).join(doc_len, ["doc", "lang"]).join(stats, "lang")
+    scored_terms = (postings.join(df_t, ["lang", "term"]).join(stats, "lang")
                     .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
                     .withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1)
                                 / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))))

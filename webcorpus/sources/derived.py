@@ -129,5 +129,6 @@ def duck_cte(*names: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived view as a Spark DataFrame."""
-    frames = {b: tables.read_table(spark, sf_dir, b, cast_ts=False) for b in BASES[name]}
+    keys = {"events": "event_id", "pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}
+    frames = {b: tables.spread(tables.read_table(spark, sf_dir, b, cast_ts=False), keys[b]) for b in BASES[name]}
     return spark.sql(VIEWS[name], **frames)

@@ -63,12 +63,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, cast_ts: bool = True
     return df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row work (regex over whole pages and texts) every core.
+
+    A scan yields one task per file split; a small input stored as one row group is a
+    single task. When the scan has fewer partitions than the cluster's default
+    parallelism, hash-partition on the row key; a large input (many splits) is left
+    as scanned, so at scale this adds no exchange."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages")
+    return spread(read_table(spark, sf_dir, "pages"), "page_id")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
