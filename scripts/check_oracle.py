@@ -7,7 +7,6 @@ Compares row count, column names and an order-insensitive multiset of rows
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
@@ -17,31 +16,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 
 from webcorpus.plans import catalog  # noqa: E402
+from webcorpus.plans.verify import canonical  # noqa: E402
 from webcorpus.session import get_session  # noqa: E402
 from webcorpus.sources.tables import TABLES  # noqa: E402
 
 
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 6)
-    if hasattr(v, "tolist"):
-        v = v.tolist()
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, norm(x)) for k, x in v.items()))
-    return v
-
-
-def rows_of(cols, records):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted((tuple(norm(r[i]) for i in order) for r in records), key=repr)
-
-
 def main():
     args = sys.argv[1:]
     sf_dir = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
@@ -83,7 +62,7 @@ def main():
             print(f"FAIL {name}: columns spark={scols} duck={dcols}")
             bad += 1
             continue
-        a, b = rows_of(scols, srows), rows_of(dcols, drows)
+        a, b = canonical(scols, srows), canonical(dcols, drows)
         if a == b:
             print(f"OK   {name}: {len(a)} rows {ts:.1f}s")
         else:
