@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import serp as SP
 from ..operators import serp as SX
 from ..sources import derived
@@ -33,3 +35,19 @@ SELECT query_id, engine, page_no,
 FROM d WHERE dup = 1 OR engine = 'duckduckgo'""")
 def serp_web_roundtrip(spark, sf_dir):
     return SX.extract_results(_captures(spark, sf_dir))
+
+
+@register("provider_searxng_roundtrip", oracle=f"""
+{derived.duck_cte('engine_results')}
+SELECT query_id, engine, CAST(floor((rank - 1) / 10) AS INT) AS page_no,
+       CAST(row_number() OVER (PARTITION BY query_id, engine, CAST(floor((rank - 1) / 10) AS INT) ORDER BY rank) AS INT) AS pos,
+       title, coalesce(url, '') AS url, snippet, coalesce(url, '') AS displayed_url, engine AS engine_sources
+FROM engine_results""")
+def provider_searxng_roundtrip(spark, sf_dir):
+    from ..sources import providers as PV
+    docs = PV.render_searxng(derived.view(spark, sf_dir, "engine_results"))
+    out = docs.select("query_id", "engine", "page_no",
+                      F.posexplode(PV.searxng_results(F.col("json"), 10)).alias("pos", "r"))
+    return out.select("query_id", "engine", "page_no", (F.col("pos") + 1).cast("int").alias("pos"),
+                      "r.title", "r.url", "r.snippet", "r.displayed_url",
+                      F.array_join("r.engine_sources", ",").alias("engine_sources"))
