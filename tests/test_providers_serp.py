@@ -73,3 +73,13 @@ def test_serp_quirks(spark):
     assert got["bing"] == [(1, "Direct one", "https://d.org/", "Snippet text long enough here")]
     # duckduckgo html results are not de-duplicated
     assert [g[2] for g in got["duckduckgo"]] == ["https://e.org/", "https://e.org/"]
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from webcorpus.sources import sinks
+    df = spark.createDataFrame([(1, "google", "a.org"), (2, "bing", "b.org")], "id long, engine string, domain string")
+    sinks.write_table(sinks.with_domain_bucket(df), str(tmp_path / "t"), ["engine"])
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r["id"] for r in back.collect()) == [1, 2] and "domain_bucket" in back.columns
+    docs = sinks.as_documents(df, ["id"]).collect()
+    assert json.loads(docs[0]["document"])["engine"] in ("google", "bing")
