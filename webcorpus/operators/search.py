@@ -55,8 +55,12 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, doc_key: str = "doc_id",
                .distinct())
     wanted = q_terms.select("lang", "term").distinct()
     # pass 2: postings of wanted terms only, each carrying its document's length
-    postings = (docs.select("doc", "lang", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    # explode_outer: no inferred non-empty filter (it would tokenise every text twice);
+    # the explicit exchange on doc is shared by both consumers of the postings (term
+    # frequencies and document frequencies), so the corpus is tokenised once here.
+    postings = (docs.select("doc", "lang", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
                 .join(wanted, ["lang", "term"], "left_semi")
+                .repartition("doc")
                 .groupBy("doc", "lang", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
     df_t = postings.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
     scored_terms = (postings.join(df_t, ["lang", "term"]).join(stats, "lang")
