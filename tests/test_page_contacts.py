@@ -102,3 +102,12 @@ def test_social_and_address(spark):
     s = one(spark, C.social_media(x), text)
     assert set(s) == {"facebook", "twitter", "linkedin", "instagram", "youtube"}
     assert one(spark, C.addresses(x), text) == ["12 Main Street, Springfield, IL 62704"]
+
+
+def test_paragraph_context(spark):
+    html = (f"<body><h1>Top</h1><div><h2>Inner</h2><p>{LONG}</p></div>"
+            f"<div><section><h3>Gone</h3></section><p>{LONG} b</p></div><p>{LONG} c</p></body>")
+    ps = body(spark, html, lambda b, u: P.paragraphs(b))
+    assert [(p["text"][-2:], p["context"]) for p in ps] == [("y.", "Inner"), (" b", "Top"), (" c", "Top")]
+    none = body(spark, f"<body><p>{LONG}</p><h2>After</h2></body>", lambda b, u: P.paragraphs(b))
+    assert none[0]["context"] is None

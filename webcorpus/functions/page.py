@@ -29,6 +29,10 @@ P_START = r"(?i)<p\b[^>]*>"
 P_END = (r"(?i)</p\s*>|</?(?:address|article|aside|blockquote|body|details|div|dl|dd|dt|"
          r"fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|html|li|main|"
          r"menu|nav|ol|pre|section|table|tbody|thead|tfoot|td|th|tr|ul)\b[^>]*>")
+# Tokens for the paragraph-context fold: whole headings, block container tags, <p> starts.
+CONTEXT_TOKENS = ("(?is)" + "|".join(rf"<h{k}\b[^>]*>.*?</h{k}\s*>" for k in range(1, 7))
+                  + r"|</?(?:address|article|aside|blockquote|body|details|div|dl|dd|dt|fieldset|figure|form|"
+                    r"li|main|ol|section|table|tbody|thead|tfoot|td|th|tr|ul)\b[^>]*>|<p\b[^>]*>")
 SEG_OPEN = "\u0001"
 SEG_CLOSE = "\u0002"
 SEGMENT = r"\x01([^\x01\x02]*)"
@@ -108,10 +112,45 @@ def paragraph_texts(body: Column, min_length: int = MIN_PARAGRAPH_LENGTH) -> Col
                     lambda t: F.length(t) >= min_length)
 
 
+def paragraph_contexts(body: Column) -> Column:
+    """EXT6: for every ``<p>`` in order, the nearest preceding heading that is a sibling
+    of the paragraph or of one of its ancestors (null when none).
+
+    One fold over the page's tokens (headings, block container open/close tags, ``<p>``
+    starts) keeps a stack of (depth, heading text); a closing container drops the
+    headings recorded inside it, so the last entry of the stack is the context."""
+    toks = F.regexp_extract_all(body, F.lit(CONTEXT_TOKENS), 0)
+    empty = F.struct(F.lit(0).alias("depth"),
+                     F.array().cast("array<struct<d:int,t:string>>").alias("stack"),
+                     F.array().cast("array<string>").alias("ctx"))
+
+    def step(acc, tok):
+        d, stack = acc["depth"], acc["stack"]
+        heading = tok.rlike(r"(?is)^<h[1-6]\b")
+        closing = tok.startswith("</")
+        para = tok.rlike(r"(?is)^<p\b")
+        top = F.try_element_at(stack, F.lit(-1))["t"]
+        return (F.when(heading, F.struct(d.alias("depth"),
+                                         F.concat(stack, F.array(F.struct(d.alias("d"), inner_text(tok).alias("t"))))
+                                         .alias("stack"), acc["ctx"].alias("ctx")))
+                .when(closing, F.struct((d - 1).alias("depth"), F.filter(stack, lambda e: e["d"] <= d - 1).alias("stack"),
+                                        acc["ctx"].alias("ctx")))
+                .when(para, F.struct(d.alias("depth"), stack.alias("stack"),
+                                     F.concat(acc["ctx"], F.array(top)).alias("ctx")))
+                .otherwise(F.struct((d + 1).alias("depth"), stack.alias("stack"), acc["ctx"].alias("ctx"))))
+
+    return F.aggregate(toks, empty, step)["ctx"]
+
+
 def paragraphs(body: Column, min_length: int = MIN_PARAGRAPH_LENGTH) -> Column:
-    """EXT5 record form: ``array<struct<text, length>>``."""
-    return F.transform(paragraph_texts(body, min_length),
-                       lambda t: F.struct(t.alias("text"), F.length(t).alias("length")))
+    """EXT5 + EXT6 record form: ``array<struct<text, length, context>>``."""
+    segs = F.transform(paragraph_segments(body), inner_text)
+    ctx = paragraph_contexts(body)
+    aligned = F.size(segs) == F.size(ctx)
+    recs = F.transform(segs, lambda t, i: F.struct(
+        t.alias("text"), F.length(t).alias("length"),
+        F.when(aligned, ctx[i]).alias("context")))
+    return F.filter(recs, lambda r: r["length"] >= min_length)
 
 
 def main_content(body: Column) -> Column:
@@ -154,9 +193,16 @@ def raw_text(body: Column) -> Column:
     return decode_entities(F.regexp_replace(body, ANY_TAG, ""))
 
 
-def _first_by(arr: Column, key: str) -> Column:
-    """Keep the first element per ``key`` field, preserving order."""
-    return F.filter(arr, lambda x, i: ~F.exists(F.slice(arr, 1, i), lambda y: y[key] == x[key]))
+def _first_by(arr: Column, key: str, elem_type: str) -> Column:
+    """Keep the first element per ``key`` field, preserving order. One fold over the
+    array (the array expression is evaluated once, not once per element)."""
+    init = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{elem_type}>").alias("out"))
+
+    def step(acc, x):
+        dup = F.array_contains(acc["seen"], x[key])
+        return F.when(dup, acc).otherwise(F.struct(F.concat(acc["seen"], F.array(x[key])).alias("seen"),
+                                                   F.concat(acc["out"], F.array(x)).alias("out")))
+    return F.aggregate(arr, init, step)["out"]
 
 
 def links(body: Column, base_url: Column) -> Column:
@@ -171,7 +217,7 @@ def links(body: Column, base_url: Column) -> Column:
                     & ~r["href"].startswith("javascript:") & ~r["href"].startswith("mailto:"))
     resolved = F.transform(keep, lambda r: F.struct(resolve_url(r["href"], base_url).alias("url"),
                                                     r["text"].alias("text"), r["title"].alias("title")))
-    return _first_by(resolved, "url")
+    return _first_by(resolved, "url", "struct<url:string,text:string,title:string>")
 
 
 def images(body: Column, base_url: Column) -> Column:

@@ -182,3 +182,35 @@ SELECT {D.registrable_domain('url')} AS domain, count(*) AS pages,
 FROM b GROUP BY 1""")
 def domain_rollup(spark, sf_dir):
     return OP.domain_rollup(tables.pages(spark, sf_dir))
+
+
+def _contexts_sql(b: str) -> str:
+    """EXT6 in DuckDB: the same token fold with list_reduce and an initial state."""
+    toks = f"regexp_extract_all({b}, {D.q(P.CONTEXT_TOKENS)}, 0)"
+    init = "{'depth': 0, 'stack': []::STRUCT(d INTEGER, t VARCHAR)[], 'ctx': []::VARCHAR[]}"
+    heading = (f"{{'depth': acc.depth, 'stack': list_append(acc.stack, {{'d': acc.depth, 't': {D.inner_text('tok')}}}), "
+               f"'ctx': acc.ctx}}")
+    closing = "{'depth': acc.depth - 1, 'stack': list_filter(acc.stack, lambda e: e.d <= acc.depth - 1), 'ctx': acc.ctx}"
+    para = "{'depth': acc.depth, 'stack': acc.stack, 'ctx': list_append(acc.ctx, acc.stack[-1].t)}"
+    other = "{'depth': acc.depth + 1, 'stack': acc.stack, 'ctx': acc.ctx}"
+    step = (f"lambda acc, tok: CASE WHEN regexp_matches(tok, {D.q(r'(?is)^<h[1-6]\b')}) THEN {heading} "
+            f"WHEN starts_with(tok, '</') THEN {closing} "
+            f"WHEN regexp_matches(tok, {D.q(r'(?is)^<p\b')}) THEN {para} ELSE {other} END")
+    return f"list_reduce({toks}, {step}, {init}).ctx"
+
+
+def _segments_sql(b: str) -> str:
+    marked = D.rr(D.rr(b, P.P_START, "chr(1)"), P.P_END, "chr(2)")
+    return f"list_transform(regexp_extract_all({marked}, {D.q(P.SEGMENT)}, 1), lambda s: {D.inner_text('s')})"
+
+
+@register("page_paragraph_context", oracle=f"""
+{BODY_CTE},
+x AS (SELECT page_id, {_segments_sql('body')} AS segs, {_contexts_sql('body')} AS ctx FROM b),
+y AS (SELECT page_id, list_filter(list_transform(segs, lambda t, i: {{'text': t, 'context': CASE WHEN len(segs) = len(ctx) THEN ctx[i] END}}),
+                                  lambda r: length(r.text) >= {P.MIN_PARAGRAPH_LENGTH}) AS recs FROM x)
+SELECT page_id, CAST(generate_subscripts(recs, 1) AS BIGINT) AS pos, unnest(recs).context AS context FROM y""")
+def page_paragraph_context(spark, sf_dir):
+    b = OP.with_body(tables.pages(spark, sf_dir))
+    return (b.select("page_id", F.posexplode(P.paragraphs(F.col("body"))).alias("pos", "p"))
+            .select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("p.context").alias("context")))
