@@ -50,6 +50,17 @@ def test_priority_fallback(spark):
     assert not only_first[1]["success"] and only_first[1]["error"] == "403 Forbidden"
 
 
+def test_alternative_provider_comes_last(spark):
+    rows = [(1, "google", 1, T0, 1, False, 0, "403 Forbidden"), (1, "bing", 3, T0, 2, False, 0, "timeout"),
+            (1, "alternative", 5, T0, 3, True, 7, None),
+            (2, "google", 1, T0, 4, True, 3, None), (2, "alternative", 5, T0, 5, True, 9, None)]
+    df = spark.createDataFrame(rows, "q long, engine string, engine_no int, ts timestamp, request_id long, "
+                                     "success boolean, n_results int, error string")
+    for fallback in (True, False):
+        got = {r["q"]: r["engine"] for r in FE.priority_fallback(df, ["q"], enable_fallback=fallback).collect()}
+        assert got == {1: "alternative", 2: "google"}
+
+
 def test_merge_drops_urlless_and_keeps_engine_order(spark):
     rows = [(1, "bing", 1, "web", "t1", "http://a", None, "s"), (1, "google", 2, "web", "t2", "http://a", None, "s"),
             (1, "yahoo", 1, "images", "t3", None, "http://img", "s"), (1, "duckduckgo", 1, "web", "t4", "http://b", None, "s")]

@@ -23,8 +23,11 @@ ENGINE_CONFIG = (
     ("duckduckgo", 2, 30, 3, 5),
     ("bing", 3, 10, 5, 5),
     ("yahoo", 4, 10, 5, 5),
+    ("alternative", 5, 10, 1, 1),  # WIN2: tried last, only when every listed engine failed
 )
 NO_RESULTS_ERROR = "No results"
+ALTERNATIVE_NO = 5
+N_SEARCH_ENGINES = 4  # google, duckduckgo, bing, yahoo: the all-engines search
 MAX_NUM_RESULTS = 100
 # ---------------------------------------------------------------------------------
 
@@ -54,8 +57,10 @@ def priority_fallback(attempts: DataFrame, request_keys, enable_fallback: bool =
     order = F.struct("engine_no", "ts", "request_id")
     a = attempts.withColumn("_usable", F.col("success") & (F.coalesce(F.col("n_results"), F.lit(0)) > 0))
     if not enable_fallback:
-        first = a.groupBy(*keys).agg(F.min("engine_no").alias("_first"))
-        a = a.join(first, keys).filter(F.col("engine_no") == F.col("_first")).drop("_first")
+        # only the first engine tried, but the alternative provider still comes last (WIN2)
+        alt = F.col("engine_no") == ALTERNATIVE_NO
+        first = a.filter(~alt).groupBy(*keys).agg(F.min("engine_no").alias("_first"))
+        a = a.join(first, keys, "left").filter((F.col("engine_no") == F.col("_first")) | alt).drop("_first")
     g = a.groupBy(*keys).agg(
         F.min_by(F.struct("engine", "n_results"), F.when(F.col("_usable"), order)).alias("win"),
         F.max_by(F.struct("engine", "error", "n_results"), order).alias("last"))
@@ -96,7 +101,7 @@ def merge_summary(results: DataFrame, spark: SparkSession) -> DataFrame:
     per_engine = (with_engine_config(results, spark).groupBy("query_id", "engine")
                   .agg(F.count(F.lit(1)).alias("n")))
     merged = merge_results(results, spark).groupBy("query_id").agg(F.count(F.lit(1)).alias("total_results"))
-    n_engines = len(ENGINE_CONFIG)
+    n_engines = N_SEARCH_ENGINES
     summary = per_engine.groupBy("query_id").agg(
         F.count_if(F.col("n") > 0).alias("engines_succeeded"),
         F.sum("n").alias("results_all_engines"))

@@ -67,7 +67,7 @@ def merge_all_engines(spark, sf_dir):
 pe AS (SELECT query_id, r.engine, count(*) AS n FROM engine_results r JOIN cfg c ON lower(r.engine) = c.engine GROUP BY 1, 2),
 s AS (SELECT query_id, count(*) FILTER (WHERE n > 0) AS engines_succeeded, sum(n) AS results_all_engines FROM pe GROUP BY 1),
 t AS (SELECT query_id, count(*) AS total_results FROM m GROUP BY 1)
-SELECT s.query_id, engines_succeeded, {len(FE.ENGINE_CONFIG)} - engines_succeeded AS engines_failed,
+SELECT s.query_id, engines_succeeded, {FE.N_SEARCH_ENGINES} - engines_succeeded AS engines_failed,
        CAST(results_all_engines AS BIGINT) AS results_all_engines,
        CAST(coalesce(total_results, 0) AS BIGINT) AS total_results, engines_succeeded > 0 AS success
 FROM s LEFT JOIN t USING (query_id)""")
