@@ -111,3 +111,17 @@ def test_paragraph_context(spark):
     assert [(p["text"][-2:], p["context"]) for p in ps] == [("y.", "Inner"), (" b", "Top"), (" c", "Top")]
     none = body(spark, f"<body><p>{LONG}</p><h2>After</h2></body>", lambda b, u: P.paragraphs(b))
     assert none[0]["context"] is None
+
+
+def test_microdata_and_microformats(spark):
+    html = ('<div itemscope itemtype="https://schema.org/Person"><span itemprop="name">Ann &amp; Bo</span>'
+            '<a itemprop="url" href="https://a.org/">home</a><meta itemprop="telephone" content="555-1234"></div>'
+            '<div class="h-card"><span class="p-name">Cy</span><a class="u-url" href="https://c.org/">c</a></div>')
+    df = spark.createDataFrame([(html,)], "html string")
+    md = df.select(P.microdata(F.col("html")).alias("m")).first()["m"]
+    assert md["types"] == ["https://schema.org/Person"]
+    assert [(p["prop"], p["value"]) for p in md["properties"]] == [
+        ("name", "Ann  Bo"), ("url", "https://a.org/"), ("telephone", "555-1234")]
+    mf = df.select(P.microformats(F.col("html")).alias("m")).first()["m"]
+    assert mf["types"] == ["h-card"]
+    assert [(p["prop"], p["value"]) for p in mf["properties"]] == [("p-name", "Cy"), ("u-url", "https://c.org/")]

@@ -278,6 +278,43 @@ def json_ld(raw_html: Column) -> Column:
     return F.filter(F.transform(blocks, lambda b: F.try_parse_json(F.trim(b))), lambda v: v.isNotNull())
 
 
+MICRODATA_PROP = r"(?is)(<[A-Za-z][A-Za-z0-9]*\b[^>]*\sitemprop\s*=[^>]*>)([^<]*)"
+MICROFORMAT_PROP = (r"(?is)(<[A-Za-z][A-Za-z0-9]*\b[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?(?:p|u|dt|e)-[a-z0-9-]+"
+                    r"[^>]*>)([^<]*)")
+
+
+def microdata(raw_html: Column) -> Column:
+    """EXT13 (partial by design): item types and flat ``itemprop -> value`` pairs in
+    page order; the value is content, href, src or datetime when present, else the
+    element's own leading text. Nesting of item scopes is not kept."""
+    tags = F.regexp_extract_all(raw_html, F.lit(MICRODATA_PROP), 1)
+    texts = F.regexp_extract_all(raw_html, F.lit(MICRODATA_PROP), 2)
+    pairs = F.transform(F.arrays_zip(tags.alias("tag"), texts.alias("text")), lambda z: F.struct(
+        attr(z["tag"], "itemprop").alias("prop"),
+        F.coalesce(attr(z["tag"], "content"), attr(z["tag"], "href"), attr(z["tag"], "src"),
+                   attr(z["tag"], "datetime"), clean_text(decode_entities(z["text"]))).alias("value")))
+    types = F.regexp_extract_all(raw_html, F.lit(r"(?is)\sitemtype\s*=\s*[\"']([^\"']*)[\"']"), 1)
+    return F.struct(types.alias("types"), pairs.alias("properties"))
+
+
+def microformats(raw_html: Column) -> Column:
+    """EXT14 (partial by design): root classes ``h-*`` and flat property pairs from
+    ``p-* / u-* / dt-* / e-*`` classes (``u-*`` takes href or src, others the text)."""
+    roots = F.array_distinct(F.regexp_extract_all(
+        raw_html, F.lit(r"(?is)\sclass\s*=\s*[\"'](?:[^\"']*\s)?(h-[a-z0-9-]+)"), 1))
+    tags = F.regexp_extract_all(raw_html, F.lit(MICROFORMAT_PROP), 1)
+    texts = F.regexp_extract_all(raw_html, F.lit(MICROFORMAT_PROP), 2)
+
+    def pair(z):
+        prop = F.regexp_extract(F.coalesce(attr(z["tag"], "class"), F.lit("")), r"(?:^|\s)((?:p|u|dt|e)-[a-z0-9-]+)", 1)
+        link = F.coalesce(attr(z["tag"], "href"), attr(z["tag"], "src"))
+        value = F.when(prop.startswith("u-") & link.isNotNull(), link).otherwise(clean_text(decode_entities(z["text"])))
+        return F.struct(prop.alias("prop"), value.alias("value"))
+
+    return F.struct(roots.alias("types"),
+                    F.transform(F.arrays_zip(tags.alias("tag"), texts.alias("text")), pair).alias("properties"))
+
+
 def lists(body: Column) -> Column:
     """EXT7: items of each ul / ol (non-nested lists), lists without items dropped."""
     def items(kind):

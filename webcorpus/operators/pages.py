@@ -37,7 +37,9 @@ def field_columns(include_boilerplate: bool = False):
         "images": P.images(b, url),
         "links": P.links(b, url),
         "structured_data": F.struct(P.json_ld(F.col("html")).alias("json_ld"),
-                                    P.opengraph(b).alias("opengraph")),
+                                    P.microdata(F.col("html")).alias("microdata"),
+                                    P.opengraph(b).alias("opengraph"),
+                                    P.microformats(F.col("html")).alias("microformat")),
         "contacts": C.contacts(P.raw_text(b), F.col("html")),
         "main_content": P.main_content(b),
         "language": P.language(b),
@@ -56,7 +58,9 @@ def statistics(rec_cols: dict) -> "F.Column":
         F.size(rec_cols["links"]).alias("total_links"),
         ((F.size(c["emails"]) > 0) | (F.size(c["phones"]) > 0)).alias("has_contacts"),
         F.length(rec_cols["text_content"]).alias("content_length"),
-        ((F.size(sd["json_ld"]) > 0) | (F.size(sd["opengraph"]) > 0)).alias("has_structured_data"),
+        ((F.size(sd["json_ld"]) > 0) | (F.size(sd["opengraph"]) > 0)
+         | (F.size(sd["microdata"]["properties"]) > 0) | (F.size(sd["microformat"]["properties"]) > 0)
+         | (F.size(sd["microformat"]["types"]) > 0)).alias("has_structured_data"),
         F.size(c["emails"]).alias("email_count"),
         F.size(c["phones"]).alias("phone_count"),
         F.aggregate(F.map_values(c["social_media"]), F.lit(0), lambda acc, v: acc + F.size(v)).alias("social_media_count"),
