@@ -146,10 +146,12 @@ def paragraphs(body: Column, min_length: int = MIN_PARAGRAPH_LENGTH) -> Column:
     """EXT5 + EXT6 record form: ``array<struct<text, length, context>>``."""
     segs = F.transform(paragraph_segments(body), inner_text)
     ctx = paragraph_contexts(body)
+    # zip once (a lambda that indexed ``ctx`` would re-run the fold per paragraph);
+    # if the token and segment counts ever disagree, contexts are left null
     aligned = F.size(segs) == F.size(ctx)
-    recs = F.transform(segs, lambda t, i: F.struct(
-        t.alias("text"), F.length(t).alias("length"),
-        F.when(aligned, ctx[i]).alias("context")))
+    recs = F.transform(F.arrays_zip(segs.alias("text"), ctx.alias("context")), lambda z: F.struct(
+        z["text"].alias("text"), F.length(z["text"]).alias("length"), z["context"].alias("context")))
+    recs = F.when(aligned, recs).otherwise(F.transform(recs, lambda r: r.withField("context", F.lit(None))))
     return F.filter(recs, lambda r: r["length"] >= min_length)
 
 
@@ -261,8 +263,9 @@ def meta(body: Column) -> Column:
         F.struct(F.lit("author").alias("key"), first_content(lambda r: r["name"] == "author").alias("value")),
     ), lambda e: e["value"].isNotNull())
     entries = F.concat(base, extras)
-    last_wins = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)),
-                                                         lambda y: y["key"] == x["key"]))
+    # last one wins: one fold, so the entry array is evaluated once
+    last_wins = F.aggregate(entries, F.array().cast("array<struct<key:string,value:string>>"),
+                            lambda acc, x: F.concat(F.filter(acc, lambda e: e["key"] != x["key"]), F.array(x)))
     return F.map_from_entries(last_wins)
 
 
@@ -271,10 +274,12 @@ def opengraph(body: Column) -> Column:
     return F.map_filter(meta(body), lambda k, v: k.startswith("og:"))
 
 
+JSON_LD_BLOCK = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
+
+
 def json_ld(raw_html: Column) -> Column:
     """EXT11: every ld+json block of the raw html, parsed; invalid JSON skipped."""
-    blocks = F.regexp_extract_all(
-        raw_html, F.lit(r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"), 1)
+    blocks = F.regexp_extract_all(raw_html, F.lit(JSON_LD_BLOCK), 1)
     return F.filter(F.transform(blocks, lambda b: F.try_parse_json(F.trim(b))), lambda v: v.isNotNull())
 
 

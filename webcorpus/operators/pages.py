@@ -47,6 +47,9 @@ def field_columns(include_boilerplate: bool = False):
     }
 
 
+STAT_FIELDS = ("paragraphs", "headings", "images", "links", "contacts", "text_content", "structured_data")
+
+
 def statistics(rec_cols: dict) -> "F.Column":
     """EXT18: counters computed from the record columns (before optional drops)."""
     c = rec_cols["contacts"]
@@ -80,13 +83,17 @@ def extract_pages(pages: DataFrame, fields=ALL_FIELDS, with_statistics: bool = T
     wanted = [f for f in fields
               if not ((f == "contacts" and not extract_contacts) or (f == "links" and not extract_links)
                       or (f == "images" and not extract_images))]
-    out = [F.col("page_id"), F.col("url")] + [cols[f].alias(f) for f in wanted]
+    # stage 1: every needed field once; stage 2: statistics read those columns, so no
+    # field expression is evaluated twice
+    needed = list(dict.fromkeys(wanted + (list(STAT_FIELDS) if with_statistics else [])))
+    stage1 = staged.select("page_id", "url", *[cols[f].alias(f) for f in needed])
+    out = [F.col("page_id"), F.col("url")] + [F.col(f) for f in wanted]
     if with_statistics:
-        out.append(statistics(cols).alias("statistics"))
+        out.append(statistics({f: F.col(f) for f in STAT_FIELDS}).alias("statistics"))
     out += [F.lit(True).alias("success"), F.lit(200).alias("status_code"), F.col("url").alias("final_url"),
             F.sha2(F.concat_ws("|", F.lit("page"), F.col("page_id").cast("string"), F.col("url")), 256)
             .alias("request_id")]
-    return staged.select(*out)
+    return stage1.select(*out)
 
 
 def content_view(pages: DataFrame) -> DataFrame:

@@ -167,7 +167,38 @@ def url_resolve(spark, sf_dir):
                     U.resolve_url(F.col("href"), F.col("url")).alias("resolved")))
 
 
-@register("page_statistics", oracle=None)
+def _statistics_sql() -> str:
+    from .q_text import _emails_sql, _phones_sql
+    raw = D.raw_text("body")
+    imgs = (f"len(list_filter(regexp_extract_all(body, {D.q(r'(?is)(<img\b[^>]*>)')}, 1), lambda t: "
+            f"coalesce({D.attr('t', 'src')}, '') <> '' OR coalesce({D.attr('t', 'data-src')}, '') <> ''))")
+    social = " + ".join(f"len(list_distinct(regexp_extract_all(rawtext, {D.q(p)})))" for _, p in C.SOCIAL)
+    ld = (f"len(list_filter(regexp_extract_all(html, {D.q(P.JSON_LD_BLOCK)}, 1), "
+          f"lambda j: json_valid(trim(j)) AND trim(j) <> ''))")
+    og = (f"len(list_filter(regexp_extract_all(body, {D.q(r'(?is)(<meta\b[^>]*>)')}, 1), lambda t: "
+          f"coalesce(nullif({D.attr('t', 'name')}, ''), {D.attr('t', 'property')}, '') LIKE 'og:%' "
+          f"AND coalesce({D.attr('t', 'content')}, '') <> ''))")
+    structured = (f"({ld} > 0 OR {og} > 0 OR regexp_matches(html, {D.q(P.MICRODATA_PROP)}) "
+                  f"OR regexp_matches(html, {D.q(P.MICROFORMAT_PROP)}) "
+                  f"OR regexp_matches(html, {D.q(r'(?is)\sclass\s*=\s*["' + chr(39) + r'](?:[^"' + chr(39) + r']*\s)?(h-[a-z0-9-]+)')}))")
+    heads = " + ".join(f"len({D.heading_texts('body', k)})" for k in range(1, 7))
+    return f"""
+WITH b AS (SELECT page_id, url, html, {D.body('html')} AS body FROM pages),
+c AS (SELECT *, {raw} AS rawtext FROM b),
+s AS (SELECT page_id, len({D.paragraph_texts('body')}) AS total_paragraphs, {heads} AS total_headings,
+             {imgs} AS total_images, len({_first_by_url(_links_sql('body', 'url'))}) AS total_links,
+             len({_emails_sql('rawtext')}) AS email_count, len({_phones_sql('rawtext')}) AS phone_count,
+             length({D.spaced_text('body')}) AS content_length, {structured} AS has_structured_data,
+             {social} AS social_media_count FROM c)
+SELECT page_id, CAST(total_paragraphs AS INT) AS total_paragraphs, CAST(total_headings AS INT) AS total_headings,
+       CAST(total_images AS INT) AS total_images, CAST(total_links AS INT) AS total_links,
+       email_count > 0 OR phone_count > 0 AS has_contacts, CAST(content_length AS INT) AS content_length,
+       has_structured_data, CAST(email_count AS INT) AS email_count, CAST(phone_count AS INT) AS phone_count,
+       CAST(social_media_count AS INT) AS social_media_count
+FROM s"""
+
+
+@register("page_statistics", oracle=_statistics_sql())
 def page_statistics(spark, sf_dir):
     rec = OP.extract_pages(tables.pages(spark, sf_dir))
     return rec.select("page_id", "statistics.*")
