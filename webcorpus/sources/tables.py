@@ -70,9 +70,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     single task. When the scan has fewer partitions than the cluster's default
     parallelism, hash-partition on the row key; a large input (many splits) is left
     as scanned, so at scale this adds no exchange."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            return df.repartition(target, key)
+    except Exception:  # e.g. a Spark Connect session without RDD access: keep the scan as is
+        pass
     return df
 
 
