@@ -59,6 +59,14 @@ DUCKDUCKGO_HTML = {
     "titles": [[("a", "result__a")], [("h2", None), ("a", None)]],
     "snippets": [[("a", "result__snippet")], [(None, "result__snippet")]],
 }
+GOOGLE_NEWS = {
+    "containers": [("div", "SoaBEf"), ("div", "dbsr"), ("article", None), ("div", "WlydOe"), ("g-card", None)],
+    "headings": [[("div", "[role=heading]")]],
+    "links": [[("a", "[href*=http]")], [("a", None)]],
+    "sources": [[("div", "CEMjEf"), ("span", None)], [("span", "NUnG9d")]],
+    "snippets": [[("div", "GI74Re")], [("div", "Y3v8qd")]],
+    "dates": [[("time", None)], [("span", "WG9SHc")]],
+}
 GOOGLE_INTERNAL = ("/search", "/url", "/imgres", "/maps", "/support")
 MIN_TITLE = 3          # shorter titles are rejected
 GOOD_TITLE = 3         # a title longer than this stops the title rules
@@ -75,7 +83,10 @@ def _start_tag(tag: str | None, test: str | None) -> str:
         cond = ""
     elif test.startswith("["):
         body = test[1:-1]
-        if "=" in body:
+        if "*=" in body:  # attribute contains
+            name, val = body.split("*=", 1)
+            cond = rf"(?=[^>]*\s{name}\s*=\s*[\"']?[^\"'>]*{val})"
+        elif "=" in body:
             name, val = body.split("=", 1)
             cond = rf"(?=[^>]*\s{name}\s*=\s*[\"']?{val}[\"'\s>/])"
         else:

@@ -72,7 +72,17 @@ def _rx(s: Column, pattern: Column, group: int) -> Column:
     return F.call_function("regexp_extract", s, pattern, F.lit(group))
 
 
-def _with_rule_results(segs: DataFrame, engine: str, keys) -> DataFrame:
+def news_rule_table() -> list[tuple]:
+    """Google news element rules as rows."""
+    r = SP.GOOGLE_NEWS
+    rows = [_rule("heading", k, ch) for k, ch in enumerate(r["headings"])]
+    rows += [_rule("link", k, ch, href_from="self") for k, ch in enumerate(r["links"])]
+    for field in ("sources", "snippets", "dates"):
+        rows += [_rule(field[:-1], k, ch) for k, ch in enumerate(r[field])]
+    return rows
+
+
+def _with_rule_results(segs: DataFrame, engine: str, keys, rows=None) -> DataFrame:
     """Add ``res``: per rule that finds its element, struct(field, k, text, href).
 
     The rule table is data: each segment is paired with every rule of its engine
@@ -80,7 +90,8 @@ def _with_rule_results(segs: DataFrame, engine: str, keys) -> DataFrame:
     each partition so consecutive rows share a pattern (Spark compiles a row-supplied
     pattern only when it changes), the element of each rule is extracted, and the
     per-segment results are gathered again (at most a few dozen rows per segment)."""
-    rules = F.array(*[F.struct(F.lit(i), *[F.lit(v) for v in row]) for i, row in enumerate(rule_table(engine))])
+    rows = rows if rows is not None else rule_table(engine)
+    rules = F.array(*[F.struct(F.lit(i), *[F.lit(v) for v in row]) for i, row in enumerate(rows)])
     pairs = segs.select(*keys, "seg_no", "rule_no", "seg",
                         F.explode(rules.cast(f"array<{RULE_TYPE}>")).alias("r")).sortWithinPartitions("r.idx")
     r = F.col("r")
@@ -207,3 +218,38 @@ def extract_results(captures: DataFrame, keys=("query_id", "engine", "page_no"))
             .filter(F.col("rule_no") == F.col("_win")))
     return kept.select(*keys, F.row_number().over(w_pos).cast("int").alias("pos"),
                        "title", "url", "snippet", "displayed_url")
+
+
+def extract_news(captures: DataFrame, keys=("query_id", "engine", "page_no")) -> DataFrame:
+    """EXT23 (Google news layout): per container, the first link (``a[href*=http]`` else
+    any ``a``), title from the heading element else the link text, source, snippet and
+    date from their first elements; the URL is unwrapped and must start with http; no
+    de-duplication (as in the original); first container rule with any record wins."""
+    keys = list(keys)
+    segs = (captures.select(*keys, F.posexplode(F.flatten(F.array(*[
+        F.transform(SP._segments(F.col("html"), c), _tag_rule(k))
+        for k, c in enumerate(SP.GOOGLE_NEWS["containers"], start=1)]))).alias("seg_no", "s"))
+        .select(*keys, "seg_no", F.col("s.rule_no").alias("rule_no"), F.col("s.seg").alias("seg")))
+    df = _with_rule_results(segs, "google", keys, rows=news_rule_table())
+    res = F.col("res")
+    link = F.filter(res, lambda x: x["field"] == "link")
+    first_link = F.try_element_at(link, F.lit(1))
+    heading = _first(res, "heading")
+    df = df.select(*keys, "seg_no", "rule_no",
+                   F.coalesce(heading, first_link["value"], F.lit("")).alias("title"),
+                   unwrap_google_redirect(F.coalesce(first_link["href"], F.lit(""))).alias("url"),
+                   F.coalesce(_first(res, "source"), F.lit("")).alias("source"),
+                   F.coalesce(_first(res, "snippet"), F.lit("")).alias("snippet"),
+                   F.coalesce(_first(res, "date"), F.lit("")).alias("date"),
+                   F.size(link).alias("_has_link"))
+    kept = df.filter((F.col("_has_link") > 0) & F.col("url").startswith("http") & (F.col("title") != ""))
+    kept = kept.repartition(*keys)
+    w_page = Window.partitionBy(*keys)
+    w_pos = Window.partitionBy(*keys).orderBy("seg_no")
+    kept = kept.withColumn("_win", F.min("rule_no").over(w_page)).filter(F.col("rule_no") == F.col("_win"))
+    return kept.select(*keys, F.row_number().over(w_pos).cast("int").alias("pos"),
+                       "title", "url", "snippet", "source", "date", F.lit("news").alias("type"))
+
+
+def _tag_rule(k):
+    return lambda s: F.struct(F.lit(k).alias("rule_no"), s.alias("seg"))

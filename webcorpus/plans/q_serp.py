@@ -51,3 +51,18 @@ def provider_searxng_roundtrip(spark, sf_dir):
     return out.select("query_id", "engine", "page_no", (F.col("pos") + 1).cast("int").alias("pos"),
                       "r.title", "r.url", "r.snippet", "r.displayed_url",
                       F.array_join("r.engine_sources", ",").alias("engine_sources"))
+
+
+@register("serp_news_roundtrip", oracle=f"""
+{derived.duck_cte('engine_results')},
+r AS (SELECT query_id, engine, CAST(floor((rank - 1) / {PAGE_SIZE}) AS INT) AS page_no, rank, {T} AS title, url,
+             {S} AS snippet, {D.clean("coalesce(regexp_extract(url, '//([^/?#]+)', 1), '')")} AS source,
+             {D.clean("CAST(rank AS VARCHAR) || ' hours ago'")} AS date
+      FROM engine_results WHERE engine = 'google' AND url IS NOT NULL)
+SELECT query_id, engine, page_no,
+       CAST(row_number() OVER (PARTITION BY query_id, engine, page_no ORDER BY rank) AS INT) AS pos,
+       title, url, snippet, source, date, 'news' AS type
+FROM r WHERE title <> ''""")
+def serp_news_roundtrip(spark, sf_dir):
+    from ..sources.serp_render import render_news_captures
+    return SX.extract_news(render_news_captures(derived.view(spark, sf_dir, "engine_results")))

@@ -84,3 +84,25 @@ def render_captures(results: DataFrame) -> DataFrame:
         F.concat(F.lit('<html><head><title>results</title></head><body><div id="search">'), advert,
                  F.array_join(F.transform("blocks", lambda b: b["block"]), ""),
                  F.lit('</div><div id="foot">page navigation</div></body></html>')).alias("html"))
+
+
+def render_news_captures(results: DataFrame) -> DataFrame:
+    """Google news result pages (EXT23 fixture) from the google rows of the result
+    table: heading, source, snippet and date blocks; every 4th link is a redirect."""
+    g = (results.filter(F.col("engine") == "google")
+         .withColumn("page_no", F.floor((F.col("rank") - 1) / PAGE_SIZE).cast("int")))
+    u = F.col("url")
+    href = F.when(F.col("rank") % 4 == 0, F.concat(F.lit("/url?q="), _pct(u), F.lit("&amp;sa=U"))).otherwise(u)
+    link_open = F.when(u.isNotNull(), F.concat(F.lit('<a href="'), href, F.lit('">'))).otherwise(F.lit("<a>"))
+    block = F.concat(
+        F.lit('<div class="SoaBEf">'), link_open, F.lit('<div role="heading">'), _esc(F.col("title")),
+        F.lit('</div></a><div class="CEMjEf"><span>'),
+        F.coalesce(F.regexp_extract(u, "//([^/?#]+)", 1), F.lit("")),
+        F.lit('</span></div><div class="GI74Re">'), _esc(F.col("snippet")),
+        F.lit('</div><span class="WG9SHc">'), F.col("rank").cast("string"), F.lit(" hours ago</span></div>"))
+    pages = (g.withColumn("block", block).groupBy("query_id", "engine", "page_no")
+             .agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("blocks")))
+    return pages.select("query_id", "engine", F.lit("news").alias("search_type"), "page_no",
+                        F.concat(F.lit('<html><body><div id="rso">'),
+                                 F.array_join(F.transform("blocks", lambda b: b["block"]), ""),
+                                 F.lit("</div></body></html>")).alias("html"))
