@@ -22,6 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_python_code
+
+ship_python_code()
+
 # --- fixed values -----------------------------------------------------------------
 SEARCH_REQUESTS_PER_MINUTE = 120
 WEBSITE_REQUESTS_PER_MINUTE = 60

@@ -63,3 +63,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         pass
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def ship_python_code() -> None:
+    """Make the library's Python functions used inside Pandas UDFs travel with the
+    task (pickled by value), so executors need no installed copy of the package."""
+    import webcorpus
+    try:
+        from pyspark import cloudpickle
+        if "webcorpus" not in getattr(cloudpickle.cloudpickle, "_PICKLE_BY_VALUE_MODULES", set()):
+            cloudpickle.register_pickle_by_value(webcorpus)
+    except Exception:  # older pickler: fall back to shipping the package on the path
+        pass

@@ -29,9 +29,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions import quality as Q
 from ..operators import quota as QU
 from ..operators import service as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_python_code
 from ..sources import tables
 
+ship_python_code()
+
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
