@@ -10,6 +10,11 @@ from ..functions import urls as U
 
 # --- fixed values -----------------------------------------------------------------
 SEARCH_TYPES = ("all", "news", "images", "videos")
+# Safe-search level -> engine code, with the engine's default for unknown levels.
+BING_SAFE = (("off", "0"), ("moderate", "1"), ("strict", "2"))
+BING_SAFE_DEFAULT = "1"
+DUCKDUCKGO_SAFE = (("off", "off"), ("moderate", "moderate"), ("strict", "on"))
+DUCKDUCKGO_SAFE_DEFAULT = "moderate"
 QUERY_MAX_CHARS = 500
 NUM_RESULTS_RANGE = (1, 100)
 # ---------------------------------------------------------------------------------
@@ -66,3 +71,17 @@ def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """FLT2 quarantine: (valid rows, rejected rows with reasons)."""
     v = validate_requests(requests)
     return v.filter("is_valid").drop("reasons", "is_valid"), v.filter("NOT is_valid")
+
+
+def _code(level, table, default):
+    m = F.create_map(*[F.lit(x) for pair in table for x in pair])
+    return F.coalesce(F.element_at(m, F.coalesce(level, F.lit(""))), F.lit(default))
+
+
+def normalize_requests(requests: DataFrame) -> DataFrame:
+    """SCL12: region ``country-language`` and per-engine safe-search codes (map
+    literals, so the lookup is a native expression)."""
+    return requests.select(
+        "*", F.concat_ws("-", F.col("country"), F.col("language")).alias("region"),
+        _code(F.col("safe_search"), BING_SAFE, BING_SAFE_DEFAULT).alias("bing_safe_search"),
+        _code(F.col("safe_search"), DUCKDUCKGO_SAFE, DUCKDUCKGO_SAFE_DEFAULT).alias("duckduckgo_safe_search"))

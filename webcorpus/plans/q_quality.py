@@ -71,3 +71,19 @@ FROM requests""")
 def request_validate(spark, sf_dir):
     v = B.validate_requests(derived.view(spark, sf_dir, "requests"))
     return v.select("query_id", F.array_join("reasons", ",").alias("reasons"), "is_valid")
+
+
+def _map_sql(col, table, default):
+    return ("CASE " + " ".join(f"WHEN {col} = {D.q(k)} THEN {D.q(v)}" for k, v in table)
+            + f" ELSE {D.q(default)} END")
+
+
+@register("request_normalize", oracle=f"""
+{derived.duck_cte('requests')}
+SELECT query_id, country || '-' || language AS region,
+       {_map_sql('safe_search', B.BING_SAFE, B.BING_SAFE_DEFAULT)} AS bing_safe_search,
+       {_map_sql('safe_search', B.DUCKDUCKGO_SAFE, B.DUCKDUCKGO_SAFE_DEFAULT)} AS duckduckgo_safe_search
+FROM requests""")
+def request_normalize(spark, sf_dir):
+    n = B.normalize_requests(derived.view(spark, sf_dir, "requests"))
+    return n.select("query_id", "region", "bing_safe_search", "duckduckgo_safe_search")
