@@ -61,12 +61,32 @@ DUCKDUCKGO_HTML = {
 }
 GOOGLE_NEWS = {
     "containers": [("div", "SoaBEf"), ("div", "dbsr"), ("article", None), ("div", "WlydOe"), ("g-card", None)],
+    "choice": "records",  # first container rule that yields a record
     "headings": [[("div", "[role=heading]")]],
     "links": [[("a", "[href*=http]")], [("a", None)]],
     "sources": [[("div", "CEMjEf"), ("span", None)], [("span", "NUnG9d")]],
     "snippets": [[("div", "GI74Re")], [("div", "Y3v8qd")]],
     "dates": [[("time", None)], [("span", "WG9SHc")]],
 }
+BING_NEWS = {
+    "containers": [("div", "news-card"), ("div", "newsitem"), ("article", "card")],
+    "choice": "presence",  # first container rule present on the page
+    "headings": [[("a", "title")]],  # used only when the link text is empty
+    "links": [[("a", "[href*=http]")], [("a", None)]],
+    "sources": [[("div", "source"), ("a", None)], [("span", "source")]],
+    "snippets": [[("div", "snippet")], [("p", None)]],
+    "dates": [[("span", "time")], [("time", None)]],
+}
+YAHOO_NEWS = {
+    "containers": [("div", "dd NewsArticle"), ("li", "algo-news"), ("div", "[data-uuid]")],
+    "choice": "presence",
+    "headings": [],
+    "links": [[("h4", None), ("a", None)], [("a", "thmb")], [("a", None)]],
+    "sources": [[("span", "s-source")], [("cite", None)]],
+    "snippets": [[("p", "s-desc")], [("p", None)]],
+    "dates": [[("span", "s-time")], [("time", None)]],
+}
+NEWS_RULES = {"google": GOOGLE_NEWS, "bing": BING_NEWS, "yahoo": YAHOO_NEWS}
 GOOGLE_INTERNAL = ("/search", "/url", "/imgres", "/maps", "/support")
 MIN_TITLE = 3          # shorter titles are rejected
 GOOD_TITLE = 3         # a title longer than this stops the title rules

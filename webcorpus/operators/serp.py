@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import serp as SP
 from ..functions.page import ATTR_VALUE
 from ..functions.text import ANY_TAG, clean_text, decode_entities
-from ..functions.urls import unwrap_google_redirect, unwrap_yahoo_redirect
+from ..functions.urls import unwrap_bing_redirect, unwrap_google_redirect, unwrap_yahoo_redirect
 
 def _rule(field, k, chain, href_from="none", strip_start=False, skip_js=False):
     (t1, c1), rest = chain[0], chain[1:]
@@ -72,9 +72,9 @@ def _rx(s: Column, pattern: Column, group: int) -> Column:
     return F.call_function("regexp_extract", s, pattern, F.lit(group))
 
 
-def news_rule_table() -> list[tuple]:
-    """Google news element rules as rows."""
-    r = SP.GOOGLE_NEWS
+def news_rule_table(engine: str) -> list[tuple]:
+    """An engine's news element rules as rows."""
+    r = SP.NEWS_RULES[engine]
     rows = [_rule("heading", k, ch) for k, ch in enumerate(r["headings"])]
     rows += [_rule("link", k, ch, href_from="self") for k, ch in enumerate(r["links"])]
     for field in ("sources", "snippets", "dates"):
@@ -104,13 +104,17 @@ def _with_rule_results(segs: DataFrame, engine: str, keys, rows=None) -> DataFra
                       F.when(two, _rx(inner1, r["p2"], 1)).otherwise(tag1).alias("tag"),
                       F.when(two, _rx(inner1, r["p2"], 2)).otherwise(inner1).alias("inner"))
     href = F.when(r["href_from"] == "self", F.coalesce(_href(F.col("tag")), F.lit("")))
+    title_attr = F.when(r["href_from"] == "self", F.coalesce(
+        F.regexp_extract(F.col("tag"), ATTR_VALUE.replace("{name}", "title"), 1), F.lit("")))
     ok = F.col("found") & ~(r["skip_js"] & F.coalesce(href, F.lit("")).rlike("^(#|javascript)"))
     hits = el.filter(ok).select(*keys, "seg_no", "rule_no",
                                 F.struct(r["field"].alias("field"), r["k"].alias("k"),
-                                         _text(F.col("inner")).alias("value"), href.alias("href")).alias("h"))
+                                         _text(F.col("inner")).alias("value"), href.alias("href"),
+                                         clean_text(decode_entities(title_attr)).alias("title_attr")).alias("h"))
     res = (hits.groupBy(*keys, "seg_no", "rule_no").agg(F.array_sort(F.collect_list("h")).alias("res")))
     return segs.join(res, [*keys, "seg_no", "rule_no"], "left").withColumn(
-        "res", F.coalesce(F.col("res"), F.array().cast("array<struct<field:string,k:int,value:string,href:string>>")))
+        "res", F.coalesce(F.col("res"), F.array().cast(
+            "array<struct<field:string,k:int,value:string,href:string,title_attr:string>>")))
 
 
 def _loop(res: Column, field: str, good, what: str = "value") -> Column:
@@ -221,33 +225,53 @@ def extract_results(captures: DataFrame, keys=("query_id", "engine", "page_no"))
 
 
 def extract_news(captures: DataFrame, keys=("query_id", "engine", "page_no")) -> DataFrame:
-    """EXT23 (Google news layout): per container, the first link (``a[href*=http]`` else
-    any ``a``), title from the heading element else the link text, source, snippet and
-    date from their first elements; the URL is unwrapped and must start with http; no
-    de-duplication (as in the original); first container rule with any record wins."""
+    """EXT23: news records of Google, Bing and Yahoo result pages. Per container: the
+    first link rule that finds an element; title from the heading (Google) or the link
+    text (Bing: else ``a.title``; Yahoo: else the link's title attribute); URL
+    unwrapped per engine and required to start with http; source, snippet and date
+    from their first matching elements. Google keeps the first container rule that
+    yields a record, Bing and Yahoo the first rule present on the page. No
+    de-duplication (as in the original)."""
     keys = list(keys)
-    segs = (captures.select(*keys, F.posexplode(F.flatten(F.array(*[
-        F.transform(SP._segments(F.col("html"), c), _tag_rule(k))
-        for k, c in enumerate(SP.GOOGLE_NEWS["containers"], start=1)]))).alias("seg_no", "s"))
-        .select(*keys, "seg_no", F.col("s.rule_no").alias("rule_no"), F.col("s.seg").alias("seg")))
-    df = _with_rule_results(segs, "google", keys, rows=news_rule_table())
-    res = F.col("res")
-    link = F.filter(res, lambda x: x["field"] == "link")
-    first_link = F.try_element_at(link, F.lit(1))
-    heading = _first(res, "heading")
-    df = df.select(*keys, "seg_no", "rule_no",
-                   F.coalesce(heading, first_link["value"], F.lit("")).alias("title"),
-                   unwrap_google_redirect(F.coalesce(first_link["href"], F.lit(""))).alias("url"),
-                   F.coalesce(_first(res, "source"), F.lit("")).alias("source"),
-                   F.coalesce(_first(res, "snippet"), F.lit("")).alias("snippet"),
-                   F.coalesce(_first(res, "date"), F.lit("")).alias("date"),
-                   F.size(link).alias("_has_link"))
-    kept = df.filter((F.col("_has_link") > 0) & F.col("url").startswith("http") & (F.col("title") != ""))
-    kept = kept.repartition(*keys)
+    parts = []
+    for engine, rules in SP.NEWS_RULES.items():
+        segs = (captures.filter(F.col("engine") == engine)
+                .select(*keys, F.posexplode(F.flatten(F.array(*[
+                    F.transform(SP._segments(F.col("html"), c), _tag_rule(k))
+                    for k, c in enumerate(rules["containers"], start=1)]))).alias("seg_no", "s"))
+                .select(*keys, "seg_no", F.col("s.rule_no").alias("rule_no"), F.col("s.seg").alias("seg")))
+        df = _with_rule_results(segs, engine, keys, rows=news_rule_table(engine))
+        res = F.col("res")
+        link = F.try_element_at(F.filter(res, lambda x: x["field"] == "link"), F.lit(1))
+        link_text = F.coalesce(link["value"], F.lit(""))
+        if engine == "google":
+            title = F.coalesce(_first(res, "heading"), link["value"], F.lit(""))
+            url = unwrap_google_redirect(F.coalesce(link["href"], F.lit("")))
+        elif engine == "bing":
+            title = F.when(link_text != "", link_text).otherwise(F.coalesce(_first(res, "heading"), F.lit("")))
+            url = unwrap_bing_redirect(F.coalesce(link["href"], F.lit("")))
+        else:
+            title = F.when(link_text != "", link_text).otherwise(F.coalesce(link["title_attr"], F.lit("")))
+            url = unwrap_yahoo_redirect(F.coalesce(link["href"], F.lit("")))
+        out = df.select(*keys, "seg_no", "rule_no", F.coalesce(title, F.lit("")).alias("title"), url.alias("url"),
+                        F.coalesce(_first(res, "source"), F.lit("")).alias("source"),
+                        F.coalesce(_first(res, "snippet"), F.lit("")).alias("snippet"),
+                        F.coalesce(_first(res, "date"), F.lit("")).alias("date"),
+                        link.isNotNull().alias("_has_link"), F.lit(rules["choice"]).alias("_choice"))
+        parts.append(out)
+    recs = parts[0]
+    for p in parts[1:]:
+        recs = recs.unionByName(p)
+    recs = recs.repartition(*keys)
     w_page = Window.partitionBy(*keys)
     w_pos = Window.partitionBy(*keys).orderBy("seg_no")
-    kept = kept.withColumn("_win", F.min("rule_no").over(w_page)).filter(F.col("rule_no") == F.col("_win"))
-    return kept.select(*keys, F.row_number().over(w_pos).cast("int").alias("pos"),
+    usable = F.col("_has_link") & F.col("url").startswith("http") & (F.col("title") != "")
+    recs = (recs.withColumn("_present", F.min("rule_no").over(w_page))
+            .filter(usable)
+            .withColumn("_yielding", F.min("rule_no").over(w_page))
+            .filter(F.col("rule_no") == F.when(F.col("_choice") == "records", F.col("_yielding"))
+                    .otherwise(F.col("_present"))))
+    return recs.select(*keys, F.row_number().over(w_pos).cast("int").alias("pos"),
                        "title", "url", "snippet", "source", "date", F.lit("news").alias("type"))
 
 

@@ -58,7 +58,7 @@ def provider_searxng_roundtrip(spark, sf_dir):
 r AS (SELECT query_id, engine, CAST(floor((rank - 1) / {PAGE_SIZE}) AS INT) AS page_no, rank, {T} AS title, url,
              {S} AS snippet, {D.clean("coalesce(regexp_extract(url, '//([^/?#]+)', 1), '')")} AS source,
              {D.clean("CAST(rank AS VARCHAR) || ' hours ago'")} AS date
-      FROM engine_results WHERE engine = 'google' AND url IS NOT NULL)
+      FROM engine_results WHERE engine IN ('google', 'bing', 'yahoo') AND url IS NOT NULL)
 SELECT query_id, engine, page_no,
        CAST(row_number() OVER (PARTITION BY query_id, engine, page_no ORDER BY rank) AS INT) AS pos,
        title, url, snippet, source, date, 'news' AS type

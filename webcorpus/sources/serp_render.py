@@ -86,20 +86,47 @@ def render_captures(results: DataFrame) -> DataFrame:
                  F.lit('</div><div id="foot">page navigation</div></body></html>')).alias("html"))
 
 
+def _b64url(c):
+    """URL-safe base64 without padding (the Bing click-redirect form)."""
+    return F.regexp_replace(F.translate(F.base64(F.encode(c, "UTF-8")), "+/", "-_"), "=+$", "")
+
+
+def _news_block(engine: str):
+    u, t, s = F.col("url"), _esc(F.col("title")), _esc(F.col("snippet"))
+    host = F.coalesce(F.regexp_extract(u, "//([^/?#]+)", 1), F.lit(""))
+    when = F.concat(F.col("rank").cast("string"), F.lit(" hours ago"))
+    if engine == "google":
+        href = F.when(F.col("rank") % 4 == 0, F.concat(F.lit("/url?q="), _pct(u), F.lit("&amp;sa=U"))).otherwise(u)
+        a = F.when(u.isNotNull(), F.concat(F.lit('<a href="'), href, F.lit('">'))).otherwise(F.lit("<a>"))
+        return F.concat(F.lit('<div class="SoaBEf">'), a, F.lit('<div role="heading">'), t,
+                        F.lit('</div></a><div class="CEMjEf"><span>'), host, F.lit('</span></div><div class="GI74Re">'),
+                        s, F.lit('</div><span class="WG9SHc">'), when, F.lit("</span></div>"))
+    if engine == "bing":
+        href = F.when(F.col("rank") % 3 == 0, F.concat(F.lit("https://www.bing.com/ck/a?!&amp;&amp;p=ab&amp;u=a1"),
+                                                         _b64url(u), F.lit("&amp;ntb=1"))).otherwise(u)
+        a = F.when(u.isNotNull(), F.concat(F.lit('<a class="title" href="'), href, F.lit('">'), t, F.lit("</a>"))) \
+            .otherwise(F.concat(F.lit('<a class="title">'), t, F.lit("</a>")))
+        return F.concat(F.lit('<div class="news-card">'), a, F.lit('<div class="snippet">'), s,
+                        F.lit('</div><div class="source"><a>'), host, F.lit('</a></div><span class="time">'), when,
+                        F.lit("</span></div>"))
+    href = F.when(F.col("rank") % 3 == 0, F.concat(
+        F.lit("https://r.search.yahoo.com/_ylt=Aw/RV=2/RE=1/RO=10/RU="), _pct(u), F.lit("/RK=2/RS=ab"))).otherwise(u)
+    a = F.when(u.isNotNull(), F.concat(F.lit('<h4><a href="'), href, F.lit('">'), t, F.lit("</a></h4>"))) \
+        .otherwise(F.concat(F.lit("<h4>"), t, F.lit("</h4>")))
+    return F.concat(F.lit('<div class="dd NewsArticle">'), a, F.lit('<p class="s-desc">'), s,
+                    F.lit('</p><span class="s-source">'), host, F.lit('</span><span class="s-time">'), when,
+                    F.lit("</span></div>"))
+
+
 def render_news_captures(results: DataFrame) -> DataFrame:
-    """Google news result pages (EXT23 fixture) from the google rows of the result
-    table: heading, source, snippet and date blocks; every 4th link is a redirect."""
-    g = (results.filter(F.col("engine") == "google")
+    """News result pages (EXT23 fixture) of Google, Bing and Yahoo from their rows of
+    the result table, with each engine's redirect form on some links."""
+    engines = ("google", "bing", "yahoo")
+    g = (results.filter(F.col("engine").isin(*engines))
          .withColumn("page_no", F.floor((F.col("rank") - 1) / PAGE_SIZE).cast("int")))
-    u = F.col("url")
-    href = F.when(F.col("rank") % 4 == 0, F.concat(F.lit("/url?q="), _pct(u), F.lit("&amp;sa=U"))).otherwise(u)
-    link_open = F.when(u.isNotNull(), F.concat(F.lit('<a href="'), href, F.lit('">'))).otherwise(F.lit("<a>"))
-    block = F.concat(
-        F.lit('<div class="SoaBEf">'), link_open, F.lit('<div role="heading">'), _esc(F.col("title")),
-        F.lit('</div></a><div class="CEMjEf"><span>'),
-        F.coalesce(F.regexp_extract(u, "//([^/?#]+)", 1), F.lit("")),
-        F.lit('</span></div><div class="GI74Re">'), _esc(F.col("snippet")),
-        F.lit('</div><span class="WG9SHc">'), F.col("rank").cast("string"), F.lit(" hours ago</span></div>"))
+    block = None
+    for e in engines:
+        block = F.when(F.col("engine") == e, _news_block(e)) if block is None else block.when(F.col("engine") == e, _news_block(e))
     pages = (g.withColumn("block", block).groupBy("query_id", "engine", "page_no")
              .agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("blocks")))
     return pages.select("query_id", "engine", F.lit("news").alias("search_type"), "page_no",
