@@ -83,3 +83,22 @@ def test_sinks_round_trip(spark, tmp_path):
     assert sorted(r["id"] for r in back.collect()) == [1, 2] and "domain_bucket" in back.columns
     docs = sinks.as_documents(df, ["id"]).collect()
     assert json.loads(docs[0]["document"])["engine"] in ("google", "bing")
+
+
+def test_google_images(spark):
+    script = ('<script>AF_initDataCallback({data: ["https://a.example.com/x.jpg", "https://encrypted-tbn0.x/y.png",'
+              ' "http://b.example.org/z.webp"]});</script>')
+    imgs = '<img src="https://c.example.net/i.png" alt="C"><img src="https://www.google.com/logo.png">'
+    got = one(spark, PV.google_image_results(F.col("x")), script + imgs)
+    assert [r["image_url"] for r in got] == ["https://a.example.com/x.jpg", "http://b.example.org/z.webp"]
+    fallback = one(spark, PV.google_image_results(F.col("x")), imgs)
+    assert [(r["image_url"], r["title"]) for r in fallback] == [("https://c.example.net/i.png", "C")]
+
+
+def test_bing_images(spark):
+    html = ('<a class="iusc" m="{&quot;murl&quot;:&quot;https://m/1.jpg&quot;,&quot;t&quot;:&quot;T&quot;}" href="/p">'
+            '<img src="s"></a><a class="iusc" href="https://page/"><img src="https://t/2.jpg" alt="A"></a>'
+            '<a class="iusc" m="{broken"><img src="z"></a>')
+    got = one(spark, PV.bing_image_results(F.col("x")), html)
+    assert [(r["image_url"], r["title"], r["page_url"]) for r in got] == [
+        ("https://m/1.jpg", "T", ""), ("https://t/2.jpg", "A", "https://page/")]

@@ -66,3 +66,17 @@ FROM r WHERE title <> ''""")
 def serp_news_roundtrip(spark, sf_dir):
     from ..sources.serp_render import render_news_captures
     return SX.extract_news(render_news_captures(derived.view(spark, sf_dir, "engine_results")))
+
+
+@register("serp_images_roundtrip", oracle=f"""
+{derived.duck_cte('engine_results')}
+SELECT query_id, engine, CAST(floor((rank - 1) / 10) AS INT) AS page_no,
+       CAST(row_number() OVER (PARTITION BY query_id, engine, CAST(floor((rank - 1) / 10) AS INT) ORDER BY rank) AS INT) AS pos,
+       coalesce(image_url, '') AS image_url, coalesce(title, '') AS title, coalesce(url, '') AS page_url
+FROM engine_results WHERE engine = 'bing' AND type = 'images'""")
+def serp_images_roundtrip(spark, sf_dir):
+    from ..sources import providers as PV
+    pages = PV.render_bing_images(derived.view(spark, sf_dir, "engine_results"))
+    out = pages.select("query_id", "engine", "page_no", F.posexplode(PV.bing_image_results(F.col("html"))).alias("p", "r"))
+    return out.select("query_id", "engine", "page_no", (F.col("p") + 1).cast("int").alias("pos"),
+                      "r.image_url", "r.title", "r.page_url")

@@ -107,3 +107,75 @@ def render_searxng(results) -> "DataFrame":  # noqa: F821
                  F.array(F.col("engine")).alias("engines")))).alias("items")))
     return pages.select("query_id", "engine", "page_no", F.to_json(F.struct(
         F.transform("items", lambda i: i.dropFields("rank")).alias("results"))).alias("json"))
+
+
+# --- image result pages (EXT24) ---------------------------------------------------
+IMAGE_CAP = 50
+IMAGE_URL = r"https?://[^\"']+\.(?:jpg|jpeg|png|gif|webp)"
+BING_IMAGE_META = "struct<murl:string,turl:string,t:string,purl:string>"
+
+
+def google_image_results(raw_html: Column) -> Column:
+    """EXT24 (Google): image URLs inside ``AF_initDataCallback`` scripts (first 50 per
+    script, then those with 'encrypted' or 'gstatic' dropped); without any, the first
+    50 ``img`` tags with an http src not pointing at google and not inline data."""
+    from ..functions.page import attr
+    scripts = F.regexp_extract_all(raw_html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), 1)
+    found = F.flatten(F.transform(F.filter(scripts, lambda s: s.contains("AF_initDataCallback")),
+                                  lambda s: F.slice(F.regexp_extract_all(s, F.lit(IMAGE_URL), 0), 1, IMAGE_CAP)))
+    kept = F.filter(found, lambda u: ~F.lower(u).contains("encrypted") & ~F.lower(u).contains("gstatic"))
+    from_scripts = F.transform(kept, lambda u: _result(type=F.lit("image"), image_url=u, thumbnail_url=u,
+                                                       title=F.lit(""), page_url=F.lit(""), source=F.lit("google")))
+    tags = F.slice(F.regexp_extract_all(
+        raw_html, F.lit(r"(?is)(<img\b[^>]*\ssrc\s*=\s*[\"']?[^\"'>\s]*http[^>]*>)"), 1), 1, IMAGE_CAP)
+    imgs = F.transform(tags, lambda t: F.struct(
+        F.coalesce(F.when(F.coalesce(attr(t, "src"), F.lit("")) != "", attr(t, "src")), attr(t, "data-src"),
+                   F.lit("")).alias("src"), F.coalesce(attr(t, "alt"), F.lit("")).alias("alt")))
+    from_tags = F.transform(
+        F.filter(imgs, lambda i: (i["src"] != "") & ~i["src"].contains("google") & ~i["src"].startswith("data:")),
+        lambda i: _result(type=F.lit("image"), image_url=i["src"], thumbnail_url=i["src"], title=i["alt"],
+                          page_url=F.lit(""), source=F.lit("google")))
+    return F.when(F.size(from_scripts) > 0, from_scripts).otherwise(from_tags)
+
+
+def bing_image_results(raw_html: Column) -> Column:
+    """EXT24 (Bing): ``a.iusc`` items in page order; metadata from the JSON in the
+    ``m`` attribute (murl, turl, t, purl; invalid JSON skipped), else the inner
+    ``img`` (src, alt) with the item's href as page; first 50 results."""
+    from ..functions.page import attr
+    items = F.regexp_extract_all(raw_html, F.lit(
+        r"(?is)(<a\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?iusc(?:\s[^\"']*)?[\"'])[^>]*>.*?</a\s*>)"), 1)
+
+    def one(item):
+        start = F.regexp_extract(item, r"(?is)^(<a\b[^>]*>)", 1)
+        m = F.coalesce(attr(start, "m"), F.lit(""))
+        meta = F.from_json(m, BING_IMAGE_META)
+        img = F.regexp_extract(item, r"(?is)(<img\b[^>]*>)", 1)
+        from_m = F.when(F.try_parse_json(m).isNotNull(), _result(
+            type=F.lit("image"), image_url=_s(meta["murl"]), thumbnail_url=_s(meta["turl"]), title=_s(meta["t"]),
+            page_url=_s(meta["purl"]), source=F.lit("bing")))
+        from_img = F.when(img != "", _result(
+            type=F.lit("image"), image_url=F.coalesce(attr(img, "src"), F.lit("")),
+            thumbnail_url=F.coalesce(attr(img, "src"), F.lit("")), title=F.coalesce(attr(img, "alt"), F.lit("")),
+            page_url=F.coalesce(attr(start, "href"), F.lit("")), source=F.lit("bing")))
+        return F.when(m != "", from_m).otherwise(from_img)
+
+    return F.slice(F.filter(F.transform(items, one), lambda r: r.isNotNull()), 1, IMAGE_CAP)
+
+
+def render_bing_images(results) -> "DataFrame":  # noqa: F821
+    """Bing image pages (EXT24 fixture): one ``a.iusc`` per image row with its
+    metadata as HTML-escaped JSON in ``m``; one page per (query, 10 ranks)."""
+    img = results.filter((F.col("engine") == "bing") & (F.col("type") == "images"))
+    meta = F.to_json(F.struct(F.col("image_url").alias("murl"), F.col("image_url").alias("turl"),
+                              F.col("title").alias("t"), F.col("url").alias("purl")))
+    esc = F.replace(F.replace(F.replace(meta, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")),
+                    F.lit("<"), F.lit("&lt;"))
+    block = F.concat(F.lit('<div class="imgpt"><a class="iusc" m="'), esc, F.lit('" href="/images/x">'),
+                     F.lit('<img src="https://tse.example.net/th.jpg" alt="thumb"></a></div>'))
+    pages = (img.withColumn("page_no", F.floor((F.col("rank") - 1) / 10).cast("int"))
+             .groupBy("query_id", "engine", "page_no")
+             .agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("blocks")))
+    return pages.select("query_id", "engine", "page_no",
+                        F.concat(F.lit("<html><body>"), F.array_join(F.transform("blocks", lambda b: b["block"]), ""),
+                                 F.lit("</body></html>")).alias("html"))
