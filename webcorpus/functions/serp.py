@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ANY_TAG, clean_text, decode_entities  # noqa: F401 (used by operators.serp)
 
 SEG = "\u0001"
 

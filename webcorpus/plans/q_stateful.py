@@ -76,7 +76,7 @@ def stream_rate_per_minute(spark, sf_dir):
 
 
 def _late_bind():
-    from .q_pages import page_overview  # noqa: F401  (registers page_overview first)
+    from . import q_pages  # noqa: F401  (registers page_overview and its oracle first)
     if "page_overview" in ORACLES:
         ORACLES["stream_page_overview"] = ORACLES["page_overview"]
 
