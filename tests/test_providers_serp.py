@@ -102,3 +102,14 @@ def test_bing_images(spark):
     got = one(spark, PV.bing_image_results(F.col("x")), html)
     assert [(r["image_url"], r["title"], r["page_url"]) for r in got] == [
         ("https://m/1.jpg", "T", ""), ("https://t/2.jpg", "A", "https://page/")]
+
+
+def test_bing_videos(spark):
+    html = ('<div class="mc_vtvc"><a href="/videos/watch?v=1" title="First clip"><img src="https://t/1.jpg"></a>'
+            '<span class="mc_vtvc_meta_dur">3:05</span><span class="mc_vtvc_meta_row_pri">1.2M views</span></div>'
+            '<div class="dg_u"><a href="https://v.example.org/2">Second <b>clip</b></a></div>'
+            '<div class="dg_u"><a href="https://v.example.org/3"></a></div><div class="dg_u">no link</div>')
+    got = one(spark, PV.bing_video_results(F.col("x")), html)
+    assert [(r["title"], r["url"], r["duration"], r["views"], r["thumbnail"]) for r in got] == [
+        ("First clip", "https://www.bing.com/videos/watch?v=1", "3:05", "1.2M views", "https://t/1.jpg"),
+        ("Second clip", "https://v.example.org/2", "", "", "")]

@@ -179,3 +179,40 @@ def render_bing_images(results) -> "DataFrame":  # noqa: F821
     return pages.select("query_id", "engine", "page_no",
                         F.concat(F.lit("<html><body>"), F.array_join(F.transform("blocks", lambda b: b["block"]), ""),
                                  F.lit("</body></html>")).alias("html"))
+
+
+# --- video result pages (EXT25) ---------------------------------------------------
+BING_ORIGIN = "https://www.bing.com"
+
+
+def bing_video_results(raw_html: Column) -> Column:
+    """EXT25 (Bing): ``div.mc_vtvc`` / ``div.dg_u`` items in page order; title from the
+    first link's title attribute, else its text; root-relative links made absolute on
+    the Bing origin; duration, thumbnail and views from their first elements; items
+    without a title dropped. Items run from one container start tag to the next."""
+    from ..functions.page import attr
+    from ..functions.serp import _segments
+    from ..functions.text import ANY_TAG, clean_text, decode_entities
+
+    def text(html):
+        return clean_text(decode_entities(F.regexp_replace(html, ANY_TAG, "")))
+
+    def one(seg):
+        a_tag = F.regexp_extract(seg, r"(?is)(<a\b[^>]*>)", 1)
+        a_inner = F.regexp_extract(seg, r"(?is)<a\b[^>]*>(.*?)(?:</a\s*>|$)", 1)
+        t_attr = F.coalesce(attr(a_tag, "title"), F.lit(""))
+        title = clean_text(F.when(t_attr != "", t_attr).otherwise(decode_entities(F.regexp_replace(a_inner, ANY_TAG, ""))))
+        href = F.coalesce(attr(a_tag, "href"), F.lit(""))
+        url = F.when(href.startswith("/"), F.concat(F.lit(BING_ORIGIN), href)).otherwise(href)
+        dur = F.regexp_extract(seg, r"(?is)<span\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?(?:mc_vtvc_meta_dur|duration)"
+                                    r"(?:\s[^\"']*)?[\"'])[^>]*>(.*?)</span\s*>", 1)
+        views = F.regexp_extract(seg, r"(?is)<span\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?mc_vtvc_meta_row_pri"
+                                      r"(?:\s[^\"']*)?[\"'])[^>]*>(.*?)</span\s*>", 1)
+        img = F.regexp_extract(seg, r"(?is)(<img\b[^>]*>)", 1)
+        return F.when(a_tag != "", F.struct(
+            F.lit("video").alias("type"), title.alias("title"), url.alias("url"),
+            F.coalesce(attr(img, "src"), F.lit("")).alias("thumbnail"), text(dur).alias("duration"),
+            text(views).alias("views"), F.lit("bing").alias("source")))
+
+    items = F.transform(_segments(raw_html, ("div", "mc_vtvc|dg_u")), one)
+    return F.filter(items, lambda r: r.isNotNull() & (r["title"] != ""))
