@@ -113,3 +113,15 @@ def test_bing_videos(spark):
     assert [(r["title"], r["url"], r["duration"], r["views"], r["thumbnail"]) for r in got] == [
         ("First clip", "https://www.bing.com/videos/watch?v=1", "3:05", "1.2M views", "https://t/1.jpg"),
         ("Second clip", "https://v.example.org/2", "", "", "")]
+
+
+def test_title_rule_and_news_keep_duplicates(spark):
+    google = ('<div class="g"><a href="https://a.org/1"><h3>abc</h3></a></div>'
+              '<div class="g"><a href="https://a.org/2"><h3>ab</h3></a></div>')
+    news = ('<div class="SoaBEf"><a href="https://n.org/x"><div role="heading">Same story</div></a></div>'
+            '<div class="SoaBEf"><a href="https://n.org/x"><div role="heading">Same story</div></a></div>')
+    caps = spark.createDataFrame([(1, "google", 0, google)], "query_id long, engine string, page_no int, html string")
+    web = [(r["title"], r["url"]) for r in SX.extract_results(caps).collect()]
+    assert web == [("abc", "https://a.org/1")]  # a 3-character title is kept, 2 characters are not
+    ncaps = spark.createDataFrame([(1, "google", 0, news)], "query_id long, engine string, page_no int, html string")
+    assert [r["url"] for r in SX.extract_news(ncaps).collect()] == ["https://n.org/x", "https://n.org/x"]
