@@ -12,9 +12,9 @@ Scale notes:
 * Exact percentiles are computed from (group, value) counts, so the ordered window
   runs over distinct values per group, never over all rows of a group.
 * Source health is a prefix scan: the failure counter ``f = max(0, f + d)`` has the
-  closed form ``S_n - min(0, min_k S_k)``; per-hour chunks are scanned locally and
+  closed form ``S_n - min(0, min_k S_k)``; per-minute chunks are scanned locally and
   combined with the associative rule ``(s1, m1) + (s2, m2) = (s1 + s2, min(m1, s1 + m2))``,
-  so a hot source is split across hours instead of sorted in one task.
+  so a hot source is split across minutes instead of sorted in one task.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def engine_outcomes(log: DataFrame) -> DataFrame:
             .withColumn("success", F.col("engines_succeeded") > 0))
 
 
-def source_health(log: DataFrame, key: str = "proxy", chunk: str = "1 hour") -> DataFrame:
+def source_health(log: DataFrame, key: str = "proxy", chunk: str = "1 minute") -> DataFrame:
     """STR2 (batch): final health record per source after replaying its log in
     (ts, request_id) order: failures (+1 on failure, -1 floored at 0 on success),
     successes, is_working (off at 3 failures, on after a success), latest positive
