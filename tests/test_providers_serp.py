@@ -125,3 +125,17 @@ def test_title_rule_and_news_keep_duplicates(spark):
     assert web == [("abc", "https://a.org/1")]  # a 3-character title is kept, 2 characters are not
     ncaps = spark.createDataFrame([(1, "google", 0, news)], "query_id long, engine string, page_no int, html string")
     assert [r["url"] for r in SX.extract_news(ncaps).collect()] == ["https://n.org/x", "https://n.org/x"]
+
+
+def test_library_news_images_videos(spark):
+    news = json.dumps([{"title": "N", "link": "http://n", "excerpt": "e", "source": "S", "date": "d"}])
+    n = one(spark, PV.library_news_results(F.col("x")), news)[0]
+    assert (n["type"], n["url"], n["snippet"], n["source"], n["date"]) == ("news", "http://n", "e", "S", "d")
+    imgs = json.dumps([{"title": "I", "image": "http://i.png", "url": "http://p", "width": 640}])
+    i = one(spark, PV.library_image_results(F.col("x")), imgs)[0]
+    assert (i["thumbnail_url"], i["page_url"], i["width"], i["height"]) == ("http://i.png", "http://p", 640, 0)
+    vids = json.dumps([{"title": "V", "content": "http://v", "images": {"large": "http://t"},
+                        "statistics": {"viewCount": 12}, "duration": "1:00"}, {"title": "W", "url": "http://w"}])
+    v = one(spark, PV.library_video_results(F.col("x")), vids)
+    assert [(x["url"], x["thumbnail_url"], x["views"], x["duration"]) for x in v] == [
+        ("http://v", "http://t", 12, "1:00"), ("http://w", "", 0, "")]

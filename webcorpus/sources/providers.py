@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 RESULT_TYPE = ("struct<type:string,title:string,url:string,snippet:string,displayed_url:string,"
                "source:string,date:string,image_url:string,thumbnail_url:string,page_url:string,"
-               "engine_sources:array<string>>")
+               "engine_sources:array<string>,width:int,height:int,duration:string,publisher:string,"
+               "published:string,views:bigint>")
 
 SEARXNG_SCHEMA = ("struct<results:array<struct<title:string,url:string,content:string,pretty_url:string,"
                   "engines:array<string>>>>")
@@ -29,7 +30,7 @@ MAX_RELATED_TOPICS = 10
 
 def _result(**fields) -> Column:
     names = ["type", "title", "url", "snippet", "displayed_url", "source", "date", "image_url", "thumbnail_url",
-             "page_url", "engine_sources"]
+             "page_url", "engine_sources", "width", "height", "duration", "publisher", "published", "views"]
     cols = [(fields.get(n) if n in fields else F.lit(None)).alias(n) for n in names]
     return F.struct(*cols).cast(RESULT_TYPE)
 
@@ -76,6 +77,44 @@ def library_text_results(doc: Column) -> Column:
     return F.filter(recs, lambda r: r["url"] != "")
 
 
+LIBRARY_NEWS_SCHEMA = ("array<struct<title:string,url:string,link:string,body:string,excerpt:string,"
+                       "source:string,date:string>>")
+LIBRARY_IMAGE_SCHEMA = ("array<struct<title:string,image:string,thumbnail:string,url:string,width:int,"
+                        "height:int>>")
+LIBRARY_VIDEO_SCHEMA = ("array<struct<title:string,content:string,url:string,images:struct<large:string>,"
+                        "duration:string,publisher:string,published:string,statistics:struct<viewCount:bigint>>>")
+
+
+def library_news_results(doc: Column) -> Column:
+    """SRC6 (news records): url from ``url`` or ``link``, snippet from ``body`` or
+    ``excerpt``, source and date as given."""
+    items = F.coalesce(F.from_json(doc, LIBRARY_NEWS_SCHEMA), F.array())
+    return F.transform(items, lambda i: _result(
+        type=F.lit("news"), title=_s(i["title"]), url=F.coalesce(i["url"], i["link"], F.lit("")),
+        snippet=F.coalesce(i["body"], i["excerpt"], F.lit("")), source=_s(i["source"]), date=_s(i["date"])))
+
+
+def library_image_results(doc: Column) -> Column:
+    """SRC6 (image records): image, thumbnail (else the image), page url, width and
+    height as integers (0 when absent)."""
+    items = F.coalesce(F.from_json(doc, LIBRARY_IMAGE_SCHEMA), F.array())
+    return F.transform(items, lambda i: _result(
+        type=F.lit("image"), image_url=_s(i["image"]), thumbnail_url=F.coalesce(i["thumbnail"], i["image"], F.lit("")),
+        title=_s(i["title"]), page_url=_s(i["url"]), width=F.coalesce(i["width"], F.lit(0)),
+        height=F.coalesce(i["height"], F.lit(0)), source=F.lit("duckduckgo")))
+
+
+def library_video_results(doc: Column) -> Column:
+    """SRC6 (video records): url from ``content`` or ``url``, thumbnail from
+    ``images.large``, view count from ``statistics.viewCount`` (0 when absent)."""
+    items = F.coalesce(F.from_json(doc, LIBRARY_VIDEO_SCHEMA), F.array())
+    return F.transform(items, lambda i: _result(
+        type=F.lit("video"), title=_s(i["title"]), url=F.coalesce(i["content"], i["url"], F.lit("")),
+        thumbnail_url=_s(i["images"]["large"]), duration=_s(i["duration"]), publisher=_s(i["publisher"]),
+        published=_s(i["published"]), views=F.coalesce(i["statistics"]["viewCount"], F.lit(0).cast("bigint")),
+        source=F.lit("duckduckgo")))
+
+
 def instant_answer(doc: Column) -> Column:
     """SRC7: nine renamed fields; related topics that are objects with text, first 10;
     results as (text, url)."""
