@@ -139,3 +139,19 @@ def test_library_news_images_videos(spark):
     v = one(spark, PV.library_video_results(F.col("x")), vids)
     assert [(x["url"], x["thumbnail_url"], x["views"], x["duration"]) for x in v] == [
         ("http://v", "http://t", 12, "1:00"), ("http://w", "", 0, "")]
+
+
+def test_yahoo_images_and_google_videos(spark):
+    yimg = ('<ul><li class="ld"><a href="https://r.search.yahoo.com/_ylt=A/RU=https%3a%2f%2fp.org%2f/RK=2/RS=x">'
+            '<img data-src="https://i/1.jpg" alt="one"></a></li>'
+            '<li class="ld"><img src="https://i/spacer.gif"></li><li class="ld"><img src="https://i/2.png"></li></ul>')
+    got = one(spark, PV.yahoo_image_results(F.col("x")), yimg)
+    assert [(r["image_url"], r["title"], r["page_url"]) for r in got] == [
+        ("https://i/1.jpg", "one", "https://p.org/"), ("https://i/2.png", "", "")]
+    gvid = ('<div class="g"><h3>Clip one</h3><a href="https://site.org/a">site</a>'
+            '<a href="/url?q=https%3A%2F%2Fwww.youtube.com%2Fwatch%3Fv%3D1&amp;sa=U">yt</a>'
+            '<div class="J1mWY">4:20</div><div class="VwiC3b">About the clip</div></div>'
+            '<div class="g"><a href="https://x.org/">no title</a></div>')
+    v = one(spark, PV.google_video_results(F.col("x")), gvid)
+    assert [(r["title"], r["url"], r["duration"], r["snippet"]) for r in v] == [
+        ("Clip one", "https://www.youtube.com/watch?v=1", "4:20", "About the clip")]

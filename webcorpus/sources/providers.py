@@ -255,3 +255,63 @@ def bing_video_results(raw_html: Column) -> Column:
 
     items = F.transform(_segments(raw_html, ("div", "mc_vtvc|dg_u")), one)
     return F.filter(items, lambda r: r.isNotNull() & (r["title"] != ""))
+
+
+def yahoo_image_results(raw_html: Column) -> Column:
+    """EXT24 (Yahoo): every ``img`` inside ``li.ld`` / ``li[data-pos]`` items; image from
+    data-src, else src (empty or 'spacer' images skipped); title from alt; page URL from
+    the enclosing link, redirect unwrapped; first 50."""
+    from ..functions.page import attr
+    from ..functions.serp import _segments
+    from ..functions.urls import unwrap_yahoo_redirect
+    pair = r"(?is)(?:(<a\b[^>]*>)(?:(?!</a\s*>).)*?)?(<img\b[^>]*>)"
+
+    def per_item(seg):
+        anchors = F.regexp_extract_all(seg, F.lit(pair), 1)
+        imgs = F.regexp_extract_all(seg, F.lit(pair), 2)
+        return F.arrays_zip(anchors.alias("a"), imgs.alias("img"))
+
+    items = F.flatten(F.transform(_segments(raw_html, ("li", "ld")), per_item))
+    items = F.concat(items, F.flatten(F.transform(_segments(raw_html, ("li", "[data-pos]")), per_item)))
+
+    def one(z):
+        src = F.coalesce(F.when(F.coalesce(attr(z["img"], "data-src"), F.lit("")) != "", attr(z["img"], "data-src")),
+                         attr(z["img"], "src"), F.lit(""))
+        page = unwrap_yahoo_redirect(F.coalesce(attr(z["a"], "href"), F.lit("")))
+        return F.when((src != "") & ~src.contains("spacer"), _result(
+            type=F.lit("image"), image_url=src, thumbnail_url=src, title=F.coalesce(attr(z["img"], "alt"), F.lit("")),
+            page_url=page, source=F.lit("yahoo")))
+
+    return F.slice(F.filter(F.transform(items, one), lambda r: r.isNotNull()), 1, IMAGE_CAP)
+
+
+def google_video_results(raw_html: Column) -> Column:
+    """EXT25 (Google): ``div.g`` / ``div[data-hveid]`` items with an ``h3`` title; the
+    first link to youtube / video / watch, else the first link; redirect unwrapped and
+    required to start with http; duration and snippet from their elements."""
+    from ..functions.page import attr
+    from ..functions.serp import _segments
+    from ..functions.text import ANY_TAG, clean_text, decode_entities
+    from ..functions.urls import unwrap_google_redirect
+
+    def text(h):
+        return clean_text(decode_entities(F.regexp_replace(h, ANY_TAG, "")))
+
+    def one(seg):
+        h3 = F.regexp_extract(seg, r"(?is)<h3\b[^>]*>(.*?)</h3\s*>", 1)
+        video_a = F.regexp_extract(seg, r"(?is)(<a\b(?=[^>]*\shref\s*=\s*[\"']?[^\"'>]*(?:youtube|video|watch))[^>]*>)", 1)
+        any_a = F.regexp_extract(seg, r"(?is)(<a\b[^>]*>)", 1)
+        a = F.when(video_a != "", video_a).otherwise(any_a)
+        url = unwrap_google_redirect(F.coalesce(attr(a, "href"), F.lit("")))
+        dur = F.coalesce(
+            F.when(seg.rlike(r"(?is)<div\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?J1mWY(?:\s[^\"']*)?[\"'])"),
+                   text(F.regexp_extract(seg, r"(?is)<div\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?J1mWY(?:\s[^\"']*)?[\"'])[^>]*>(.*?)</div\s*>", 1))),
+            F.when(seg.rlike(r"(?is)<span\b(?=[^>]*\sclass\s*=\s*[\"'][^\"']*duration)"),
+                   text(F.regexp_extract(seg, r"(?is)<span\b(?=[^>]*\sclass\s*=\s*[\"'][^\"']*duration)[^>]*>(.*?)</span\s*>", 1))),
+            F.lit(""))
+        snip = text(F.regexp_extract(seg, r"(?is)<div\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?VwiC3b(?:\s[^\"']*)?[\"'])[^>]*>(.*?)</div\s*>", 1))
+        ok = seg.rlike(r"(?is)<h3\b") & (a != "") & url.startswith("http")
+        return F.when(ok, _result(type=F.lit("video"), title=text(h3), url=url, snippet=snip, duration=dur,
+                                  source=F.lit("google")))
+
+    return F.filter(F.transform(_segments(raw_html, ("div", "g")), one), lambda r: r.isNotNull())
