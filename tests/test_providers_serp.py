@@ -155,3 +155,18 @@ def test_yahoo_images_and_google_videos(spark):
     v = one(spark, PV.google_video_results(F.col("x")), gvid)
     assert [(r["title"], r["url"], r["duration"], r["snippet"]) for r in v] == [
         ("Clip one", "https://www.youtube.com/watch?v=1", "4:20", "About the clip")]
+
+
+def test_yahoo_videos_and_duckduckgo_news(spark):
+    yv = ('<li class="vr"><a class="vr-title" href="https://v.org/1">First</a><img src="https://t/1.jpg">'
+          '<span class="v-time">2:00</span><span class="v-source">Tube</span></li>'
+          '<li class="vr"><a href="https://v.org/2" title="Only attr"></a></li>')
+    v = one(spark, PV.yahoo_video_results(F.col("x")), yv)
+    assert [(r["title"], r["url"], r["duration"], r["video_source"], r["thumbnail_url"]) for r in v] == [
+        ("First", "https://v.org/1", "2:00", "Tube", "https://t/1.jpg"), ("Only attr", "https://v.org/2", "", "", "")]
+    dn = ('<div class="result"><h2><a class="result__a" href="https://n.org/1">Story</a></h2>'
+          '<a class="result__snippet">Text</a><span class="result__extras__url">n.org</span></div>'
+          '<div class="result"><a class="result__a" href="https://n.org/1">Story</a></div>')
+    n = one(spark, PV.duckduckgo_news_results(F.col("x")), dn)
+    assert [(r["title"], r["url"], r["snippet"], r["source"], r["type"]) for r in n] == [
+        ("Story", "https://n.org/1", "Text", "n.org", "news"), ("Story", "https://n.org/1", "", "duckduckgo", "news")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 RESULT_TYPE = ("struct<type:string,title:string,url:string,snippet:string,displayed_url:string,"
                "source:string,date:string,image_url:string,thumbnail_url:string,page_url:string,"
                "engine_sources:array<string>,width:int,height:int,duration:string,publisher:string,"
-               "published:string,views:bigint>")
+               "published:string,views:bigint,video_source:string>")
 
 SEARXNG_SCHEMA = ("struct<results:array<struct<title:string,url:string,content:string,pretty_url:string,"
                   "engines:array<string>>>>")
@@ -30,7 +30,8 @@ MAX_RELATED_TOPICS = 10
 
 def _result(**fields) -> Column:
     names = ["type", "title", "url", "snippet", "displayed_url", "source", "date", "image_url", "thumbnail_url",
-             "page_url", "engine_sources", "width", "height", "duration", "publisher", "published", "views"]
+             "page_url", "engine_sources", "width", "height", "duration", "publisher", "published", "views",
+             "video_source"]
     cols = [(fields.get(n) if n in fields else F.lit(None)).alias(n) for n in names]
     return F.struct(*cols).cast(RESULT_TYPE)
 
@@ -315,3 +316,76 @@ def google_video_results(raw_html: Column) -> Column:
                                   source=F.lit("google")))
 
     return F.filter(F.transform(_segments(raw_html, ("div", "g")), one), lambda r: r.isNotNull())
+
+
+def _class_el(tag: str | None, cls: str) -> str:
+    """Regex: start tag (any tag when None) carrying a class token, then inner html."""
+    t = tag or "[A-Za-z][A-Za-z0-9]*"
+    return (rf"(?is)<{t}\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?{cls}(?:\s[^\"']*)?[\"'])[^>]*>(.*?)"
+            rf"</[A-Za-z][A-Za-z0-9]*\s*>")
+
+
+def yahoo_video_results(raw_html: Column) -> Column:
+    """EXT25 (Yahoo): ``li.vr`` / ``div[data-uuid]`` items; link ``a.vr-title`` else the
+    first link; title from its text, else its title attribute; redirect unwrapped;
+    duration, thumbnail and video source from their first elements."""
+    from ..functions.page import attr
+    from ..functions.serp import _segments
+    from ..functions.text import ANY_TAG, clean_text, decode_entities
+    from ..functions.urls import unwrap_yahoo_redirect
+
+    def text(h):
+        return clean_text(decode_entities(F.regexp_replace(h, ANY_TAG, "")))
+
+    def first_of(seg, pats):
+        return F.coalesce(*[F.when(seg.rlike(p), text(F.regexp_extract(seg, p, 1))) for p in pats], F.lit(""))
+
+    def one(seg):
+        titled = r"(?is)(<a\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?vr-title(?:\s[^\"']*)?[\"'])[^>]*>)(.*?)</a\s*>"
+        plain = r"(?is)(<a\b[^>]*>)(.*?)</a\s*>"
+        use_t = seg.rlike(titled)
+        a_tag = F.when(use_t, F.regexp_extract(seg, titled, 1)).otherwise(F.regexp_extract(seg, plain, 1))
+        a_txt = F.when(use_t, F.regexp_extract(seg, titled, 2)).otherwise(F.regexp_extract(seg, plain, 2))
+        title = F.when(text(a_txt) != "", text(a_txt)).otherwise(clean_text(F.coalesce(attr(a_tag, "title"), F.lit(""))))
+        img = F.regexp_extract(seg, r"(?is)(<img\b[^>]*>)", 1)
+        rec = _result(type=F.lit("video"), title=title,
+                      url=unwrap_yahoo_redirect(F.coalesce(attr(a_tag, "href"), F.lit(""))),
+                      thumbnail_url=F.coalesce(attr(img, "src"), F.lit("")),
+                      duration=first_of(seg, [_class_el("span", "v-time"), _class_el(None, "duration")]),
+                      video_source=first_of(seg, [_class_el("span", "v-source"), _class_el(None, "source")]),
+                      source=F.lit("yahoo"))
+        return F.when((a_tag != "") & (title != ""), rec)
+
+    items = F.concat(F.transform(_segments(raw_html, ("li", "vr")), one),
+                     F.transform(_segments(raw_html, ("div", "[data-uuid]")), one))
+    return F.filter(items, lambda r: r.isNotNull())
+
+
+def duckduckgo_news_results(raw_html: Column) -> Column:
+    """EXT23 (DuckDuckGo HTML, news): like the web results (``a.result__a`` or ``h2 a``,
+    snippet element, no de-duplication), typed news, with the source taken from
+    ``.result__extras__url`` when present."""
+    from ..functions.page import attr
+    from ..functions.serp import _segments
+    from ..functions.text import ANY_TAG, clean_text, decode_entities
+
+    def text(h):
+        return clean_text(decode_entities(F.regexp_replace(h, ANY_TAG, "")))
+
+    def one(seg):
+        ra = r"(?is)(<a\b(?=[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?result__a(?:\s[^\"']*)?[\"'])[^>]*>)(.*?)</a\s*>"
+        h2a = r"(?is)<h2\b[^>]*>.*?(<a\b[^>]*>)(.*?)</a\s*>"
+        use_ra = seg.rlike(ra)
+        tag = F.when(use_ra, F.regexp_extract(seg, ra, 1)).otherwise(F.regexp_extract(seg, h2a, 1))
+        title = text(F.when(use_ra, F.regexp_extract(seg, ra, 2)).otherwise(F.regexp_extract(seg, h2a, 2)))
+        url = F.coalesce(attr(tag, "href"), F.lit(""))
+        snip_pat = _class_el(None, "result__snippet")
+        extras = _class_el(None, "result__extras__url")
+        rec = _result(type=F.lit("news"), title=title, url=url,
+                      snippet=F.when(seg.rlike(snip_pat), text(F.regexp_extract(seg, snip_pat, 1))).otherwise(F.lit("")),
+                      source=F.when(seg.rlike(extras), text(F.regexp_extract(seg, extras, 1)))
+                      .otherwise(F.lit("duckduckgo")))
+        return F.when((tag != "") & (title != "") & (url != ""), rec)
+
+    return F.filter(F.transform(_segments(raw_html, ("div", "result|results_links")), one),
+                    lambda r: r.isNotNull())
