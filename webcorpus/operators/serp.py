@@ -82,24 +82,31 @@ def news_rule_table(engine: str) -> list[tuple]:
     return rows
 
 
-def _with_rule_results(segs: DataFrame, engine: str, keys, rows=None) -> DataFrame:
+def _rules_lit(rows) -> Column:
+    return F.array(*[F.struct(F.lit(i), *[F.lit(v) for v in row]) for i, row in enumerate(rows)]).cast(
+        f"array<{RULE_TYPE}>")
+
+
+def _with_rule_results(segs: DataFrame, engine: str | None, keys, rows=None, rules_col: Column | None = None) -> DataFrame:
     """Add ``res``: per rule that finds its element, struct(field, k, text, href).
 
     The rule table is data: each segment is paired with every rule of its engine
     (``explode`` of the literal rule list; no join), rows are sorted by rule inside
     each partition so consecutive rows share a pattern (Spark compiles a row-supplied
     pattern only when it changes), the element of each rule is extracted, and the
-    per-segment results are gathered again (at most a few dozen rows per segment)."""
-    rows = rows if rows is not None else rule_table(engine)
-    rules = F.array(*[F.struct(F.lit(i), *[F.lit(v) for v in row]) for i, row in enumerate(rows)])
+    per-segment results are gathered again (at most a few dozen rows per segment,
+    grouped on the segment key; the segment text itself is not shuffled)."""
+    if rules_col is None:
+        rules_col = _rules_lit(rows if rows is not None else rule_table(engine))
     pairs = segs.select(*keys, "seg_no", "rule_no", "seg",
-                        F.explode(rules.cast(f"array<{RULE_TYPE}>")).alias("r")).sortWithinPartitions("r.idx")
+                        F.regexp_extract(F.col("seg"), r"(?is)^(<[^>]*>)", 1).alias("_start"),
+                        F.explode(rules_col).alias("r")).sortWithinPartitions("r.p1", "r.p2")
     r = F.col("r")
     src = F.when(r["strip_start"], F.regexp_replace(F.col("seg"), r"(?is)^<[^>]*>", "")).otherwise(F.col("seg"))
     found1 = F.regexp_like(src, r["q1"])
     tag1, inner1 = _rx(src, r["p1"], 1), _rx(src, r["p1"], 2)
     two = r["p2"] != ""
-    el = pairs.select(*keys, "seg_no", "rule_no", "r",
+    el = pairs.select(*keys, "seg_no", "rule_no", "_start", "r",
                       F.when(two, found1 & F.regexp_like(inner1, r["q2"])).otherwise(found1).alias("found"),
                       F.when(two, _rx(inner1, r["p2"], 1)).otherwise(tag1).alias("tag"),
                       F.when(two, _rx(inner1, r["p2"], 2)).otherwise(inner1).alias("inner"))
@@ -107,14 +114,14 @@ def _with_rule_results(segs: DataFrame, engine: str, keys, rows=None) -> DataFra
     title_attr = F.when(r["href_from"] == "self", F.coalesce(
         F.regexp_extract(F.col("tag"), ATTR_VALUE.replace("{name}", "title"), 1), F.lit("")))
     ok = F.col("found") & ~(r["skip_js"] & F.coalesce(href, F.lit("")).rlike("^(#|javascript)"))
-    hits = el.filter(ok).select(*keys, "seg_no", "rule_no",
+    hits = el.filter(ok).select(*keys, "seg_no", "rule_no", "_start",
                                 F.struct(r["field"].alias("field"), r["k"].alias("k"),
                                          _text(F.col("inner")).alias("value"), href.alias("href"),
                                          clean_text(decode_entities(title_attr)).alias("title_attr")).alias("h"))
-    res = (hits.groupBy(*keys, "seg_no", "rule_no").agg(F.array_sort(F.collect_list("h")).alias("res")))
-    return segs.join(res, [*keys, "seg_no", "rule_no"], "left").withColumn(
-        "res", F.coalesce(F.col("res"), F.array().cast(
-            "array<struct<field:string,k:int,value:string,href:string,title_attr:string>>")))
+    # Segments without any matching element produce no record (every record needs a
+    # title or link element), so they can drop out here; no join back to the pages.
+    return (hits.groupBy(*keys, "seg_no", "rule_no")
+            .agg(F.array_sort(F.collect_list("h")).alias("res"), F.first("_start").alias("_start")))
 
 
 def _loop(res: Column, field: str, good, what: str = "value") -> Column:
@@ -128,10 +135,10 @@ def _first(res: Column, field: str, what: str = "value") -> Column:
     return F.try_element_at(F.filter(res, lambda x: x["field"] == field), F.lit(1))[what]
 
 
-def _engine_records(segs: DataFrame, engine: str, keys) -> DataFrame:
+def _engine_records(res: DataFrame, engine: str, keys) -> DataFrame:
+    """Record fields of one engine from the per-segment rule results."""
     rules = SP.RULES[engine]
-    df = _with_rule_results(segs, engine, keys)
-    df = df.select("*", F.regexp_extract(F.col("seg"), r"(?is)^(<[^>]*>)", 1).alias("_start"))
+    df = res
     res = F.col("res")
 
     def title_good(x):
@@ -200,14 +207,26 @@ def _engine_records(segs: DataFrame, engine: str, keys) -> DataFrame:
 
 def extract_results(captures: DataFrame, keys=("query_id", "engine", "page_no")) -> DataFrame:
     """``captures(keys..., engine, html)`` -> one row per extracted result:
-    ``(keys..., pos, title, url, snippet, displayed_url)``."""
+    ``(keys..., pos, title, url, snippet, displayed_url)``.
+
+    One pass over the captures: segments and rule lists are chosen per row by engine,
+    so the pages are read and cut once, evaluated once and gathered with one exchange;
+    only the small per-segment results are split by engine for the final fields."""
     keys = list(keys)
+    engine = F.col("engine")
+    segs_expr = None
+    rules_expr = None
+    for e in SP.RULES:
+        s_e, r_e = SP.container_segments(F.col("html"), e), _rules_lit(rule_table(e))
+        segs_expr = F.when(engine == e, s_e) if segs_expr is None else segs_expr.when(engine == e, s_e)
+        rules_expr = F.when(engine == e, r_e) if rules_expr is None else rules_expr.when(engine == e, r_e)
+    segs = (captures.filter(engine.isin(*SP.RULES))
+            .select(*keys, F.posexplode(segs_expr).alias("seg_no", "s"))
+            .select(*keys, "seg_no", F.col("s.rule_no").alias("rule_no"), F.col("s.seg").alias("seg")))
+    res = _with_rule_results(segs, None, keys, rules_col=rules_expr)
     parts = []
-    for engine in SP.RULES:
-        segs = (captures.filter(F.col("engine") == engine)
-                .select(*keys, F.posexplode(SP.container_segments(F.col("html"), engine)).alias("seg_no", "s"))
-                .select(*keys, "seg_no", F.col("s.rule_no").alias("rule_no"), F.col("s.seg").alias("seg")))
-        recs = _engine_records(segs, engine, keys)
+    for e in SP.RULES:
+        recs = _engine_records(res.filter(engine == e), e, keys)
         parts.append(recs.select(*keys, "seg_no", "rule_no", "title", "url", "snippet", "displayed_url"))
     kept = parts[0]
     for p in parts[1:]:
