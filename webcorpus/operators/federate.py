@@ -127,10 +127,14 @@ def pagination_cut(results: DataFrame, spark: SparkSession, num_results: int = 1
     if fast_mode:
         budget = F.when(F.col("engine") == "google", F.lit(1)).otherwise(budget)
     w = Window.partitionBy("query_id", "engine").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    w_n = Window.partitionBy("query_id", "engine").orderBy("page_no")
     short = (F.col("n_rows") < F.col("stop_below")).cast("int")
+    # an absent page number is a page without rows: it is short, so nothing after it
+    # is fetched; a page is kept only if every earlier page is present and not short
     return (pages.filter(F.col("page_no") < budget)
             .withColumn("_short_before", F.coalesce(F.sum(short).over(w), F.lit(0)))
-            .filter(F.col("_short_before") == 0)
+            .withColumn("_present_before", F.row_number().over(w_n) - 1)
+            .filter((F.col("_short_before") == 0) & (F.col("_present_before") == F.col("page_no")))
             .select("query_id", "engine", "page_no", F.col("n_rows").cast("long").alias("n_rows")))
 
 

@@ -82,9 +82,11 @@ p AS (SELECT query_id, r.engine, c.page_size, c.page_cap, c.stop_below,
       FROM engine_results r JOIN cfg c ON lower(r.engine) = c.engine WHERE url IS NOT NULL
       GROUP BY ALL),
 q AS (SELECT *, coalesce(sum(CAST(n_rows < stop_below AS INT)) OVER (PARTITION BY query_id, engine ORDER BY page_no
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS short_before
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS short_before,
+             row_number() OVER (PARTITION BY query_id, engine ORDER BY page_no) - 1 AS present_before
       FROM p WHERE page_no < least(ceil(100 / page_size), page_cap))
-SELECT query_id, engine, page_no, CAST(n_rows AS BIGINT) AS n_rows FROM q WHERE short_before = 0""")
+SELECT query_id, engine, page_no, CAST(n_rows AS BIGINT) AS n_rows FROM q
+WHERE short_before = 0 AND present_before = page_no""")
 def pagination_cut(spark, sf_dir):
     return FE.pagination_cut(derived.view(spark, sf_dir, "engine_results"), spark, num_results=100)
 
