@@ -163,3 +163,15 @@ def test_crawl_matches_fifo_queue(spark):
             if depth < 3:
                 queue += [(v, depth + 1) for v in links.get(u, [])[:20] if v not in seen]
         assert [(p, d) for _, p, d in sorted(got[seed])] == order
+
+
+def test_query_envelopes_are_bounded_and_ordered(spark):
+    rows = [(1, e, r, "web", f"t{r}", f"http://{e}/{r % 3}", None, "s") for e in ("google", "bing") for r in range(1, 8)]
+    df = spark.createDataFrame(rows, "query_id long, engine string, rank int, type string, title string, url string, "
+                                     "image_url string, snippet string")
+    env = FE.query_envelopes(df, spark, max_per_engine=5).collect()[0]
+    assert [x["rank"] for x in env["engines"]["google"]] == [1, 2, 3, 4, 5]
+    assert [(x["engine"], x["url"]) for x in env["all_results"]] == [
+        ("google", "http://google/1"), ("google", "http://google/2"), ("google", "http://google/0"),
+        ("bing", "http://bing/1"), ("bing", "http://bing/2"), ("bing", "http://bing/0")]
+    assert env["total_results"] == 6 and env["engines_succeeded"] == 2 and env["success"]

@@ -149,3 +149,29 @@ def limit_per_query(results: DataFrame, limits: DataFrame) -> DataFrame:
             .filter(F.col("pos") <= MAX_NUM_RESULTS)
             .filter(F.col("pos") <= F.col("num_results"))
             .select("query_id", "engine", "rank", "url", F.col("pos").cast("int").alias("pos")))
+
+
+def query_envelopes(results: DataFrame, spark: SparkSession, max_per_engine: int = MAX_NUM_RESULTS) -> DataFrame:
+    """AGG4: one response row per query: results per engine (``map<engine, array>``, in
+    rank order) and the merged distinct list (DEDUP2 order), with counters.
+
+    Every list is bounded before it is gathered: at most ``max_per_engine`` rows per
+    (query, engine) survive a literal ``row_number`` limit (partial limit before the
+    exchange), so one query never gathers more than engines x limit rows."""
+    r = with_engine_config(results, spark)
+    w = Window.partitionBy("query_id", "engine").orderBy("rank", "url")
+    top = (r.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_per_engine)
+           .select("query_id", "engine", "engine_no", "rank", "title", "url", "snippet"))
+    per_engine = (top.groupBy("query_id", "engine")
+                  .agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "snippet"))).alias("results")))
+    engines = per_engine.groupBy("query_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("engine", "results"))).alias("engines"),
+        F.count_if(F.size("results") > 0).alias("engines_succeeded"))
+    merged = (merge_results(top.drop("engine_no"), spark).groupBy("query_id")
+              .agg(F.array_sort(F.collect_list(F.struct("engine_no", "rank", "url", "engine", "title")))
+                   .alias("all_results")))
+    return (engines.join(merged, "query_id", "left")
+            .withColumn("all_results", F.coalesce("all_results", F.array().cast(
+                "array<struct<engine_no:int,rank:int,url:string,engine:string,title:string>>")))
+            .withColumn("total_results", F.size("all_results"))
+            .withColumn("success", F.col("total_results") > 0))
