@@ -67,27 +67,24 @@ def quota_replay(log: DataFrame, key: str = "engine", requests_per_minute: int =
     ev = log.select(F.col(key).cast("string").alias("key"), F.col(order_id).alias("request_id"),
                     epoch_seconds(ts).alias("t"))
     ev = ev.withColumn("minute", F.floor(F.col("t") / 60).cast("long"))
-    # minute rows: first and last time per (key, minute); the previous minute's last time
-    mins = ev.groupBy("key", "minute").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
-    w_min = Window.partitionBy("key").orderBy("minute")
-    mins = mins.withColumn("prev_last", F.lag("t_last").over(w_min))
-    # inside a minute, gaps >= full_gap (60 s at the defaults) cannot occur when full_gap >= 60;
-    # for smaller gaps the per-minute rows are refined with a window local to the minute.
+    # One exchange on (key, minute) serves every row-level window below, and the
+    # minute-level aggregates are computed on that same partitioning; the log is
+    # scanned once. Windows are bounded by one key's traffic in one minute.
     w_local = Window.partitionBy("key", "minute").orderBy("t", "request_id")
-    ev = ev.withColumn("prev_t", F.lag("t").over(w_local))
+    ev = ev.repartition("key", "minute").withColumn("prev_t", F.lag("t").over(w_local))
+    mins = ev.groupBy("key", "minute").agg(F.max("t").alias("t_last"))
+    w_min = Window.partitionBy("key").orderBy("minute")
+    mins = mins.withColumn("prev_last", F.lag("t_last").over(w_min))  # minute rows only
     ev = ev.join(mins.select("key", "minute", "prev_last"), ["key", "minute"])
     prev = F.coalesce(F.col("prev_t"), F.col("prev_last"))
     ev = ev.withColumn("starts", prev.isNull() | (F.col("t") - prev >= full_gap))
-    starts = ev.filter("starts").select("key", F.col("t").alias("seg_start"))
-    # segment of a row = latest segment start at or before it, found per minute then carried
-    seg_min = (starts.withColumn("minute", F.floor(F.col("seg_start") / 60).cast("long"))
-               .groupBy("key", "minute").agg(F.max("seg_start").alias("last_start_in_min")))
-    carried = (mins.select("key", "minute").join(seg_min, ["key", "minute"], "left")
-               .withColumn("carry", F.max("last_start_in_min").over(
-                   w_min.rowsBetween(Window.unboundedPreceding, -1))))
-    ev = ev.join(carried.select("key", "minute", "carry"), ["key", "minute"])
     w_seg = w_local.rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("local_start", F.max(F.when(F.col("starts"), F.col("t"))).over(w_seg))
+    # the latest segment start of each minute, carried forward over the minute rows
+    seg_min = ev.groupBy("key", "minute").agg(F.max("local_start").alias("last_start_in_min"))
+    carried = seg_min.withColumn("carry", F.max("last_start_in_min").over(
+        w_min.rowsBetween(Window.unboundedPreceding, -1)))
+    ev = ev.join(carried.select("key", "minute", "carry"), ["key", "minute"])
     ev = ev.withColumn("segment", F.coalesce("local_start", "carry"))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
