@@ -67,23 +67,26 @@ def quota_replay(log: DataFrame, key: str = "engine", requests_per_minute: int =
     ev = log.select(F.col(key).cast("string").alias("key"), F.col(order_id).alias("request_id"),
                     epoch_seconds(ts).alias("t"))
     ev = ev.withColumn("minute", F.floor(F.col("t") / 60).cast("long"))
-    # One exchange on (key, minute) serves every row-level window below, and the
-    # minute-level aggregates are computed on that same partitioning; the log is
-    # scanned once. Windows are bounded by one key's traffic in one minute.
+    # One exchange on (key, minute) feeds every consumer (the row path and the two
+    # minute-level tables are read from that same exchange, so the log is scanned
+    # once). Row windows are bounded by one key's traffic in one minute; the
+    # minute-level windows run over one row per (key, minute).
     w_local = Window.partitionBy("key", "minute").orderBy("t", "request_id")
-    ev = ev.repartition("key", "minute").withColumn("prev_t", F.lag("t").over(w_local))
-    mins = ev.groupBy("key", "minute").agg(F.max("t").alias("t_last"))
+    base = ev.repartition("key", "minute")
+    ev = (base.withColumn("prev_t", F.lag("t").over(w_local))
+          .withColumn("is_last", F.lead("t").over(w_local).isNull()))
     w_min = Window.partitionBy("key").orderBy("minute")
-    mins = mins.withColumn("prev_last", F.lag("t_last").over(w_min))  # minute rows only
+    mins = (ev.filter("is_last").select("key", "minute", F.col("t").alias("t_last"))
+            .withColumn("prev_last", F.lag("t_last").over(w_min)))
     ev = ev.join(mins.select("key", "minute", "prev_last"), ["key", "minute"])
     prev = F.coalesce(F.col("prev_t"), F.col("prev_last"))
     ev = ev.withColumn("starts", prev.isNull() | (F.col("t") - prev >= full_gap))
     w_seg = w_local.rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("local_start", F.max(F.when(F.col("starts"), F.col("t"))).over(w_seg))
-    # the latest segment start of each minute, carried forward over the minute rows
-    seg_min = ev.groupBy("key", "minute").agg(F.max("local_start").alias("last_start_in_min"))
-    carried = seg_min.withColumn("carry", F.max("last_start_in_min").over(
-        w_min.rowsBetween(Window.unboundedPreceding, -1)))
+    # the latest segment start of each minute (the running value at its last row),
+    # carried forward over the minute rows
+    carried = (ev.filter("is_last").select("key", "minute", F.col("local_start").alias("last_start_in_min"))
+               .withColumn("carry", F.max("last_start_in_min").over(w_min.rowsBetween(Window.unboundedPreceding, -1))))
     ev = ev.join(carried.select("key", "minute", "carry"), ["key", "minute"])
     ev = ev.withColumn("segment", F.coalesce("local_start", "carry"))
 
