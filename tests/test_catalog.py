@@ -31,3 +31,12 @@ def test_entry_contract(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert "title" in df.columns and "domain" in df.columns
+
+
+def test_sql_views(spark):
+    from webcorpus.plans.sql import register_views
+    names = register_views(spark, SMALL, ["page_overview", "url_domain"])
+    assert names == ["page_overview", "url_domain"]
+    n = spark.sql("SELECT count(*) AS n FROM page_overview o JOIN url_domain d USING (page_id) "
+                  "WHERE o.domain = d.domain").first()["n"]
+    assert n == spark.table("page_overview").count()
