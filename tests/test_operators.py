@@ -175,3 +175,14 @@ def test_query_envelopes_are_bounded_and_ordered(spark):
         ("google", "http://google/1"), ("google", "http://google/2"), ("google", "http://google/0"),
         ("bing", "http://bing/1"), ("bing", "http://bing/2"), ("bing", "http://bing/0")]
     assert env["total_results"] == 6 and env["engines_succeeded"] == 2 and env["success"]
+
+
+def test_request_validation_rules(spark):
+    from webcorpus.operators import batch as BA
+    reqs = spark.createDataFrame([(1, "ok", "maps", 10), (2, "", "all", 10), (3, "x" * 501, "all", 0)],
+                                 "query_id long, query string, search_type string, num_results int")
+    got = {r["query_id"]: r["reasons"] for r in BA.validate_requests(reqs).collect()}
+    assert got == {1: [], 2: ["query_empty"], 3: ["query_too_long", "num_results_out_of_range"]}
+    crawl = spark.createDataFrame([("http://a", 2, 50), (" ", 0, 201)], "url string, max_depth int, max_pages int")
+    reasons = [r["reasons"] for r in BA.validate_crawl_requests(crawl).collect()]
+    assert reasons == [[], ["url_missing", "max_depth_out_of_range", "max_pages_out_of_range"]]

@@ -52,21 +52,42 @@ def batch_summary(outcomes: DataFrame, total_name: str = "total") -> DataFrame:
 def validate_requests(requests: DataFrame) -> DataFrame:
     """FLT2: add ``reasons`` (array of rule names that fail) and ``is_valid``.
 
-    Row rules of the request model: query 1..500 characters, num_results 1..100, a
-    known search type. List-size caps of the batch endpoint are dropped (a batch is a
-    DataFrame of any size)."""
+    Row rules of the request model: query 1..500 characters, num_results 1..100. The
+    search type is free text there (an unknown type simply finds nothing downstream),
+    so it is not a validation rule. List-size caps of the batch endpoint are dropped
+    (a batch is a DataFrame of any size)."""
     q = F.coalesce(F.col("query"), F.lit(""))
     reasons = F.array_compact(F.array(
         F.when(F.length(q) < 1, F.lit("query_empty")),
         F.when(F.length(q) > QUERY_MAX_CHARS, F.lit("query_too_long")),
         F.when(~F.coalesce(F.col("num_results").between(*NUM_RESULTS_RANGE), F.lit(False)),
                F.lit("num_results_out_of_range")),
-        F.when(~F.coalesce(F.col("search_type").isin(*SEARCH_TYPES), F.lit(False)),
-               F.lit("unknown_search_type")),
     ))
     return requests.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
 
 
+CRAWL_DEPTH_RANGE = (1, 5)
+CRAWL_PAGES_RANGE = (1, 200)
+CONCURRENCY_RANGE = (1, 30)
+TIMEOUT_RANGE = (5.0, 120.0)
+
+
+def validate_crawl_requests(requests: DataFrame) -> DataFrame:
+    """FLT2 for page requests: URL present, max_depth 1..5, max_pages 1..200,
+    max_concurrent 1..30, per-engine timeout 5..120 s (each rule only where the column
+    exists)."""
+    cols = set(requests.columns)
+    rules = [F.when(F.length(F.trim(F.coalesce(F.col("url"), F.lit("")))) < 1, F.lit("url_missing"))]
+    for col, (lo, hi), name in (("max_depth", CRAWL_DEPTH_RANGE, "max_depth_out_of_range"),
+                                ("max_pages", CRAWL_PAGES_RANGE, "max_pages_out_of_range"),
+                                ("max_concurrent", CONCURRENCY_RANGE, "max_concurrent_out_of_range"),
+                                ("per_engine_timeout", TIMEOUT_RANGE, "timeout_out_of_range")):
+        if col in cols:
+            rules.append(F.when(~F.coalesce(F.col(col).between(lo, hi), F.lit(False)), F.lit(name)))
+    reasons = F.array_compact(F.array(*rules))
+    return requests.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
+
+
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """FLT2 quarantine: (valid rows, rejected rows with reasons)."""
     v = validate_requests(requests)

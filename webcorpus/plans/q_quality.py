@@ -58,14 +58,12 @@ SELECT query_id,
        array_to_string(list_filter([
          CASE WHEN length(coalesce(query, '')) < 1 THEN 'query_empty' END,
          CASE WHEN length(coalesce(query, '')) > {B.QUERY_MAX_CHARS} THEN 'query_too_long' END,
-         CASE WHEN NOT coalesce(num_results BETWEEN {B.NUM_RESULTS_RANGE[0]} AND {B.NUM_RESULTS_RANGE[1]}, false) THEN 'num_results_out_of_range' END,
-         CASE WHEN NOT coalesce(search_type IN ({', '.join(D.q(s) for s in B.SEARCH_TYPES)}), false) THEN 'unknown_search_type' END
+         CASE WHEN NOT coalesce(num_results BETWEEN {B.NUM_RESULTS_RANGE[0]} AND {B.NUM_RESULTS_RANGE[1]}, false) THEN 'num_results_out_of_range' END
        ], lambda x: x IS NOT NULL), ',') AS reasons,
        len(list_filter([
          CASE WHEN length(coalesce(query, '')) < 1 THEN 'query_empty' END,
          CASE WHEN length(coalesce(query, '')) > {B.QUERY_MAX_CHARS} THEN 'query_too_long' END,
-         CASE WHEN NOT coalesce(num_results BETWEEN {B.NUM_RESULTS_RANGE[0]} AND {B.NUM_RESULTS_RANGE[1]}, false) THEN 'num_results_out_of_range' END,
-         CASE WHEN NOT coalesce(search_type IN ({', '.join(D.q(s) for s in B.SEARCH_TYPES)}), false) THEN 'unknown_search_type' END
+         CASE WHEN NOT coalesce(num_results BETWEEN {B.NUM_RESULTS_RANGE[0]} AND {B.NUM_RESULTS_RANGE[1]}, false) THEN 'num_results_out_of_range' END
        ], lambda x: x IS NOT NULL)) = 0 AS is_valid
 FROM requests""")
 def request_validate(spark, sf_dir):

@@ -15,8 +15,7 @@ def _tokens(expr: str) -> str:
 
 VALID_REQUESTS = f"""
 vq AS (SELECT * FROM requests WHERE length(coalesce(query, '')) BETWEEN 1 AND {BA.QUERY_MAX_CHARS}
-       AND coalesce(num_results BETWEEN {BA.NUM_RESULTS_RANGE[0]} AND {BA.NUM_RESULTS_RANGE[1]}, false)
-       AND coalesce(search_type IN ({', '.join(D.q(s) for s in BA.SEARCH_TYPES)}), false))"""
+       AND coalesce(num_results BETWEEN {BA.NUM_RESULTS_RANGE[0]} AND {BA.NUM_RESULTS_RANGE[1]}, false))"""
 
 
 def bm25_sql(corpus: str, queries: str, max_results: int = SE.MAX_RESULTS) -> str:
