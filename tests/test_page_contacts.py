@@ -125,3 +125,11 @@ def test_microdata_and_microformats(spark):
     mf = df.select(P.microformats(F.col("html")).alias("m")).first()["m"]
     assert mf["types"] == ["h-card"]
     assert [(p["prop"], p["value"]) for p in mf["properties"]] == [("p-name", "Cy"), ("u-url", "https://c.org/")]
+
+
+def test_nested_lists(spark):
+    html = ("<ul><li>a</li><li>b<ul><li>c</li><li>d</li></ul></li><li>e<li>f</ul>"
+            "<ol><li>1</li></ol><ul></ul><ul><li></li></ul>")
+    got = body(spark, html, lambda b, u: P.lists(b))
+    assert got["unordered"] == [["a", "bcd", "e", "f"], ["c", "d"], [""]]
+    assert got["ordered"] == [["1"]]

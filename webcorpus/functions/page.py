@@ -320,16 +320,61 @@ def microformats(raw_html: Column) -> Column:
                     F.transform(F.arrays_zip(tags.alias("tag"), texts.alias("text")), pair).alias("properties"))
 
 
+LIST_TOKENS = r"(?is)</?(?:ul|ol|li)\b[^>]*>|<[^>]*>|[^<]+"
+_LIST_T = "struct<kind:string,start:int,items:array<string>,cur:string>"
+
+
 def lists(body: Column) -> Column:
-    """EXT7: items of each ul / ol (non-nested lists), lists without items dropped."""
-    def items(kind):
-        blocks = all_inner(body, kind)
-        per = F.transform(blocks, lambda b: F.transform(
-            F.regexp_extract_all(F.regexp_replace(F.regexp_replace(b, r"(?i)<li\b[^>]*>", SEG_OPEN),
-                                                  r"(?i)</li\s*>", SEG_CLOSE), F.lit(SEGMENT), 1),
-            inner_text))
-        return F.filter(per, lambda xs: F.size(xs) > 0)
-    return F.struct(items("ol").alias("ordered"), items("ul").alias("unordered"))
+    """EXT7: items of each ul / ol in document order of the list start tags; items are
+    the direct ``li`` children (their text includes nested lists, as ``get_text``
+    does); lists without items dropped.
+
+    One fold over the page's tokens keeps a stack of open lists: a ``<li>`` starts an
+    item of the innermost list, text is appended to every open item, and a closing
+    list tag (or the end of the page) emits the list."""
+    toks = F.regexp_extract_all(body, F.lit(LIST_TOKENS), 0)
+    init = F.struct(F.lit(0).alias("i"), F.array().cast(f"array<{_LIST_T}>").alias("stack"),
+                    F.array().cast(f"array<{_LIST_T}>").alias("out"))
+
+    def close_item(lst):
+        return F.when(lst["cur"].isNotNull(), lst.withField("items", F.concat(lst["items"], F.array(lst["cur"])))
+                      .withField("cur", F.lit(None).cast("string"))).otherwise(lst)
+
+    def step(acc, tok):
+        low = F.lower(tok)
+        stack, n = acc["stack"], F.size(acc["stack"])
+        top = F.try_element_at(stack, F.lit(-1))
+        rest = F.slice(stack, 1, F.greatest(n - 1, F.lit(0)))
+        opening = low.rlike(r"^<(ul|ol)\b")
+        closing = low.rlike(r"^</(ul|ol)\b")
+        li_open = low.rlike(r"^<li\b")
+        li_close = low.rlike(r"^</li\b")
+        is_text = ~tok.startswith("<")
+        new_list = F.struct(F.when(low.startswith("<ol"), F.lit("ordered")).otherwise(F.lit("unordered")).alias("kind"),
+                            acc["i"].alias("start"), F.array().cast("array<string>").alias("items"),
+                            F.lit(None).cast("string").alias("cur"))
+        stack2 = (F.when(opening, F.concat(stack, F.array(new_list)))
+                  .when(closing & (n > 0), rest)
+                  .when(li_open & (n > 0), F.concat(rest, F.array(close_item(top).withField("cur", F.lit("")))))
+                  .when(li_close & (n > 0), F.concat(rest, F.array(close_item(top))))
+                  .when(is_text, F.transform(stack, lambda l: F.when(l["cur"].isNotNull(),
+                                                                    l.withField("cur", F.concat(l["cur"], tok)))
+                                             .otherwise(l)))
+                  .otherwise(stack))
+        out2 = F.when(closing & (n > 0), F.concat(acc["out"], F.array(close_item(top)))).otherwise(acc["out"])
+        return F.struct((acc["i"] + 1).alias("i"), stack2.alias("stack"), out2.alias("out"))
+
+    def finish(acc):
+        done = F.concat(acc["out"], F.transform(acc["stack"], close_item))
+        ordered = F.array_sort(done, lambda x, y: F.when(x["start"] < y["start"], -1)
+                               .when(x["start"] > y["start"], 1).otherwise(0))
+        cleaned = F.transform(F.filter(ordered, lambda l: F.size(l["items"]) > 0), lambda l: F.struct(
+            l["kind"].alias("kind"), F.transform(l["items"], lambda t: clean_text(decode_entities(t))).alias("items")))
+        return F.struct(
+            F.transform(F.filter(cleaned, lambda l: l["kind"] == "ordered"), lambda l: l["items"]).alias("ordered"),
+            F.transform(F.filter(cleaned, lambda l: l["kind"] == "unordered"), lambda l: l["items"]).alias("unordered"))
+
+    return F.aggregate(toks, init, step, finish)
 
 
 def tables(body: Column) -> Column:
