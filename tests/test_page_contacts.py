@@ -133,3 +133,9 @@ def test_nested_lists(spark):
     got = body(spark, html, lambda b, u: P.lists(b))
     assert got["unordered"] == [["a", "bcd", "e", "f"], ["c", "d"], [""]]
     assert got["ordered"] == [["1"]]
+
+
+def test_main_content_nested_class_block(spark):
+    html = ('<body><div class="post-body"><div>one</div><div>two <div>three</div></div></div>'
+            '<div>outside</div></body>')
+    assert body(spark, html, lambda b, u: P.main_content(b)) == "onetwo three"

@@ -155,15 +155,35 @@ def paragraphs(body: Column, min_length: int = MIN_PARAGRAPH_LENGTH) -> Column:
     return F.filter(recs, lambda r: r["length"] >= min_length)
 
 
+def nested_inner(body: Column, start: str) -> Column:
+    """Inner html of the first element whose start tag matches ``start`` (group 1 = tag
+    name), up to its *matching* close tag: the text after the start tag is split at
+    close tags of that name and a fold counts the same-name start tags in each piece
+    (depth), so nested elements of the same name stay inside. Unclosed: to the end."""
+    name = F.regexp_extract(body, start, 1)
+    rest = F.regexp_extract(body, start + "(.*)$", 2)
+    close_tag = F.concat(F.lit("</"), name, F.lit(">"))
+    pieces = F.split(rest, F.concat(F.lit("(?i)</"), name, F.lit(r"\s*>")), -1)
+    marked = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), (i == F.size(pieces) - 1).alias("last")))
+    opens = F.concat(F.lit("(?i)<"), name, F.lit(r"\b"))
+    init = F.struct(F.lit(1).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("out"))
+
+    def step(acc, x):
+        d = acc["depth"] + F.regexp_count(x["p"], opens) - 1
+        more = F.when(~x["last"] & (d > 0), close_tag).otherwise(F.lit(""))
+        return F.when(acc["done"], acc).otherwise(F.struct(
+            d.alias("depth"), (d <= 0).alias("done"), F.concat(acc["out"], x["p"], more).alias("out")))
+
+    return F.aggregate(marked, init, step)["out"]
+
+
 def main_content(body: Column) -> Column:
     """EXT15: first of main, article, an element whose class contains content /
-    article / post, body, the whole document. Presence decides (an empty main gives "")."""
+    article / post (to its matching close tag), body, the whole document. Presence
+    decides (an empty main gives "")."""
     def class_block(word):
         start = rf"(?is)<([A-Za-z][A-Za-z0-9]*)\b[^>]*\bclass\s*=\s*[\"']?[^\"'>]*{word}[^>]*>"
-        name = F.regexp_extract(body, start, 1)
-        rest = F.regexp_extract(body, start + "(.*)$", 2)
-        inner = F.element_at(F.split(rest, F.concat(F.lit("(?i)</"), name, F.lit(r"\s*>"))), 1)
-        return body.rlike(start), inner
+        return body.rlike(start), nested_inner(body, start)
 
     out = F.when(has_tag(body, "main"), inner_text(element_inner(body, "main"))) \
         .when(has_tag(body, "article"), inner_text(element_inner(body, "article")))

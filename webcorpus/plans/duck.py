@@ -86,14 +86,26 @@ def main_content(b: str) -> str:
              f"WHEN {has_tag(b, 'article')} THEN {inner_text(element_inner(b, 'article'))}"]
     for word in ("content", "article", "post"):
         start = rf"(?is)<([A-Za-z][A-Za-z0-9]*)\b[^>]*\bclass\s*=\s*[\"']?[^\"'>]*{word}[^>]*>"
-        name = f"regexp_extract({b}, {q(start)}, 1)"
-        rest = f"regexp_extract({b}, {q(start + '(.*)$')}, 2)"
-        inner = f"string_split_regex({rest}, '(?i)</' || {name} || {q(r'\s*>')})[1]"
-        parts.append(f"WHEN regexp_matches({b}, {q(start)}) THEN {inner_text(inner)}")
+        parts.append(f"WHEN regexp_matches({b}, {q(start)}) THEN {inner_text(nested_inner(b, start))}")
     parts.append(f"WHEN {has_tag(b, 'body')} THEN {inner_text(element_inner(b, 'body'))}")
     return "CASE " + " ".join(parts) + f" ELSE {inner_text(b)} END"
 
 
+def nested_inner(b: str, start: str) -> str:
+    """DuckDB form of functions.page.nested_inner (split at same-name close tags, fold
+    the depth)."""
+    name = f"regexp_extract({b}, {q(start)}, 1)"
+    rest = f"regexp_extract({b}, {q(start + '(.*)$')}, 2)"
+    pieces = f"string_split_regex({rest}, '(?i)</' || {name} || {q(r'\s*>')})"
+    opens = f"'(?i)<' || {name} || {q(chr(92) + 'b')}"
+    marked = f"list_transform({pieces}, lambda p, i: {{'p': p, 'last': i = len({pieces})}})"
+    init = "{'depth': 1, 'done': false, 'out': ''}"
+    d = f"(acc.depth + len(string_split_regex(x.p, {opens})) - 1)"
+    step = (f"lambda acc, x: CASE WHEN acc.done THEN acc ELSE {{'depth': {d}, 'done': {d} <= 0, "
+            f"'out': acc.out || x.p || CASE WHEN NOT x.last AND {d} > 0 THEN '</' || {name} || '>' ELSE '' END}} END")
+    return f"list_reduce({marked}, {step}, {init}).out"
+
+
 def attr(tag: str, name: str) -> str:
     """Attribute value of one start tag, NULL when absent (bare attributes aside)."""
     pat = P.ATTR_VALUE.replace("{name}", name)
