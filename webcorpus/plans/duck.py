@@ -100,7 +100,7 @@ def nested_inner(b: str, start: str) -> str:
     opens = f"'(?i)<' || {name} || {q(chr(92) + 'b')}"
     marked = f"list_transform({pieces}, lambda p, i: {{'p': p, 'last': i = len({pieces})}})"
     init = "{'depth': 1, 'done': false, 'out': ''}"
-    d = f"(acc.depth + len(string_split_regex(x.p, {opens})) - 1)"
+    d = f"(acc.depth + (len(string_split_regex(x.p, {opens})) - 1) - 1)"  # + opens in the piece, - its close
     step = (f"lambda acc, x: CASE WHEN acc.done THEN acc ELSE {{'depth': {d}, 'done': {d} <= 0, "
             f"'out': acc.out || x.p || CASE WHEN NOT x.last AND {d} > 0 THEN '</' || {name} || '>' ELSE '' END}} END")
     return f"list_reduce({marked}, {step}, {init}).out"
