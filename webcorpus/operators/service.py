@@ -8,7 +8,7 @@ proxy_source, attempt_no, success, n_results, status_code, response_time, error)
 
 Scale notes:
 * Every report is a hash aggregate with map-side partial aggregation; sliding
-  windows are expanded per row (at most 32 copies) before the partial aggregate.
+  windows are built from per-slide partial counts, so raw rows are never copied.
 * Exact percentiles are computed from (group, value) counts, so the ordered window
   runs over distinct values per group, never over all rows of a group.
 * Source health is a prefix scan: the failure counter ``f = max(0, f + d)`` has the
@@ -125,34 +125,33 @@ def top_sources(health: DataFrame, n: int = 5, key: str = "proxy") -> DataFrame:
             .select(key, "score", F.round("response_time", 2).alias("response_time")))
 
 
-def window_expand(df: DataFrame, kinds=WINDOW_KINDS) -> DataFrame:
-    """Rows -> (window_kind, window_start) copies for tumbling and sliding windows,
-    epoch-aligned like Spark's ``window``."""
-    epoch = F.unix_timestamp(F.col("ts"))  # whole seconds; a TIMESTAMP_NTZ is read as UTC wall time
-    def starts(name, base, slide):
-        return lambda k: F.struct(F.lit(name).alias("window_kind"), (base - k * slide).cast("long").alias("start"))
-
-    parts = []
-    for name, size, slide in kinds:
-        base = F.floor(epoch / slide) * slide
-        parts.append(F.transform(F.sequence(F.lit(0), F.lit(size // slide - 1)), starts(name, base, slide)))
-    w = F.explode(F.concat(*parts))
-    return (df.withColumn("_w", w)
-            .withColumn("window_kind", F.col("_w.window_kind"))
-            .withColumn("window_start", F.date_format(
-                F.expr("timestampadd(SECOND, _w.start, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), TS_FMT))
-            .drop("_w"))
-
-
 def success_rates(log: DataFrame) -> DataFrame:
     """AGG7: success rate per engine and overall in 1h tumbling, 24h/1h and 7d/1d
-    sliding windows (grouping sets, one shuffle)."""
-    df = window_expand(normalized(log).select("ts", "engine", "success"))
-    g = (df.groupingSets([["window_kind", "window_start", "engine"], ["window_kind", "window_start"]],
-                         "window_kind", "window_start", "engine")
-         .agg(F.count(F.lit(1)).alias("requests"), F.count_if("success").alias("successes")))
-    return g.select("window_kind", "window_start", F.coalesce("engine", F.lit("all")).alias("engine"),
-                    "requests", "successes",
+    sliding windows.
+
+    Counts are additive, so the log is aggregated once into per-(engine, slide)
+    partials (map-side partial aggregation: the shuffle carries one row per task and
+    bucket), and only those partial rows are copied into the sliding windows they
+    belong to; raw rows are never multiplied by the window overlap."""
+    n = normalized(log).select(F.unix_timestamp("ts").alias("sec"), "engine", "success")
+    slides = sorted({slide for _, _, slide in WINDOW_KINDS})
+    parts = n.groupBy("engine", *[F.floor(F.col("sec") / sl).cast("long").alias(f"b{sl}") for sl in slides]).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if("success").alias("successes"))
+    expanded = None
+    for name, size, slide in WINDOW_KINDS:
+        per = (parts.groupBy("engine", f"b{slide}")
+               .agg(F.sum("requests").alias("requests"), F.sum("successes").alias("successes")))
+        one = (per.select("engine", f"b{slide}", "requests", "successes",
+                          F.explode(F.sequence(F.lit(0), F.lit(size // slide - 1))).alias("k"))
+               .select("engine", F.lit(name).alias("window_kind"),
+                       ((F.col(f"b{slide}") - F.col("k")) * slide).alias("start"), "requests", "successes"))
+        expanded = one if expanded is None else expanded.unionByName(one)
+    g = (expanded.groupingSets([["window_kind", "start", "engine"], ["window_kind", "start"]],
+                               "window_kind", "start", "engine")
+         .agg(F.sum("requests").alias("requests"), F.sum("successes").alias("successes")))
+    start_text = F.date_format(F.expr("timestampadd(SECOND, start, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), TS_FMT)
+    return g.select("window_kind", start_text.alias("window_start"), F.coalesce("engine", F.lit("all")).alias("engine"),
+                    F.col("requests").cast("long").alias("requests"), F.col("successes").cast("long").alias("successes"),
                     F.round(F.col("successes") / F.col("requests"), 6).alias("success_rate"))
 
 
