@@ -187,7 +187,9 @@ def main_content(body: Column) -> Column:
 
     out = F.when(has_tag(body, "main"), inner_text(element_inner(body, "main"))) \
         .when(has_tag(body, "article"), inner_text(element_inner(body, "article")))
-    for word in ("content", "article", "post"):  # main-content / entry-content contain "content"
+    # substring search: a word that contains an earlier word can never match first
+    words = [w for i, w in enumerate(CONTENT_CLASS_WORDS) if not any(o in w for o in CONTENT_CLASS_WORDS[:i])]
+    for word in words:
         found, inner = class_block(word)
         out = out.when(found, inner_text(inner))
     return (out.when(has_tag(body, "body"), inner_text(element_inner(body, "body")))
@@ -235,8 +237,13 @@ def links(body: Column, base_url: Column) -> Column:
         attr(F.regexp_extract(a, r"(?is)^(<a\b[^>]*>)", 1), "href").alias("href"),
         inner_text(F.regexp_extract(a, r"(?is)^<a\b[^>]*>(.*)</a\s*>$", 1)).alias("text"),
         F.coalesce(attr(F.regexp_extract(a, r"(?is)^(<a\b[^>]*>)", 1), "title"), F.lit("")).alias("title")))
-    keep = F.filter(recs, lambda r: r["href"].isNotNull() & ~r["href"].startswith("#")
-                    & ~r["href"].startswith("javascript:") & ~r["href"].startswith("mailto:"))
+    def kept(r):
+        ok = r["href"].isNotNull()
+        for prefix in LINK_SKIP_PREFIXES:
+            ok = ok & ~r["href"].startswith(prefix)
+        return ok
+
+    keep = F.filter(recs, kept)
     resolved = F.transform(keep, lambda r: F.struct(resolve_url(r["href"], base_url).alias("url"),
                                                     r["text"].alias("text"), r["title"].alias("title")))
     return _first_by(resolved, "url", "struct<url:string,text:string,title:string>")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 # --- fixed values -----------------------------------------------------------------
-SEARCH_TYPES = ("all", "news", "images", "videos")
 # Safe-search level -> engine code, with the engine's default for unknown levels.
 BING_SAFE = (("off", "0"), ("moderate", "1"), ("strict", "2"))
 BING_SAFE_DEFAULT = "1"

@@ -60,7 +60,9 @@ def replay_bucket(t: np.ndarray, capacity: float, rate: float, tokens: float | N
 
 def quota_replay(log: DataFrame, key: str = "engine", requests_per_minute: int = SEARCH_REQUESTS_PER_MINUTE,
                  ts: str = "ts", order_id: str = "request_id") -> DataFrame:
-    """Mark every request admitted or over quota. Returns (key, request_id, admitted, tokens)."""
+    """Mark every request admitted or over quota. Returns (key, request_id, admitted, tokens).
+    The search limiter allows 120 requests per minute; pass
+    ``requests_per_minute=WEBSITE_REQUESTS_PER_MINUTE`` for the page limiter."""
     capacity = float(requests_per_minute)
     rate = requests_per_minute / 60.0
     full_gap = capacity / rate

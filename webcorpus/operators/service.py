@@ -29,7 +29,6 @@ ENGINE_PRIORITY = ("google", "duckduckgo", "bing", "yahoo")
 WINDOW_KINDS = (("1h", 3600, 3600), ("24h", 86400, 3600), ("7d", 604800, 86400))
 MAX_FAILURES = 3
 SEARCH_LIMIT_PER_MINUTE = 120
-WEBSITE_LIMIT_PER_MINUTE = 60
 # Alert thresholds of the monitoring plan.
 SUCCESS_CRITICAL, SUCCESS_WARNING = 0.70, 0.80
 ERROR_CRITICAL, ERROR_WARNING = 0.30, 0.20
