@@ -401,7 +401,10 @@ def lists(body: Column) -> Column:
             F.transform(F.filter(cleaned, lambda l: l["kind"] == "ordered"), lambda l: l["items"]).alias("ordered"),
             F.transform(F.filter(cleaned, lambda l: l["kind"] == "unordered"), lambda l: l["items"]).alias("unordered"))
 
-    return F.aggregate(toks, init, step, finish)
+    empty = F.struct(F.array().cast("array<array<string>>").alias("ordered"),
+                     F.array().cast("array<array<string>>").alias("unordered"))
+    # most pages have no list once navigation is stripped: skip the fold for them
+    return F.when(body.rlike(r"(?i)<(ul|ol)\b"), F.aggregate(toks, init, step, finish)).otherwise(empty)
 
 
 def tables(body: Column) -> Column:
