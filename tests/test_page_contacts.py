@@ -121,7 +121,7 @@ def test_microdata_and_microformats(spark):
     md = df.select(P.microdata(F.col("html")).alias("m")).first()["m"]
     assert md["types"] == ["https://schema.org/Person"]
     assert [(p["prop"], p["value"]) for p in md["properties"]] == [
-        ("name", "Ann  Bo"), ("url", "https://a.org/"), ("telephone", "555-1234")]
+        ("name", "Ann & Bo"), ("url", "https://a.org/"), ("telephone", "555-1234")]
     mf = df.select(P.microformats(F.col("html")).alias("m")).first()["m"]
     assert mf["types"] == ["h-card"]
     assert [(p["prop"], p["value"]) for p in mf["properties"]] == [("p-name", "Cy"), ("u-url", "https://c.org/")]
@@ -139,3 +139,10 @@ def test_main_content_nested_class_block(spark):
     html = ('<body><div class="post-body"><div>one</div><div>two <div>three</div></div></div>'
             '<div>outside</div></body>')
     assert body(spark, html, lambda b, u: P.main_content(b)) == "onetwo three"
+
+
+def test_microdata_contacts(spark):
+    html = '<div itemscope><span itemprop="telephone">+1 555 000 1111</span><a itemprop="email" href="mailto:a@b.org">mail</a></div>'
+    df = spark.createDataFrame([(html,)], "html string")
+    c = df.select(C.contacts(F.lit(""), F.col("html")).alias("c")).first()["c"]
+    assert c["phones"] == ["+1 555 000 1111"] and c["emails"] == ["mailto:a@b.org"]

@@ -315,16 +315,23 @@ MICROFORMAT_PROP = (r"(?is)(<[A-Za-z][A-Za-z0-9]*\b[^>]*\sclass\s*=\s*[\"'](?:[^
                     r"[^>]*>)([^<]*)")
 
 
+def _stripped(c: Column) -> Column:
+    """Text as structured-data extractors report it: entities decoded, outer
+    whitespace removed, nothing else changed."""
+    from .text import WS_CLASS
+    return F.regexp_replace(c, "^[" + WS_CLASS + "]+|[" + WS_CLASS + "]+$", "")
+
+
 def microdata(raw_html: Column) -> Column:
     """EXT13 (partial by design): item types and flat ``itemprop -> value`` pairs in
     page order; the value is content, href, src or datetime when present, else the
-    element's own leading text. Nesting of item scopes is not kept."""
+    element's own leading text (decoded and stripped, not cleaned). Nesting of item scopes is not kept."""
     tags = F.regexp_extract_all(raw_html, F.lit(MICRODATA_PROP), 1)
     texts = F.regexp_extract_all(raw_html, F.lit(MICRODATA_PROP), 2)
     pairs = F.transform(F.arrays_zip(tags.alias("tag"), texts.alias("text")), lambda z: F.struct(
         attr(z["tag"], "itemprop").alias("prop"),
         F.coalesce(attr(z["tag"], "content"), attr(z["tag"], "href"), attr(z["tag"], "src"),
-                   attr(z["tag"], "datetime"), clean_text(decode_entities(z["text"]))).alias("value")))
+                   attr(z["tag"], "datetime"), _stripped(decode_entities(z["text"]))).alias("value")))
     types = F.regexp_extract_all(raw_html, F.lit(r"(?is)\sitemtype\s*=\s*[\"']([^\"']*)[\"']"), 1)
     return F.struct(types.alias("types"), pairs.alias("properties"))
 
@@ -340,7 +347,7 @@ def microformats(raw_html: Column) -> Column:
     def pair(z):
         prop = F.regexp_extract(F.coalesce(attr(z["tag"], "class"), F.lit("")), r"(?:^|\s)((?:p|u|dt|e)-[a-z0-9-]+)", 1)
         link = F.coalesce(attr(z["tag"], "href"), attr(z["tag"], "src"))
-        value = F.when(prop.startswith("u-") & link.isNotNull(), link).otherwise(clean_text(decode_entities(z["text"])))
+        value = F.when(prop.startswith("u-") & link.isNotNull(), link).otherwise(_stripped(decode_entities(z["text"])))
         return F.struct(prop.alias("prop"), value.alias("value"))
 
     return F.struct(roots.alias("types"),
