@@ -223,13 +223,17 @@ def fallback_rate(log: DataFrame) -> DataFrame:
 def alerts(log: DataFrame) -> DataFrame:
     """AGG11: the monitoring plan's critical / warning conditions per day."""
     df = normalized(log).withColumn("day", F.date_format(F.date_trunc("day", "ts"), TS_FMT))
-    per_engine = df.groupBy("day", "engine").agg((F.count_if("success") / F.count(F.lit(1))).alias("v"))
+    # per (day, engine) and per day in one aggregate (grouping sets)
+    counts = (df.groupingSets([["day", "engine"], ["day"]], "day", "engine")
+              .agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.count_if("success").alias("ok"),
+                   F.count_if(~F.col("success")).alias("bad"),
+                   F.count_if(F.col("error_type") == "selector_mismatch").alias("sel_n")))
+    per_engine = counts.filter(F.col("gid") == 0).select("day", "engine", (F.col("ok") / F.col("n")).alias("v"))
     eng = per_engine.select("day", F.concat(F.lit("success_rate_"), F.col("engine")).alias("alert"),
                             F.when(F.col("v") < SUCCESS_CRITICAL, F.lit("critical"))
                             .when(F.col("v") < SUCCESS_WARNING, F.lit("warning")).alias("level"), "v")
-    overall = df.groupBy("day").agg(
-        (F.count_if(~F.col("success")) / F.count(F.lit(1))).alias("err"),
-        (F.count_if(F.col("error_type") == "selector_mismatch") / F.count(F.lit(1))).alias("sel"))
+    overall = counts.filter(F.col("gid") == 1).select(
+        "day", (F.col("bad") / F.col("n")).alias("err"), (F.col("sel_n") / F.col("n")).alias("sel"))
     err = overall.select("day", F.lit("error_rate").alias("alert"),
                          F.when(F.col("err") > ERROR_CRITICAL, F.lit("critical"))
                          .when(F.col("err") > ERROR_WARNING, F.lit("warning")).alias("level"), F.col("err").alias("v"))
