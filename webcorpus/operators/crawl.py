@@ -45,6 +45,10 @@ def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int =
     links = (distinct_links.withColumn("link_no", F.row_number().over(w_links))
              .filter(F.col("link_no") <= MAX_LINKS_PER_PAGE)
              .select("src_id", "link_no", "dst_id"))
+    if checkpoint and max_depth > 1:
+        # every round reads these: materialise them once instead of re-reading the pages
+        # and re-ranking the links per round
+        nodes, links = nodes.checkpoint(), links.checkpoint()
     seed_dom = seeds.join(nodes, "page_id").select("seed_id", "page_id", F.col("domain").alias("seed_domain"))
     visited = (seed_dom.filter(F.lit(max_depth) > 0)
                .select("seed_id", "page_id", "seed_domain", F.lit(0).alias("depth"),
