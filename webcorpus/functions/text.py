@@ -43,6 +43,8 @@ ENTITIES = (
 )
 OTHER_ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 AMP_SENTINEL = "\uE000"
+NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+REPLACEMENT_CHAR = "\uFFFD"  # for code points that are not characters
 # ---------------------------------------------------------------------------------
 
 
@@ -70,17 +72,52 @@ def truncate_text(col: Column, max_length: int = 500) -> Column:
         F.concat(F.substring(col, 1, max_length), F.lit("...")))
 
 
-def decode_entities(col: Column) -> Column:
-    """SCL13: decode the entity table above and drop other named and numeric entities.
-    ``&amp;`` is parked on a private-use sentinel first so ``&amp;lt;`` decodes to the
-    text ``&lt;`` exactly once, as a parser does."""
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable: inside
+    higher-order functions (which are interpreted) a repeated sub-expression would
+    otherwise be recomputed at every use."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+def code_point_char(code: Column) -> Column:
+    """The character of a Unicode code point (U+FFFD when it is not a character)."""
+    valid = (code >= 1) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(REPLACEMENT_CHAR))
+
+
+# Zero-width split points around every numeric entity (Java look-around; the text is
+# read once, so the expression stays cheap inside higher-order functions too).
+NUMERIC_ENTITY_BOUNDS = r"(?=&#[0-9xX])|(?<=;)"
+NUMERIC_ENTITY_WHOLE = r"^&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});$"
+
+
+def decode_numeric_entities(col: Column) -> Column:
+    """``&#233;`` / ``&#xE9;`` -> the character: the text is split before every ``&#``
+    and after every ``;`` (cheap one-character tests), and pieces that are exactly a
+    numeric entity are replaced by their characters."""
+    def one(p):
+        t = F.regexp_extract(p, NUMERIC_ENTITY_WHOLE, 1)
+        code = F.when(F.lower(t).startswith("x"), F.conv(F.substring(t, 2, 8), 16, 10)).otherwise(t).cast("long")
+        return F.when(t != "", code_point_char(code)).otherwise(p)
+    return F.array_join(F.transform(F.split(col, NUMERIC_ENTITY_BOUNDS, -1), one), "")
+
+
+def _decode_all(col: Column) -> Column:
     out = F.replace(col, F.lit("&amp;"), F.lit(AMP_SENTINEL))
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
+    out = decode_numeric_entities(out)
     out = F.regexp_replace(out, OTHER_ENTITY, "")
     return F.replace(out, F.lit(AMP_SENTINEL), F.lit("&"))
 
 
+def decode_entities(col: Column) -> Column:
+    """SCL13: decode the entity table above and every numeric entity; drop other named
+    entities. ``&amp;`` is parked on a private-use sentinel first so ``&amp;lt;``
+    decodes to the text ``&lt;`` exactly once, as a parser does."""
+    return _decode_all(col)
+
+
 def strip_boilerplate(html: Column, tags=BOILERPLATE_TAGS) -> Column:
     """EXT1: remove comments and the subtrees of script, style, noscript, iframe, nav,
     footer and header (non-greedy, first close tag ends the block)."""

@@ -26,10 +26,22 @@ def clean(expr: str) -> str:
     return f"coalesce(trim({rr(rr(expr, T.WS_RUN, q(' ')), T.NOT_KEPT)}), '')"
 
 
+def decode_numeric(x: str) -> str:
+    pat = q(T.NUMERIC_ENTITY)
+    code = "CASE WHEN lower(t) LIKE 'x%' THEN ('0x' || substr(t, 2))::BIGINT ELSE t::BIGINT END"
+    char = (f"CASE WHEN ({code}) BETWEEN 1 AND 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343 "
+            f"THEN chr(({code})::INTEGER) ELSE chr(65533) END")
+    pieces = f"string_split_regex({x}, {pat})"
+    joined = (f"{pieces}[1] || array_to_string(list_transform(regexp_extract_all({x}, {pat}, 1), "
+              f"lambda t, i: {char} || coalesce({pieces}[i + 1], '')), '')")
+    return f"CASE WHEN contains({x}, '&#') THEN {joined} ELSE {x} END"
+
+
 def decode(expr: str) -> str:
     out = f"replace({expr}, '&amp;', chr(57344))"
     for ent, ch in T.ENTITIES:
         out = f"replace({out}, {q(ent)}, {q(ch)})"
+    out = decode_numeric(out)
     out = rr(out, T.OTHER_ENTITY)
     return f"replace({out}, chr(57344), '&')"
 
