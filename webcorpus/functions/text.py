@@ -72,13 +72,6 @@ def truncate_text(col: Column, max_length: int = 500) -> Column:
         F.concat(F.substring(col, 1, max_length), F.lit("...")))
 
 
-def let(expr: Column, fn) -> Column:
-    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable: inside
-    higher-order functions (which are interpreted) a repeated sub-expression would
-    otherwise be recomputed at every use."""
-    return F.element_at(F.transform(F.array(expr), fn), 1)
-
-
 def code_point_char(code: Column) -> Column:
     """The character of a Unicode code point (U+FFFD when it is not a character)."""
     valid = (code >= 1) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
