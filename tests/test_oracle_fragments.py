@@ -18,6 +18,7 @@ SNIPPETS = [
     "<article><script>var t='</p>';</script><p>" + "word " * 12 + "</p><nav><p>" + "menu " * 12 + "</p></nav></article>",
     "plain text &#39;quoted&#39; &copy; 2024 <b>bold",
     "<title>caf&#233; &#xE9;t&#xe9; &amp;#233; &#0; &#x110000; x</title><p>" + "&#8364; " * 12 + "end of it</p>",
+    "<title>a &#38;lt; b &#38;#39; c</title>",
 ]
 
 

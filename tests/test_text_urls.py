@@ -23,6 +23,7 @@ def test_decode_entities(spark):
     x = F.col("x")
     assert one(spark, T.decode_entities(x), "a&amp;lt;b &lt;p&gt; &quot;q&quot; &#39;s&copy;") == "a&lt;b <p> \"q\" 's"
     assert one(spark, T.decode_entities(x), "caf&#233; &#xE9;t&#xe9; &amp;#233; &#x1F600;") == "café été &#233; \U0001F600"
+    assert one(spark, T.decode_entities(x), "a &#38;lt; b") == "a &lt; b"
 
 
 def test_sanitize_and_validity(spark):

@@ -91,7 +91,9 @@ def decode_numeric_entities(col: Column) -> Column:
     def one(p):
         t = F.regexp_extract(p, NUMERIC_ENTITY_WHOLE, 1)
         code = F.when(F.lower(t).startswith("x"), F.conv(F.substring(t, 2, 8), 16, 10)).otherwise(t).cast("long")
-        return F.when(t != "", code_point_char(code)).otherwise(p)
+        # a decoded "&" is parked on the sentinel, so it cannot start a second entity
+        char = F.when(code == 38, F.lit(AMP_SENTINEL)).otherwise(code_point_char(code))
+        return F.when(t != "", char).otherwise(p)
     return F.array_join(F.transform(F.split(col, NUMERIC_ENTITY_BOUNDS, -1), one), "")
 
 

@@ -29,7 +29,8 @@ def clean(expr: str) -> str:
 def decode_numeric(x: str) -> str:
     pat = q(T.NUMERIC_ENTITY)
     code = "CASE WHEN lower(t) LIKE 'x%' THEN ('0x' || substr(t, 2))::BIGINT ELSE t::BIGINT END"
-    char = (f"CASE WHEN ({code}) BETWEEN 1 AND 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343 "
+    char = (f"CASE WHEN ({code}) = 38 THEN chr(57344) "
+            f"WHEN ({code}) BETWEEN 1 AND 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343 "
             f"THEN chr(({code})::INTEGER) ELSE chr(65533) END")
     pieces = f"string_split_regex({x}, {pat})"
     joined = (f"{pieces}[1] || array_to_string(list_transform(regexp_extract_all({x}, {pat}, 1), "
