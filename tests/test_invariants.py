@@ -75,3 +75,42 @@ def test_pagination_output_is_a_prefix(spark, data):
             if n < stop:
                 break
         assert sorted(kept.get((q, e), [])) == want
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(1, 3), st.integers(0, 14)), min_size=1, max_size=40))
+def test_crawl_depth_is_minimal(spark, edges):
+    from collections import deque
+
+    from webcorpus.operators import crawl as CR
+    pages = spark.createDataFrame([(i, f"http://www.example.com/{i}") for i in range(15)], "page_id long, url string")
+    e = spark.createDataFrame(edges, "src_id long, pos int, dst_id long")
+    seeds = spark.createDataFrame([(0, 0)], "seed_id long, page_id long")
+    got = {r["page_id"]: r["depth"] for r in CR.crawl(seeds, pages, e, max_depth=5, max_pages=1000,
+                                                      checkpoint=False).collect()}
+    adj = {}
+    for s, _, d in edges:
+        adj.setdefault(s, set()).add(d)
+    dist, q = {0: 0}, deque([0])
+    while q:
+        u = q.popleft()
+        for v in adj.get(u, ()):
+            if v not in dist:
+                dist[v] = dist[u] + 1
+                q.append(v)
+    assert got == {p: d for p, d in dist.items() if d < 5}
+
+
+def test_statistics_equal_array_sizes(spark):
+    from conftest import SMALL
+    from webcorpus.operators import pages as OP
+    from webcorpus.sources import tables
+    rec = OP.extract_pages(tables.pages(spark, SMALL))
+    bad = rec.filter(
+        (F.col("statistics.total_paragraphs") != F.size("paragraphs"))
+        | (F.col("statistics.total_images") != F.size("images"))
+        | (F.col("statistics.total_links") != F.size("links"))
+        | (F.col("statistics.email_count") != F.size("contacts.emails"))
+        | (F.col("statistics.phone_count") != F.size("contacts.phones"))
+        | (F.col("statistics.content_length") != F.length("text_content"))).count()
+    assert bad == 0
