@@ -7,7 +7,8 @@ DataFrame parameters (``spark.sql(text, pages=df)``): no global view names.
 * ``url_list``      URL batch with scheme removed, blanks added and unknown hosts (SRC2)
 * ``fetch_log``     request log per engine attempt, from ``events`` (SRC8); ts stays
                     wall-clock TIMESTAMP_NTZ (UTC) so reports do not depend on the session zone
-* ``requests``      search requests from user turns of ``conversations`` (FLT2)
+* ``requests``      one search request per conversation, from its opening user turn, with
+                    some invalid on purpose (empty, too long, 0 or 101 results, unknown type)
 * ``engine_results`` ranked results per (query, engine) from documents x pages (SET1)
 * ``link_edges``    page -> page edges (JON1); no stored link points to a stored page
 """
