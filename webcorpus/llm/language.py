@@ -1,7 +1,8 @@
 """Language identification by fusing evidence in Bayes' rule.
 
 * Text: hashed byte trigrams of the letters (other bytes count as one space). Their
-  likelihoods per language are counted over all documents under the declared tags.
+  likelihoods per language are counted over all documents under the declared tags (a
+  text counts as at most ``model_weight`` trigrams, so no one text makes a model).
   Trigrams overlap, so at most ``text_weight`` of them count in full.
 * Declared tag (a page's markup language): how often each tag is declared for each
   language, from soft counts over the corpus.
@@ -47,20 +48,22 @@ def trigrams(data: np.ndarray, offsets: np.ndarray):
     return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS), live
 
 
-def _count(languages: list[str]):
+def _count(languages: list[str], weight: float):
     def run(batches):
         place = {lang: k for k, lang in enumerate(languages)}
-        total = np.zeros((len(languages), 1 << BUCKET_BITS), dtype=np.int64)
+        total = np.zeros((len(languages), 1 << BUCKET_BITS))
         for batch in batches:
             tag = np.array([place.get(t, -1) for t in batch.column(batch.schema.get_field_index("tag")).to_pylist()])
             for a, b, data, offsets in parts(batch, "text"):
                 bucket, live = trigrams(data, offsets)
                 if not len(bucket):
                     continue
-                of = np.repeat(tag[a:b], np.diff(offsets))[:len(bucket)]
-                live &= of >= 0
-                index = (of[live] << BUCKET_BITS) + bucket[live]
-                total += np.bincount(index, minlength=total.size).reshape(total.shape)
+                row = np.repeat(np.arange(b - a), np.diff(offsets))[:len(bucket)]
+                live &= tag[a:b][row] >= 0
+                row = row[live]
+                share = np.minimum(1.0, weight / np.maximum(np.bincount(row, minlength=b - a), 1))
+                index = (tag[a:b][row] << BUCKET_BITS) + bucket[live]
+                total += np.bincount(index, weights=share[row], minlength=total.size).reshape(total.shape)
         for k, lang in enumerate(languages):
             at = np.flatnonzero(total[k])
             if len(at):
@@ -96,7 +99,7 @@ def _posterior(logs):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source",
-             text_weight: float = 60.0, strength: float = 20.0, least: float = 0.5, max_languages: int = 256) -> DataFrame:
+             text_weight: float = 60.0, model_weight: float = 2000.0, strength: float = 20.0, least: float = 0.5, max_languages: int = 256) -> DataFrame:
     """k1, k2 (row keys), doc_id, lang, declared, confidence, kept per row of ``docs``."""
     tag = F.nullif(F.regexp_extract(F.lower(F.col(declared_col).cast("string")), r"^\s*([a-z]{2,3})(?:[-_].*)?\s*$", 1), F.lit(""))
     host = F.nullif(F.lower(F.trim(F.col(host_col).cast("string"))), F.lit(""))
@@ -111,7 +114,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
                            F.lit(None).cast("double").alias("confidence"), letters.alias("kept"))
     counts = np.full((len(languages), 1 << BUCKET_BITS), 0.5)
     place = {lang: k for k, lang in enumerate(languages)}
-    counted = rows.where("tag is not null").select("tag", "text").mapInArrow(_count(languages), "tag string, bucket int, c long")
+    counted = rows.where("tag is not null").select("tag", "text").mapInArrow(_count(languages, model_weight), "tag string, bucket int, c double")
     for r in counted.groupBy("tag", "bucket").agg(F.sum("c").alias("c")).toLocalIterator():
         counts[place[r["tag"]], r["bucket"]] += r["c"]
     table = np.log(counts / counts.sum(axis=1, keepdims=True))

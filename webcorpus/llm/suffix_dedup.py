@@ -243,7 +243,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(k1, k2, lo, hi): the starts lo..hi-1 of row (k1, k2) begin repeated strings."""
     rows = keyed(docs, id_col, text_col)
     anchors = rows.select("text").mapInArrow(_anchors(length, gram), "anchor long")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # written, so that both sides of the join below are plain exchanges that Spark can split
+    often = write_shared(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     all_runs = rows.select("k1", "k2", "text").mapInArrow(_runs(length, gram), RUN_SCHEMA)
     # ~anchor: a new key, so that the grouping below gets an exchange of its own after a map-side sum
     repeated = write_shared(all_runs.join(often, "anchor", "left_semi").select("k1", "k2", F.bitwise_not("anchor").alias("g"), "pack", "digest"), "runs")
