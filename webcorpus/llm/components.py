@@ -8,6 +8,7 @@ is written to the shared folder, so no round is repeated when an executor is los
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,23 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return labels.withColumnRenamed("label", "component")
+
+
+def forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the given links: at most one edge fewer than nodes."""
+    up: dict[int, int] = {}
+
+    def root(k):
+        while up.get(k, k) != k:
+            up[k] = up.get(up[k], up[k])
+            k = up[k]
+        return k
+
+    x, y = [], []
+    for i, j in zip(node[a].tolist(), node[b].tolist()):
+        p, q = root(i), root(j)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            x.append(i)
+            y.append(j)
+    return x, y

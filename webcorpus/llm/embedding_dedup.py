@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import longs, text_parts, whole_groups, write_shared
-from .components import components
+from .components import components, forest
 from .jaccard import block_pairs
 
 UNITS = "id long, d1 long, d2 long, ok boolean, unit binary"
@@ -87,26 +87,6 @@ def _ranked(batches):
         seq += n
 
 
-def forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the given links: at most one edge fewer than nodes."""
-    up: dict[int, int] = {}
-
-    def root(k):
-        while up.get(k, k) != k:
-            up[k] = up.get(up[k], up[k])
-            k = up[k]
-        return k
-
-    x, y = [], []
-    for i, j in zip(node[a].tolist(), node[b].tolist()):
-        p, q = root(i), root(j)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            x.append(i)
-            y.append(j)
-    return x, y
-
-
 def _windows(window: int, threshold: float):
     """Compare each row of a block with the next ``window`` rows of its pass."""
     def run(batches):
@@ -181,11 +161,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     blocks = place.join(nodes.select("node", "unit"), "node").repartition("blk").sortWithinPartitions("blk", "rank")
     edges = write_shared(blocks.mapInArrow(_windows(window, threshold), "a long, b long").distinct(), "edges")
     found = components(edges)
-    placed = found.join(found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "component")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("node", "block", (F.col("block") == F.col("other")).alias("same"), block_pairs(F.col("block"), F.col("blocks"), F.col("component")).alias("grp"))
-    near = placed.join(nodes.select("node", "c", "unit"), "node").repartition("grp").sortWithinPartitions("grp")
+    placed = found.join(found.groupBy("component").agg(F.count("*").alias("m")), "component")
+    near = block_pairs(placed, "component", most=block).select("node", "grp", "block", "same")
+    near = near.join(nodes.select("node", "c", "unit"), "node").repartition("grp").sortWithinPartitions("grp")
     links = near.mapInArrow(_closure(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("others"))
     told = nodes.select("node", "c", "id").join(found, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = told.groupBy("component").agg(F.min("id").alias("first"))

@@ -9,10 +9,11 @@ Bayesian pruning of MinHash candidates (BayesLSH) and exact verification.
   pair is dropped as soon as that falls below ``tolerance``.
 * The rest are verified on the shingle sets of the whole texts.
 
-Groups are never expanded into pairs of rows: a band group is cut into blocks of about
-``block`` members by a hash, two blocks meet in one task, and only surviving pairs
-leave it. A pair is taken up in the first band that it shares. Survivors are verified
-in blocks of their connected component.
+Pairs never become rows. A band group is cut into blocks of about ``block`` members by
+a hash, two blocks meet in one task, and of the surviving pairs only a spanning forest
+leaves it. Inside each connected component of these forests, again block by block, all
+pairs are pruned and verified; the tasks give each class its number of links, copies
+counted, and a forest of the verified links.
 
 Words as in ``common``; a text of fewer than ``size`` words has one shingle, all its
 words; a text without words (or null) links with nothing. Shingles are 64-bit values.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, keyed, longs, parts, shingles, signed, text_parts, whole_groups, words, write_shared
-from .components import components
+from .components import components, forest
 
 SKETCH = "k1 long, k2 long, id long, n int, d1 long, d2 long, sig binary"
 
@@ -96,18 +97,16 @@ def pair_index(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.repeat(left, len(right)), np.tile(right, len(left))
 
 
-def _group_pairs(groups: np.ndarray, block: np.ndarray, most: int = 1 << 18):
+def _group_pairs(groups: np.ndarray, block: np.ndarray, same: np.ndarray, most: int = 1 << 18):
     """Pairs of row numbers, group by group: of one block with itself, or of two blocks."""
     edges = np.append(np.append(0, np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups))
-    small = np.flatnonzero(np.diff(edges) == 2)  # most groups
-    held_a, held_b, held = [edges[small]], [edges[small] + 1], len(small)
+    first = edges[:-1][np.diff(edges) == 2]  # most groups
+    first = first[same[first] == (block[first] == block[first + 1])]
+    held_a, held_b, held = [first], [first + 1], len(first)
     for k in np.flatnonzero(np.diff(edges) > 2).tolist():
         rows = np.arange(edges[k], edges[k + 1])
-        sides = np.unique(block[rows])
-        if len(sides) == 1:
-            left = right = rows
-        else:
-            left, right = rows[block[rows] == sides[0]], rows[block[rows] != sides[0]]
+        left = rows if same[rows[0]] else rows[block[rows] == block[rows[0]]]
+        right = left if same[rows[0]] else rows[block[rows] != block[rows[0]]]
         for at in range(0, len(left), 512):
             if left is right:
                 i = left[at:at + 512]
@@ -126,66 +125,82 @@ def _group_pairs(groups: np.ndarray, block: np.ndarray, most: int = 1 << 18):
         yield np.concatenate(held_a), np.concatenate(held_b)
 
 
-def _prune(hashes: int, rows_per_band: int, threshold: float, tolerance: float):
-    steps = [n for n in (16, 32, 64) if n < hashes] + [hashes]
-    need = [least_matches(n, threshold, tolerance) for n in steps]
-
+class _Survivors:
+    """The pairs of a table of whole groups that the Bayesian test keeps."""
+
+    def __init__(self, hashes: int, threshold: float, tolerance: float):
+        self.hashes = hashes
+        self.steps = [n for n in (16, 32, 64) if n < hashes] + [hashes]
+        self.need = [least_matches(n, threshold, tolerance) for n in self.steps]
+
+    def __call__(self, table: pa.Table):
+        sig, _ = text_parts(table.column("sig").combine_chunks())
+        sig = sig.view(np.uint32).reshape(-1, self.hashes)
+        columns = [table.column(c).to_numpy() for c in ("grp", "block", "same")]
+        for a, b in _group_pairs(*columns):
+            count, before = np.zeros(len(a), dtype=np.int64), 0
+            for n, least in zip(self.steps, self.need):
+                for at in range(0, len(a), 1 << 15):
+                    s = slice(at, at + (1 << 15))
+                    count[s] += (sig[a[s], before:n] == sig[b[s], before:n]).sum(axis=1)
+                live = count >= least
+                a, b, count, before = a[live], b[live], count[live], n
+            if len(a):
+                yield a, b
+
+
+def _prune(survivors: _Survivors):
+    """A forest of the surviving pairs of each table of band groups."""
     def run(batches):
         for table in whole_groups(batches, "grp", 2000):
-            sig, _ = text_parts(table.column("sig").combine_chunks())
-            sig = sig.view(np.uint32).reshape(-1, hashes)
-            node, band, block = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "band", "block"))
-            for a, b in _group_pairs(table.column("grp").to_numpy(), block):
-                same, before = np.zeros(len(a), dtype=np.int64), 0
-                for n, least in zip(steps, need):
-                    for at in range(0, len(a), 1 << 15):
-                        s = slice(at, at + (1 << 15))
-                        same[s] += (sig[a[s], before:n] == sig[b[s], before:n]).sum(axis=1)
-                    live = same >= least
-                    a, b, same, before = a[live], b[live], same[live], n
-                if not len(a):
-                    continue
-                equal = (sig[a].reshape(len(a), -1, rows_per_band) == sig[b].reshape(len(a), -1, rows_per_band)).all(axis=2)
-                first = equal.any(axis=1) & (equal.argmax(axis=1) == band[a]) & (node[a] != node[b])
-                x, y = node[a[first]], node[b[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            node = table.column("node").to_numpy()
+            for a, b in survivors(table):
+                x, y = forest(node, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
     return run
 
 
-def _verify(size: int, threshold: float):
-    """Exact similarity of the pairs of each group."""
+def _verify(survivors: _Survivors, size: int, threshold: float):
+    """Exact similarity of the surviving pairs of each component block pair: rows
+    (class, null, links) and the edges (class, class, null) of a forest."""
     def run(batches):
         for table in whole_groups(batches, "grp", 500):
-            member = np.flatnonzero(np.asarray(table.column("b").is_null()))
-            pair = np.flatnonzero(~np.asarray(table.column("b").is_null()))
-            if not len(pair):
-                continue
-            texts = table.column("text").take(pa.array(member)).combine_chunks()
-            value, edge = shingle_sets(*text_parts(texts), size)
-            group, a = table.column("grp").to_numpy(), table.column("a").to_numpy()
-            b = table.column("b").fill_null(0).to_numpy()
-            place = {key: k for k, key in enumerate(zip(group[member].tolist(), a[member].tolist()))}
-            out = []
-            for g, x, y in zip(group[pair].tolist(), a[pair].tolist(), b[pair].tolist()):
-                i, j = place[g, x], place[g, y]
-                p, q = value[edge[i]:edge[i + 1]], value[edge[j]:edge[j + 1]]
-                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                    continue
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                if both >= threshold * (len(p) + len(q) - both) - 1e-9:
-                    out.append((x, y))
-            if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], ["a", "b"])
+            # equal rows (id and text) come once each; a class stands once in a group
+            grp, node = table.column("grp").to_numpy(), table.column("node").to_numpy()
+            order = np.lexsort((node, grp))
+            again = np.append(False, (grp[order][1:] == grp[order][:-1]) & (node[order][1:] == node[order][:-1]))
+            if again.any():
+                table = table.take(pa.array(np.sort(order[~again])))
+            node, copies = table.column("node").to_numpy(), table.column("c").to_numpy()
+            value, edge = shingle_sets(*text_parts(table.column("text").combine_chunks()), size)
+            n = np.diff(edge)
+            links = np.zeros(len(node), dtype=np.int64)
+            for a, b in survivors(table):
+                fits = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+                a, b = a[fits], b[fits]
+                both = np.empty(len(a), dtype=np.int64)
+                for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+                    p, q = value[edge[i]:edge[i + 1]], value[edge[j]:edge[j + 1]]
+                    both[k] = np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)
+                near = both >= threshold * (n[a] + n[b] - both) - 1e-9
+                a, b = a[near], b[near]
+                np.add.at(links, a, copies[b])
+                np.add.at(links, b, copies[a])
+                x, y = forest(node, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.int64())], ["a", "b", "links"])
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], ["a", "b", "links"])
     return run
 
 
-def block_pairs(block, count, key):
-    """Explode a member of ``block`` of ``count`` blocks into its block pairs: the
-    columns grp and block. ``key`` names the group that is cut."""
-    low, high = F.least(block, F.col("other")), F.greatest(block, F.col("other"))
-    return F.xxhash64(key, low, high)
+def block_pairs(members: DataFrame, key: str, count: str = "m", most: int = 250) -> DataFrame:
+    """Cut each group ``key`` of ``count`` members into blocks by a hash of ``node`` and
+    send every member to all block pairs of its block: adds grp, block and same."""
+    blocks = F.ceil(F.col(count) / most).cast("int")
+    cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", key), F.col("blocks")).cast("long"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))
+    return cut.withColumn("grp", pair).withColumn("same", F.col("block") == F.col("other")).drop("blocks", "other")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
@@ -201,38 +216,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.substring(F.col("sig"), k * width + 1, F.lit(width)), k))
     member = classes.select("node", F.posexplode(keys).alias("band", "key"))
     often = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = member.join(often, "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("node", "band", "block", block_pairs(F.col("block"), F.col("blocks"), F.col("key")).alias("grp"))
-    signed_members = met.join(classes.select("node", "sig"), "node").repartition("grp").sortWithinPartitions("grp")
-    pairs = write_shared(signed_members.mapInArrow(_prune(hashes, rows_per_band, threshold, tolerance), "a long, b long").distinct(), "pairs")
-
-    parts_of = components(pairs)
-    sizes = parts_of.groupBy("component").agg(F.ceil(F.count("*") / verify_block).cast("int").alias("blocks"))
-    placed = write_shared(parts_of.join(sizes, "component"), "placed")
-
-    def block_of(node):
-        return F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
-
-    members = placed.join(classes.select("node", "k1", "k2"), "node").withColumn("block", block_of(F.col("node")))
-    members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("k1", "k2", F.struct(block_pairs(F.col("block"), F.col("blocks"), F.col("component")).alias("grp"), "node").alias("m"))
-    members = members.groupBy("k1", "k2").agg(F.collect_list("m").alias("ms"))
-    texts = rows.select("k1", "k2", "text").join(members.hint("shuffle_hash"), ["k1", "k2"])
-    texts = texts.select("text", F.explode("ms").alias("m")).select("m.grp", F.col("m.node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    listed = pairs.join(placed.select(F.col("node").alias("a"), "component", "blocks"), "a").withColumn("block", block_of(F.col("a"))).withColumn("other", block_of(F.col("b")))
-    listed = listed.select(block_pairs(F.col("block"), F.col("blocks"), F.col("component")).alias("grp"), "a", "b", F.lit(None).cast("string").alias("text"))
-    mixed = texts.unionByName(listed).repartition("grp").sortWithinPartitions("grp")
-    links = write_shared(mixed.mapInArrow(_verify(size, threshold), "a long, b long").distinct(), "links")
-    return _summary(sketches, classes, links)
+    met = block_pairs(member.join(often, "key"), "key", most=block).select("node", "grp", "block", "same")
+    survivors = _Survivors(hashes, threshold, tolerance)
+    with_sig = met.join(classes.select("node", "sig"), "node").repartition("grp").sortWithinPartitions("grp")
+    near = write_shared(with_sig.mapInArrow(_prune(survivors), "a long, b long").distinct(), "near")
+
+    found = components(near)
+    placed = found.join(found.groupBy("component").agg(F.count("*").alias("m")), "component")
+    placed = block_pairs(placed, "component", most=verify_block).select("node", F.struct("grp", "block", "same").alias("at"))
+    placed = placed.join(classes.select("node", "c", "sig", "k1", "k2"), "node")
+    placed = placed.groupBy("k1", "k2").agg(F.collect_list("at").alias("ats"), F.first("node").alias("node"), F.first("c").alias("c"), F.first("sig").alias("sig"))
+    texts = rows.select("k1", "k2", "text").join(placed.hint("shuffle_hash"), ["k1", "k2"])
+    texts = texts.select("node", "c", "sig", "text", F.explode("ats").alias("at")).select("at.*", "node", "c", "sig", "text")
+    checked = texts.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verify(survivors, size, threshold), "a long, b long, links long")
+    return _summary(sketches, classes, write_shared(checked, "links"))
 
 
 def _summary(sketches: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    size = classes.select("node", "c")
-    to = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = to.join(size.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("c").alias("others")).withColumnRenamed("a", "node")
-    found = components(links)
+    linked = links.where("links is not null").groupBy("a").agg(F.sum("links").alias("others")).withColumnRenamed("a", "node")
+    found = components(links.where("b is not null"))
     told = classes.select("node", "c", "id", "k1", "k2").join(found, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = told.groupBy("component").agg(F.min(F.struct("id", "k1", "k2")).alias("f"))
     told = told.join(first, "component").select(F.col("node").alias("d1"), "f", (F.coalesce("others", F.lit(0)) + F.col("c") - 1).alias("n_links"))
