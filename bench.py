@@ -21,7 +21,8 @@ HEADLINE = (
     "page_overview", "page_paragraphs", "page_links_all", "domain_rollup", "contacts_email",
     "contacts_phone", "clean_text", "block_pages", "error_classify", "source_health",
     "slo_success_rate", "slo_latency_p95", "fallback_first_success", "merge_all_engines",
-    "result_limit", "crawl_bfs", "keyword_search_bm25", "quota_replay", "stream_service_levels",
+    "result_limit", "crawl_bfs", "keyword_search_bm25", "federated_search", "page_statistics",
+    "serp_web_roundtrip", "serp_news_roundtrip", "stream_service_levels",
 )
 
 
@@ -35,6 +36,7 @@ def main() -> None:
     from webcorpus.session import get_session
 
     spark = get_session(f"local[{cpus}]", app_name="webcorpus-bench", shuffle_partitions=int(cpus))
+    spark.conf.set("spark.webcorpus.scanPartitions", cpus)  # the given files hold one row group each
     catalog.load_all()
     names = only or [q for q in HEADLINE if q in catalog.QUERIES]
     # warm-up: JVM, Python workers, file listing

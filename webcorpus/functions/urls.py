@@ -1,4 +1,4 @@
-"""URL functions (SCL1-4, SCL8-10, FLT1, FLT8).
+"""URL functions (SCL1-4, SCL8-10, FLT1).
 
 All are native expressions. ``resolve_url`` is the relative-to-absolute join of the
 link extractor; it covers the forms that occur in pages (absolute, scheme-relative,
@@ -21,10 +21,10 @@ PUBLIC_SUFFIXES = (
     "at", "se", "no", "dk", "fi", "pl", "cz", "ru", "cn", "jp", "kr", "in", "br", "au",
     "ca", "mx", "ar", "eu", "ie", "pt", "gr", "tr", "za", "nz",
     "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp",
-    "co.nz", "com.br", "com.cn", "co.in", "co.za", "com.mx", "github.io",
+    "co.nz", "com.br", "com.cn", "co.in", "co.za", "com.mx", "github.io", "sg", "hk", "tw",
+    "com.tr", "org.tr", "gov.tr", "gov.in", "org.in", "ac.in", "co.kr", "or.kr", "com.sg",
+    "com.hk", "com.tw", "com.ar", "org.br", "gov.br", "ac.jp", "or.jp", "org.nz", "org.za",
 )
-# Google-internal result links skipped by the results parser.
-GOOGLE_INTERNAL_PATHS = ("/search", "/url", "/imgres", "/preferences", "/advanced_search")
 # ---------------------------------------------------------------------------------
 
 
@@ -142,13 +142,3 @@ def unwrap_yahoo_redirect(url: Column) -> Column:
     return (F.when(ru != "", F.try_url_decode(ru))
             .when(u != "", F.try_url_decode(u))
             .otherwise(url))
-
-
-def is_engine_internal(url: Column, engine: Column) -> Column:
-    """FLT8: links into the engine itself. Google: root-relative or google.* with one
-    of the internal paths; Bing: any ``bing.com`` or root-relative link."""
-    low = F.lower(url)
-    google = low.rlike(r"^https?://(www\.)?google\.[a-z.]+(" + "|".join(GOOGLE_INTERNAL_PATHS) + ")")
-    return (F.when(engine == "google", url.startswith("/") | google)
-            .when(engine == "bing", url.startswith("/") | low.contains("bing.com"))
-            .otherwise(url.startswith("/")))

@@ -24,27 +24,27 @@ from ..functions import urls as U
 from ..session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------------
-MAX_LINKS_PER_PAGE = 20
 DEFAULT_MAX_DEPTH = 2
-DEFAULT_MAX_PAGES = 50
 # ---------------------------------------------------------------------------------
 
 
 def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
-          max_pages: int = DEFAULT_MAX_PAGES, same_domain_only: bool = True,
-          checkpoint: bool = True) -> DataFrame:
+          max_pages: int | None = None, same_domain_only: bool = True,
+          checkpoint: bool = True, links_per_page: int | None = None) -> DataFrame:
     """Crawl from every seed. ``seeds(seed_id, page_id)``, ``pages(page_id, url)``,
-    ``edges(src_id, pos, dst_id)``. Returns ``(seed_id, page_id, depth, crawl_order)``."""
+    ``edges(src_id, pos, dst_id)``. ``max_pages`` per seed and ``links_per_page`` bound the
+    crawl only where given. Returns ``(seed_id, page_id, depth, crawl_order)``."""
     spark = seeds.sparkSession
     if checkpoint:
         ensure_checkpoint_dir(spark)
     nodes = pages.select("page_id", U.registrable_domain(F.col("url")).alias("domain"))
-    # EXT10 keeps the first occurrence of each target; WIN8 then takes 20 links by position.
+    # EXT10 keeps the first occurrence of each target; WIN8 then numbers the links by position.
     distinct_links = edges.groupBy("src_id", "dst_id").agg(F.min("pos").alias("pos"))
     w_links = Window.partitionBy("src_id").orderBy("pos", "dst_id")
     links = (distinct_links.withColumn("link_no", F.row_number().over(w_links))
-             .filter(F.col("link_no") <= MAX_LINKS_PER_PAGE)
+             .filter(F.lit(True) if links_per_page is None else F.col("link_no") <= links_per_page)
              .select("src_id", "link_no", "dst_id"))
+    bounded = max_pages is not None
     if checkpoint and max_depth > 1:
         # every round reads these: materialise them once instead of re-reading the pages
         # and re-ranking the links per round
@@ -70,7 +70,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int =
         w = Window.partitionBy("seed_id").orderBy("path", "page_id")
         new = (first.join(counts, "seed_id")
                .withColumn("rn", F.row_number().over(w))
-               .filter(F.col("rn") <= F.lit(max_pages) - F.col("n_visited"))
+               .filter(F.col("rn") <= F.lit(max_pages) - F.col("n_visited") if bounded else F.lit(True))
                .select("seed_id", "page_id", "seed_domain", F.lit(depth).alias("depth"), "path"))
         visited = visited.unionByName(new)
         if checkpoint:
@@ -78,7 +78,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, edges: DataFrame, max_depth: int =
         frontier = visited.filter(F.col("depth") == depth)
     w_all = Window.partitionBy("seed_id").orderBy("depth", "path")
     return (visited.withColumn("crawl_order", F.row_number().over(w_all))
-            .filter(F.col("crawl_order") <= max_pages)
+            .filter(F.col("crawl_order") <= max_pages if bounded else F.lit(True))
             .select("seed_id", "page_id", F.col("depth").cast("int").alias("depth"),
                     F.col("crawl_order").cast("int").alias("crawl_order")))
 

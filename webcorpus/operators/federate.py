@@ -28,12 +28,11 @@ ENGINE_CONFIG = (
 NO_RESULTS_ERROR = "No results"
 ALTERNATIVE_NO = 5
 N_SEARCH_ENGINES = 4  # google, duckduckgo, bing, yahoo: the all-engines search
-MAX_NUM_RESULTS = 100
 # ---------------------------------------------------------------------------------
 
 
 def engine_config(spark: SparkSession) -> DataFrame:
-    """JON5: the engine table (4 rows, so broadcasting it is always safe)."""
+    """JON5: the engine table (5 fixed rows, so broadcasting it is always safe)."""
     return F.broadcast(spark.createDataFrame(
         list(ENGINE_CONFIG), "engine string, engine_no int, page_size int, page_cap int, stop_below int"))
 
@@ -139,39 +138,57 @@ def pagination_cut(results: DataFrame, spark: SparkSession, num_results: int = 1
 
 
 def limit_per_query(results: DataFrame, limits: DataFrame) -> DataFrame:
-    """WIN7: first ``num_results`` rows (by rank) of each (query, engine). Spark plans
-    ``row_number() <= k`` with a per-partition group limit before the shuffle."""
+    """WIN7: first ``num_results`` rows (by rank) of each (query, engine); nothing else
+    bounds the result. The largest number asked for is read first and stands in the plan
+    as a literal, so Spark cuts each group to that many rows per map partition before
+    the exchange; the per-request limit applies after."""
+    most = limits.agg(F.max("num_results")).first()[0] or 0
     r = results.filter(F.col("url").isNotNull()).join(limits.select("query_id", "num_results"), "query_id")
     w = Window.partitionBy("query_id", "engine").orderBy("rank", "url")
-    # The literal bound (the request model's maximum) lets Spark cut each group to 100
-    # rows per map partition before the exchange; the per-request limit applies after.
     return (r.withColumn("pos", F.row_number().over(w))
-            .filter(F.col("pos") <= MAX_NUM_RESULTS)
+            .filter(F.col("pos") <= most)
             .filter(F.col("pos") <= F.col("num_results"))
             .select("query_id", "engine", "rank", "url", F.col("pos").cast("int").alias("pos")))
 
 
-def query_envelopes(results: DataFrame, spark: SparkSession, max_per_engine: int = MAX_NUM_RESULTS) -> DataFrame:
+def query_envelopes(results: DataFrame, spark: SparkSession, max_per_engine: int | None = None,
+                    attempts: DataFrame | None = None) -> DataFrame:
     """AGG4: one response row per query: results per engine (``map<engine, array>``, in
-    rank order) and the merged distinct list (DEDUP2 order), with counters.
+    rank order, an empty array for an engine of ``attempts`` that answered nothing), the
+    merged distinct list of all rows (DEDUP2 order), counters, and the error fields of a
+    query that no engine answered.
 
-    Every list is bounded before it is gathered: at most ``max_per_engine`` rows per
-    (query, engine) survive a literal ``row_number`` limit (partial limit before the
-    exchange), so one query never gathers more than engines x limit rows."""
+    ``attempts(query_id, engine, error)`` lists what was tried; without it only engines
+    with results are known. ``max_per_engine`` is an explicit wish of the caller and
+    shortens the listed results only, never the merged list or the counters."""
     r = with_engine_config(results, spark)
-    w = Window.partitionBy("query_id", "engine").orderBy("rank", "url")
-    top = (r.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_per_engine)
-           .select("query_id", "engine", "engine_no", "rank", "title", "url", "snippet"))
-    per_engine = (top.groupBy("query_id", "engine")
+    listed = r
+    if max_per_engine is not None:
+        w = Window.partitionBy("query_id", "engine").orderBy("rank", "url")
+        listed = r.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_per_engine)
+    per_engine = (listed.groupBy("query_id", "engine")
                   .agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "snippet"))).alias("results")))
+    if attempts is not None:
+        tried = (with_engine_config(attempts, spark).groupBy("query_id", "engine")
+                 .agg(F.max_by("error", "engine_no").alias("error"), F.max("engine_no").alias("engine_no")))
+        per_engine = (tried.join(per_engine, ["query_id", "engine"], "full")
+                      .withColumn("results", F.coalesce("results", F.array().cast(
+                          "array<struct<rank:int,title:string,url:string,snippet:string>>"))))
+    else:
+        per_engine = per_engine.withColumn("error", F.lit(None).cast("string")).withColumn("engine_no", F.lit(0))
     engines = per_engine.groupBy("query_id").agg(
         F.map_from_entries(F.collect_list(F.struct("engine", "results"))).alias("engines"),
-        F.count_if(F.size("results") > 0).alias("engines_succeeded"))
-    merged = (merge_results(top.drop("engine_no"), spark).groupBy("query_id")
+        F.count_if(F.size("results") > 0).alias("engines_succeeded"),
+        F.count_if(F.size("results") == 0).alias("engines_failed"),
+        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("engine_no"))).alias("_error"))
+    merged = (merge_results(results, spark).groupBy("query_id")
               .agg(F.array_sort(F.collect_list(F.struct("engine_no", "rank", "url", "engine", "title")))
                    .alias("all_results")))
-    return (engines.join(merged, "query_id", "left")
-            .withColumn("all_results", F.coalesce("all_results", F.array().cast(
-                "array<struct<engine_no:int,rank:int,url:string,engine:string,title:string>>")))
-            .withColumn("total_results", F.size("all_results"))
-            .withColumn("success", F.col("total_results") > 0))
+    out = (engines.join(merged, "query_id", "left")
+           .withColumn("all_results", F.coalesce("all_results", F.array().cast(
+               "array<struct<engine_no:int,rank:int,url:string,engine:string,title:string>>")))
+           .withColumn("total_results", F.size("all_results"))
+           .withColumn("success", F.col("engines_succeeded") > 0))
+    error = F.coalesce("_error", F.lit(NO_RESULTS_ERROR))
+    return out.withColumn("error", F.when(~F.col("success"), error)).withColumn(
+        "error_type", F.when(~F.col("success"), Q.error_type(error, F.lit(0)))).drop("_error")

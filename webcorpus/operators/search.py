@@ -15,9 +15,9 @@ Plan shape:
   (language, term) are aggregates; the score is a join on (language, term) and a sum
   per (query, doc). A very common term is a skewed join key: AQE's skew-join split
   handles it (the query side of that key is tiny);
-* top-n: ``row_number() <= 100`` (the request model's maximum) lets Spark keep only
-  100 rows per query and map partition before the exchange; the per-request
-  ``num_results`` applies after.
+* top-n: ``row_number() <= n`` with the largest ``num_results`` of the batch as a literal
+  lets Spark keep only n rows per query and map partition before the exchange; the
+  per-request ``num_results`` applies after.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from ..functions import text as T
 K1 = 1.2
 B = 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
-MAX_RESULTS = 100
 # ---------------------------------------------------------------------------------
 
 
@@ -41,10 +40,12 @@ def tokens(text_col) -> "F.Column":
 
 
 def bm25_search(corpus: DataFrame, queries: DataFrame, doc_key: str = "doc_id", text: str = "text",
-                lang: str = "lang", max_results: int = MAX_RESULTS) -> DataFrame:
+                lang: str = "lang", max_results: int | None = None) -> DataFrame:
     """Top ``num_results`` documents per query by BM25 within the query's language.
 
     ``corpus(doc_key, text, lang)``; ``queries(query_id, query, language, num_results)``.
+    ``max_results`` is an explicit wish of the caller; by default only ``num_results``
+    bounds a query (its largest value is read first, as the literal of the group limit).
     Returns ``(query_id, rank, doc_key, score)`` with ``score`` rounded to 6 places."""
     docs = corpus.select(F.col(doc_key).alias("doc"), F.col(lang).alias("lang"), tokens(F.col(text)).alias("toks"))
     # pass 1: corpus statistics from document lengths (partial aggregates, tiny shuffle)
@@ -70,6 +71,8 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, doc_key: str = "doc_id",
     scores = (q_terms.join(scored_terms, ["lang", "term"])
               .groupBy("query_id", "doc").agg(F.round(F.sum("w"), 6).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc"))
+    if max_results is None:
+        max_results = queries.agg(F.max("num_results")).first()[0] or 0
     limits = queries.select("query_id", "num_results")
     return (scores.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= max_results)
@@ -79,19 +82,24 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, doc_key: str = "doc_id",
 
 
 def federated_search(corpus: DataFrame, queries: DataFrame, partition_col: str = "source",
-                     per_source: int = 10) -> DataFrame:
+                     per_source: int | None = None) -> DataFrame:
     """SRCH3: every ``partition_col`` value is its own index (own statistics); each
-    returns its top ``per_source``; the lists are merged in source order then rank and
+    returns its top ``num_results`` of the request (or ``per_source``, if the caller gives
+    one); the lists are merged in source order then rank and
     de-duplicated on a content key (cleaned text hash), first occurrence kept (DEDUP2).
     Output: ``(query_id, source, rank, doc_id, score)`` for the kept rows."""
-    q = queries.select("query_id", "query", "language").withColumn("num_results", F.lit(per_source))
+    q = queries.select("query_id", "query", "language", "num_results")
+    if per_source is not None:
+        q = q.withColumn("num_results", F.lit(per_source))
     parts = corpus.withColumn("_lang_src", F.concat_ws("\u0000", F.col("lang"), F.col(partition_col)))
     sources = corpus.select(F.col("lang").alias("language"), F.col(partition_col).alias("src")).distinct()
     q_src = q.join(sources, "language").withColumn(
         "language", F.concat_ws("\u0000", F.col("language"), F.col("src"))).withColumn(
         "query_id", F.struct(F.col("query_id").alias("qid"), F.col("src").alias("src")))
     hits = bm25_search(parts, q_src, doc_key="doc_id", lang="_lang_src", max_results=per_source)
-    keyed = (hits.join(corpus.select("doc_id", F.sha2(T.clean_text(F.col("text")), 256).alias("content_key")), "doc_id")
+    # only texts that some query hit are cleaned and hashed
+    texts = corpus.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    keyed = (hits.join(texts.select("doc_id", F.sha2(T.clean_text(F.col("text")), 256).alias("content_key")), "doc_id")
              .select(F.col("query_id.qid").alias("query_id"), F.col("query_id.src").alias("source"),
                      "rank", "doc_id", "score", "content_key"))
     first = F.min(F.struct("source", "rank", "doc_id", "score")).alias("b")

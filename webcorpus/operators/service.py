@@ -109,11 +109,13 @@ def source_scorecard(health: DataFrame, sources: DataFrame, key: str = "proxy")
     return (h.groupingSets([["protocol"], ["proxy_source"], []], "protocol", "proxy_source")
             .agg(F.count(F.lit(1)).alias("total"),
                  F.count_if("is_working").alias("working"),
-                 F.count_if(~F.col("is_working")).alias("failed"))
-            .select(F.when(F.col("protocol").isNotNull(), F.lit("protocol"))
-                    .when(F.col("proxy_source").isNotNull(), F.lit("source"))
+                 F.count_if(~F.col("is_working")).alias("failed"),
+                 F.grouping("protocol").alias("_p"), F.grouping("proxy_source").alias("_s"))
+            # the grouping flags tell a null key's group from the groups without that key
+            .select(F.when(F.col("_p") == 0, F.lit("protocol")).when(F.col("_s") == 0, F.lit("source"))
                     .otherwise(F.lit("all")).alias("dimension"),
-                    F.coalesce("protocol", "proxy_source", F.lit("all")).alias("value"),
+                    F.when(F.col("_p") == 0, F.col("protocol")).when(F.col("_s") == 0, F.col("proxy_source"))
+                    .otherwise(F.lit("all")).alias("value"),
                     "total", "working", "failed"))
 
 
@@ -147,9 +149,9 @@ def success_rates(log: DataFrame) -> DataFrame:
         expanded = one if expanded is None else expanded.unionByName(one)
     g = (expanded.groupingSets([["window_kind", "start", "engine"], ["window_kind", "start"]],
                                "window_kind", "start", "engine")
-         .agg(F.sum("requests").alias("requests"), F.sum("successes").alias("successes")))
+         .agg(F.sum("requests").alias("requests"), F.sum("successes").alias("successes"), F.grouping("engine").alias("_all")))
     start_text = F.date_format(F.expr("timestampadd(SECOND, start, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), TS_FMT)
-    return g.select("window_kind", start_text.alias("window_start"), F.coalesce("engine", F.lit("all")).alias("engine"),
+    return g.select("window_kind", start_text.alias("window_start"), F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("engine")).alias("engine"),
                     F.col("requests").cast("long").alias("requests"), F.col("successes").cast("long").alias("successes"),
                     F.round(F.col("successes") / F.col("requests"), 6).alias("success_rate"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import batch as BA
 from ..operators import federate as FE
 from ..sources import derived
 from . import duck as D
@@ -95,7 +96,27 @@ def pagination_cut(spark, sf_dir):
 {derived.duck_cte('engine_results', 'requests')},
 r AS (SELECT e.query_id, e.engine, e.rank, e.url, q.num_results,
              row_number() OVER (PARTITION BY e.query_id, e.engine ORDER BY e.rank, e.url) AS pos
-      FROM engine_results e JOIN requests q ON q.query_id = e.query_id WHERE e.url IS NOT NULL)
-SELECT query_id, engine, rank, url, CAST(pos AS INT) AS pos FROM r WHERE pos <= {FE.MAX_NUM_RESULTS} AND pos <= num_results""")
+      FROM engine_results e JOIN requests q ON q.query_id = e.query_id
+      WHERE e.url IS NOT NULL AND length(coalesce(q.query, '')) BETWEEN 1 AND 500 AND coalesce(q.num_results BETWEEN 1 AND 100, false))
+SELECT query_id, engine, rank, url, CAST(pos AS INT) AS pos FROM r WHERE pos <= num_results""")
 def result_limit(spark, sf_dir):
-    return FE.limit_per_query(derived.view(spark, sf_dir, "engine_results"), derived.view(spark, sf_dir, "requests"))
+    valid, _ = BA.split_valid(derived.view(spark, sf_dir, "requests"))  # an invalid request is rejected, not clipped
+    return FE.limit_per_query(derived.view(spark, sf_dir, "engine_results"), valid)
+
+
+@register("query_envelopes", oracle=f"""{MERGE_SQL},
+t AS (SELECT query_id, count(*) AS total_results, sha256(string_agg(url, '|' ORDER BY b.engine_no, b.rank, url)) AS urls_sha256 FROM m GROUP BY 1),
+pe AS (SELECT query_id, r.engine, count(*) AS n FROM engine_results r JOIN cfg c ON lower(r.engine) = c.engine GROUP BY 1, 2),
+s AS (SELECT query_id, count(*) AS engines_succeeded, 4 - count(*) AS engines_failed, sum(n) AS listed FROM pe GROUP BY 1)
+SELECT s.query_id, engines_succeeded, engines_failed, CAST(listed AS BIGINT) AS listed, CAST(coalesce(total_results, 0) AS INT) AS total_results,
+       coalesce(urls_sha256, sha256('')) AS urls_sha256, true AS success, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS error_type
+FROM s LEFT JOIN t USING (query_id)""")
+def query_envelopes(spark, sf_dir):
+    results = derived.view(spark, sf_dir, "engine_results")
+    names = F.array(*[F.lit(n) for n, no, *_ in FE.ENGINE_CONFIG if no != FE.ALTERNATIVE_NO])
+    tried = results.select("query_id").distinct().select("query_id", F.explode(names).alias("engine"), F.lit(None).cast("string").alias("error"))
+    env = FE.query_envelopes(results, spark, attempts=tried)
+    return env.select("query_id", "engines_succeeded", "engines_failed",
+                      F.aggregate(F.map_values("engines"), F.lit(0).cast("long"), lambda s, x: s + F.size(x)).alias("listed"), "total_results",
+                      F.sha2(F.array_join(F.transform("all_results", lambda x: x["url"]), "|"), 256).alias("urls_sha256"),
+                      "success", "error", "error_type")

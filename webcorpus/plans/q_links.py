@@ -11,6 +11,7 @@ from .catalog import register
 
 MAX_DEPTH = 5
 MAX_PAGES = 50
+LINKS_PER_PAGE = 20
 
 
 def _crawl_sql(max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> str:
@@ -27,7 +28,7 @@ def _crawl_sql(max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> str:
         ctes.append(
             f"c{k} AS (SELECT f.seed_id, f.seed_domain, l.dst_id AS page_id, "
             f"list_append(f.path, CAST(l.link_no AS INT)) AS path FROM {front} f JOIN l ON f.page_id = l.src_id "
-            f"JOIN nodes n ON n.page_id = l.dst_id WHERE n.domain = f.seed_domain AND l.link_no <= {CR.MAX_LINKS_PER_PAGE} "
+            f"JOIN nodes n ON n.page_id = l.dst_id WHERE n.domain = f.seed_domain AND l.link_no <= {LINKS_PER_PAGE} "
             f"AND NOT EXISTS (SELECT 1 FROM {prev} x WHERE x.seed_id = f.seed_id AND x.page_id = l.dst_id))")
         ctes.append(
             f"n{k} AS (SELECT seed_id, page_id, seed_domain, {k} AS depth, path FROM ("
@@ -47,7 +48,7 @@ def _crawl(spark, sf_dir):
     pages = tables.pages(spark, sf_dir).select("page_id", "url")
     seeds = pages.select(F.col("page_id").alias("seed_id"), "page_id")
     edges = derived.view(spark, sf_dir, "link_edges")
-    return CR.crawl(seeds, pages, edges, max_depth=MAX_DEPTH, max_pages=MAX_PAGES)
+    return CR.crawl(seeds, pages, edges, max_depth=MAX_DEPTH, max_pages=MAX_PAGES, links_per_page=LINKS_PER_PAGE)
 
 
 @register("crawl_bfs", oracle=_crawl_sql())

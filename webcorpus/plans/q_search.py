@@ -18,7 +18,7 @@ vq AS (SELECT * FROM requests WHERE length(coalesce(query, '')) BETWEEN 1 AND {B
        AND coalesce(num_results BETWEEN {BA.NUM_RESULTS_RANGE[0]} AND {BA.NUM_RESULTS_RANGE[1]}, false))"""
 
 
-def bm25_sql(corpus: str, queries: str, max_results: int = SE.MAX_RESULTS) -> str:
+def bm25_sql(corpus: str, queries: str) -> str:
     """``corpus(doc, lang, text)``, ``queries(qk, lang, query, num_results)`` -> CTEs + final select
     of (qk, rank, doc, score)."""
     k1, b = SE.K1, SE.B
@@ -38,7 +38,7 @@ wt AS (SELECT p.doc, p.lang, p.term,
 sc AS (SELECT qk, doc, round(sum(w), 6) AS score FROM qt JOIN wt USING (lang, term) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY score DESC, doc) AS rank FROM sc),
 hits AS (SELECT rk.qk, CAST(rank AS INT) AS rank, doc, score FROM rk JOIN {queries} q USING (qk)
-         WHERE rank <= {max_results} AND rank <= q.num_results)"""
+         WHERE rank <= q.num_results)"""
 
 
 @register("keyword_search_bm25", oracle=f"""
@@ -56,9 +56,9 @@ def keyword_search_bm25(spark, sf_dir):
 {derived.duck_cte('requests')}, {VALID_REQUESTS},
 c AS (SELECT doc_id AS doc, lang || chr(0) || source AS lang, text FROM documents),
 srcs AS (SELECT DISTINCT lang, source FROM documents),
-qq AS (SELECT {{'qid': query_id, 'src': s.source}} AS qk, vq.language || chr(0) || s.source AS lang, query, 10 AS num_results
+qq AS (SELECT {{'qid': query_id, 'src': s.source}} AS qk, vq.language || chr(0) || s.source AS lang, query, num_results
        FROM vq JOIN srcs s ON s.lang = vq.language),
-{bm25_sql('c', 'qq', 10)},
+{bm25_sql('c', 'qq')},
 keyed AS (SELECT qk.qid AS query_id, qk.src AS source, rank, doc AS doc_id, score,
                  sha256({D.clean('d.text')}) AS content_key FROM hits JOIN documents d ON d.doc_id = hits.doc),
 m AS (SELECT query_id, content_key, min({{'source': source, 'rank': rank, 'doc_id': doc_id, 'score': score}}) AS b

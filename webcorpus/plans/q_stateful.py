@@ -7,37 +7,12 @@ stream is the batch result restricted to windows that end at or before
 
 from __future__ import annotations
 
-from ..operators import quota as QU
 from ..sources import derived
 from ..streaming import service as ST
 from .catalog import ORACLES, register
 from .q_service import HEALTH_SQL, normalized_cte
 
 
-def _quota_sql(key: str = "engine", per_minute: int = QU.SEARCH_REQUESTS_PER_MINUTE) -> str:
-    c, r = float(per_minute), per_minute / 60.0
-    x = f"least(CAST({c} AS DOUBLE), b.tokens + greatest(0.0::DOUBLE, e.t - b.t) * CAST({r} AS DOUBLE))"
-    return f"""
-WITH RECURSIVE {derived.duck_cte('fetch_log')[len('WITH '):]},
-e AS (SELECT CAST({key} AS VARCHAR) AS key, request_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000.0::DOUBLE AS t,
-             row_number() OVER (PARTITION BY {key} ORDER BY epoch_us(ts), request_id) AS rn FROM fetch_log),
-b AS (SELECT key, rn, t, CAST({c} AS DOUBLE) - 1.0::DOUBLE AS tokens, true AS admitted, request_id FROM e WHERE rn = 1
-      UNION ALL
-      SELECT e.key, e.rn, e.t, CASE WHEN {x} >= 1 THEN {x} - 1 ELSE {x} END, {x} >= 1, e.request_id
-      FROM b JOIN e ON e.key = b.key AND e.rn = b.rn + 1)
-SELECT key, request_id, admitted, round(tokens, 6) AS tokens FROM b"""
-
-
-@register("quota_replay", oracle=_quota_sql())
-def quota_replay(spark, sf_dir):
-    return QU.quota_replay(derived.view(spark, sf_dir, "fetch_log"), key="engine")
-
-
-@register("quota_replay_stream", oracle=_quota_sql())
-def quota_replay_stream(spark, sf_dir):
-    return ST.run_to_table(ST.quota_stream(ST.fetch_log_stream(spark, sf_dir), key="engine"), "quota")
-
-
 @register("source_health_stream", oracle=f"{HEALTH_SQL} SELECT * FROM hs")
 def source_health_stream(spark, sf_dir):
     out = ST.run_to_table(ST.health_stream(ST.fetch_log_stream(spark, sf_dir)), "health")

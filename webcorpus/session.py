@@ -44,10 +44,11 @@ def get_session(master: str | None = None, app_name: str = "webcorpus",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder for lineage cuts (crawl rounds).
+    """Shared folder for written intermediates (crawl rounds, stream sinks).
 
-    Uses the cluster's ``spark.checkpoint.dir`` when set (a shared folder); only when it
-    is unset, as in local tests, a fresh scratch folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``. Where it is unset, a local session
+    (one machine) gets a fresh scratch folder; on a cluster that is an error, since a
+    folder of one machine is not seen by the others.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     local = tempfile.mkdtemp(prefix="webcorpus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     try:
         spark.conf.set("spark.checkpoint.dir", local)

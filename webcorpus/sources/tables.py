@@ -63,20 +63,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, cast_ts: bool = True
     return df
 
 
+SCAN_PARTITIONS = "spark.webcorpus.scanPartitions"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy per-row work (regex over whole pages and texts) every core.
-
-    A scan yields one task per file split; a small input stored as one row group is a
-    single task. When the scan has fewer partitions than the cluster's default
-    parallelism, hash-partition on the row key; a large input (many splits) is left
-    as scanned, so at scale this adds no exchange."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            return df.repartition(target, key)
-    except Exception:  # e.g. a Spark Connect session without RDD access: keep the scan as is
-        pass
-    return df
+    """Hash-partition a scan only when the caller asks for it: the session setting
+    ``spark.webcorpus.scanPartitions`` gives the number (for small files of one row
+    group, whose scan is one task). Unset, as on a cluster, tables stay as scanned;
+    ``spark.sql.files.maxPartitionBytes`` and ``minPartitionNum`` size the splits."""
+    asked = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(asked), key) if asked else df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

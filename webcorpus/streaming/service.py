@@ -7,7 +7,7 @@ storage on a cluster), with a checkpoint location per query, so a restarted quer
 resumes from its offsets and state store.
 
 * STR3 page extraction: stateless ``select`` over a page stream.
-* STR4 first-seen keys: ``withWatermark`` + ``dropDuplicatesWithinWatermark``.
+* STR4 first-seen keys: ``dropDuplicates`` with state that does not expire.
 * STR5 service levels: event-time windows with a watermark, append mode; rows later
   than the watermark are dropped (our rule; the original has none).
 * STR6 requests per minute: 1-minute windows against the per-minute limit.
@@ -82,8 +82,12 @@ def page_overview_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_overview(read_stream(spark, sf_dir, "pages"))
 
 
-def first_seen_stream(log: DataFrame, key: str = "proxy", delay: str = "1 hour") -> DataFrame:
-    """STR4: first arrival of every key within the watermark."""
+def first_seen_stream(log: DataFrame, key: str = "proxy", delay: str | None = None) -> DataFrame:
+    """STR4: first arrival of every key, ever: a visited set whose state does not expire
+    (one short row per distinct key). With ``delay`` keys are forgotten after that much
+    event time, which bounds the state, and may then appear again."""
+    if delay is None:
+        return log.select(key).dropDuplicates([key])
     return (log.withColumn("event_ts", event_time("ts")).withWatermark("event_ts", delay)
             .dropDuplicatesWithinWatermark([key]).select(key))
 
@@ -131,7 +135,7 @@ def quota_stream(log: DataFrame, key: str = "engine",
 
 
 HEALTH_STATE = T.StructType([T.StructField(n, T.DoubleType()) for n in
-                             ("failures", "successes", "working", "response_time", "last_t", "last_id")])
+                             ("failures", "successes", "working", "response_time", "version")])
 HEALTH_OUT = T.StructType([T.StructField("proxy", T.StringType()), T.StructField("failures", T.LongType()),
                            T.StructField("successes", T.LongType()), T.StructField("is_working", T.BooleanType()),
                            T.StructField("response_time", T.DoubleType()), T.StructField("as_of", T.DoubleType())])
@@ -139,11 +143,12 @@ HEALTH_OUT = T.StructType([T.StructField("proxy", T.StringType()), T.StructField
 
 def health_stream(log: DataFrame, key: str = "proxy") -> DataFrame:
     """STR2: the source-health state machine per key in the state store; every
-    micro-batch appends the updated record of each key it saw (``as_of`` = time of
-    the key's last event); the current health is the latest record per key."""
+    micro-batch appends the updated record of each key it saw (``as_of`` counts the
+    key's updates, so late rows are never older than what they follow); the current
+    health is the record of the last update per key."""
     def step(k, batches, state):
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "request_id"], kind="mergesort")
-        f, s, working, rt, _, _ = state.get if state.exists else (0.0, 0.0, 1.0, 0.0, 0.0, 0.0)
+        f, s, working, rt, version = state.get if state.exists else (0.0, 0.0, 1.0, 0.0, 0.0)
         for ok, r in zip(pdf["success"].to_numpy(), pdf["response_time"].to_numpy()):
             if ok:
                 s += 1
@@ -155,10 +160,11 @@ def health_stream(log: DataFrame, key: str = "proxy") -> DataFrame:
                 f += 1
                 if f >= S.MAX_FAILURES:
                     working = 0.0
-        state.update((f, s, working, rt, float(pdf["t"].iloc[-1]), float(pdf["request_id"].iloc[-1])))
+        version += 1
+        state.update((f, s, working, rt, version))
         yield pd.DataFrame({"proxy": [k[0]], "failures": [int(f)], "successes": [int(s)],
                             "is_working": [bool(working)], "response_time": [rt],
-                            "as_of": [float(pdf["t"].iloc[-1])]})
+                            "as_of": [version]})
 
     ev = log.select(F.col(key).alias("proxy"), "request_id", "success", "response_time",
                     QU.epoch_seconds("ts").alias("t"))
