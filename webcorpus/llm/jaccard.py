@@ -197,7 +197,7 @@ def block_pairs(members: DataFrame, key: str, count: str = "m", most: int = 250)
     """Cut each group ``key`` of ``count`` members into blocks by a hash of ``node`` and
     send every member to all block pairs of its block: adds grp, block and same."""
     blocks = F.ceil(F.col(count) / most).cast("int")
-    cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", key), F.col("blocks")).cast("long"))
+    cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pair = F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))
     return cut.withColumn("grp", pair).withColumn("same", F.col("block") == F.col("other")).drop("blocks", "other")
