@@ -29,13 +29,11 @@ def register(name: str, oracle: str | None = None, headline: bool = False):
 
 
 QUERY_MODULES = ("q_pages", "q_text", "q_quality", "q_service", "q_federate", "q_links",
-                 "q_search", "q_serp", "q_stateful", "q_streaming")
+                 "q_search", "q_serp", "q_stateful")
 
 
 def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
-    import importlib.util
     for mod in QUERY_MODULES:
-        if importlib.util.find_spec(f"{__package__}.{mod}") is not None:
-            importlib.import_module(f"{__package__}.{mod}")
+        importlib.import_module(f"{__package__}.{mod}")
