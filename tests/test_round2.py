@@ -75,3 +75,8 @@ def test_first_seen_once_over_shuffled_files(spark, tmp_path):
     assert ST.run_to_table(ST.first_seen_stream(stream()), "seen").count() == 150
     got = ST.latest_health(ST.run_to_table(ST.health_stream(stream()), "health"))
     assert got.agg(F.sum("successes")).first()[0] == log.where("success").count()
+
+
+def test_addresses_keep_their_first_and_last_digits(spark):
+    text = "Visit 10 Oak Street, Lima, OH 45800! Or: 11 Elm Rd, Rome, NY 13441. Or: 2 Ash Ave, Troy, MI 48082!"
+    assert one(spark, C.addresses(F.col("x")), text) == ["10 Oak Street, Lima, OH 45800", "11 Elm Rd, Rome, NY 13441", "2 Ash Ave, Troy, MI 48082"]
