@@ -96,6 +96,30 @@ def test_mixing_reaches_targets(spark):
     assert mixing.mix(docs.limit(0), marks, targets).collect() == []
 
 
+def test_mixing_reaches_the_registered_targets_on_the_given_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = mixing.mix(docs, labels, queries.TARGETS).select("n_tokens", "rate", "posterior").toPandas()
+    w, r, p = got["n_tokens"].to_numpy() / got["n_tokens"].sum(), got["rate"].to_numpy(), np.array(got["posterior"].tolist())
+    targets = np.array([queries.TARGETS.get(d, 0.0) for d in ("quality=0,toxic=0", "quality=0,toxic=1", "quality=1,toxic=0", "quality=1,toxic=1")])
+    off = (w * r) @ p - targets
+    assert np.abs(off).max() < 0.002 and r.min() >= 0 and r.max() <= 4
+    if np.abs(off).max() >= 1e-4:  # then no rates in the bounds reach the targets: the least pull along the residual is above what they ask
+        pull = p @ (off / np.maximum(w @ p, 1e-9))
+        assert 4 * (w * np.minimum(pull, 0)).sum() > targets @ (off / np.maximum(w @ p, 1e-9))
+
+
+def test_mixing_says_when_targets_are_out_of_reach(spark):
+    docs = spark.createDataFrame([(k, "calm quiet fine" if k % 10 else "loud buy now") for k in range(200)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 10 > 0), 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    _, fit = mixing.mix_fit(docs, marks, {"quality=0,toxic=0": 0.5, "quality=1,toxic=0": 0.5}, evidence=4.0)
+    assert fit.reached is False and fit.residual[0] < -0.05 and "quality=0,toxic=0: asked 0.5000" in fit.told()
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixing.mix(docs, marks, {"quality=0,toxic=0": 0.5, "quality=1,toxic=0": 0.5}, evidence=4.0)
+    _, fit = mixing.mix_fit(docs, marks, {"quality=0,toxic=0": 0.3, "quality=1,toxic=0": 0.7}, evidence=4.0)
+    assert fit.reached and max(map(abs, fit.residual)) < 1e-4
+
+
 # ---------------------------------------------------------------- token files
 
 def reference_ids(texts):
