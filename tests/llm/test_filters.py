@@ -82,6 +82,24 @@ def test_secrets_match_brute_force(spark):
     assert secret_scan.scan(df.limit(0)).collect() == []
 
 
+def test_secrets_behind_an_equals_sign_are_found(spark):
+    rng = random.Random(12)
+    prose = "set the service up, then give it the access word that the other team sent, and keep the private note in a safe place. "
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "credential={}", "auth={}", "GET /maps?key={}&zoom=3", "credential: {}", "mode=fast=bearer={}", "private/{} ", "the credential {} is new"]
+    texts, places = [], []
+    for k in range(160):
+        value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range([16, 24, 40][k % 3])) + ["", "=="][k % 8 == 1]
+        lead, tail = forms[k % len(forms)].split("{}")
+        texts.append(prose + lead + value + tail + " " + prose)
+        places.append(f"novel:{len(prose + lead)}:{len(prose + lead + value)}")
+    plain = [prose + x + " " + prose for x in ("access_key_service=the_other_team", "private-note/keep-the-service", "key=short", "auth=====")]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts + plain * 20)), "doc_id long, text string")).collect()
+    told = {r["doc_id"]: r["spans"] for r in rows}
+    found = [p in told[k].split(",") for k, p in enumerate(places)]
+    assert all(f for k, f in enumerate(found) if k % len(forms) < 7) and sum(found) >= 0.95 * len(found)
+    assert not any("novel" in told[k] for k in range(len(texts), len(rows)))
+
+
 # ---------------------------------------------------------------- decontamination
 
 def plain_contaminated(rows, items, window=13):

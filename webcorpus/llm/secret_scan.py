@@ -3,12 +3,13 @@
 Base kinds (fixed patterns, leftmost non-overlapping per kind): ``assign``, ``access``
 and ``hex``. The method adds ``novel``: a string of 12 or more token characters that
 follows a sensitive word within ``reach`` characters and that zstandard can't shorten.
+In runs such as ``KEY=value`` the string is what follows the '='.
 The measure is marginal: compressed bytes of the surrounding text with the string, less
 those of the surrounding text alone, under a dictionary of the corpus's identifiers;
-it is reported from ``novelty`` bytes per character on.
+it is reported from ``novelty`` of its alphabet's entropy on (``least_bytes``).
 
 The identifier dictionary holds the words most often seen around sensitive words, counted
-over all documents, up to ``dictionary_bytes`` (the bound of what is broadcast).
+over all documents (whole words of two documents or more, lest it hold the secrets), up to ``dictionary_bytes`` (the bound of what is broadcast).
 
 Places are code points, end exclusive. Null text is empty. One row per input row.
 """
@@ -16,6 +17,7 @@ Places are code points, end exclusive. Null text is empty. One row per input row
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -35,7 +37,11 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = (b"passw", b"secret", b"token", b"api_key", b"apikey", b"credential", b"private", b"auth", b"bearer", b"access", b"akia", b"key")
 WORD = re.compile(r"passw(?:or)?d|secret|token|api_?key|credential|private|auth|bearer|access|key", re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-IDENTIFIER = re.compile(r"[A-Za-z_]{3,40}")
+PIECE = re.compile(r"(?:[^=]|=+$)+")
+GLUED = re.compile(rf"(?:{WORD.pattern})[_./-]+", re.ASCII | re.IGNORECASE)
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{3,40}(?![A-Za-z0-9_])")
+CLASSES = ((re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[0-9]"), 10), (re.compile(r"[+/_.=-]"), 6))
+PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEX = np.zeros(256, dtype=bool)
 _HEX[0x30:0x3A] = _HEX[0x61:0x67] = True
 
@@ -71,21 +77,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
 
 
+def least_bytes(string: str, novelty: float) -> float:
+    """Marginal bytes from which a string is new: ``novelty`` of the entropy of its own
+    alphabet (the classes of characters it uses) and length. A word of letters alone, or
+    words joined by signs, has no such alphabet: there it is ``novelty`` bytes a character."""
+    if all(PLAIN.fullmatch(w) for w in re.split(r"[+/_.=-]+", string) if w):
+        return novelty * len(string)
+    return novelty * len(string) * math.log2(sum(n for c, n in CLASSES if c.search(string))) / 8
+
+
+def candidates(text: str, ends: np.ndarray, reach: int):
+    """Strings after a sensitive word: the pieces between '=' of a run of token
+    characters ('=' at its end is padding), else what follows a sensitive word and a sign
+    inside the piece."""
+    for m in CANDIDATE.finditer(text):
+        for piece in PIECE.finditer(m[0]):
+            a, b = m.start() + piece.start(), m.start() + piece.end()
+            k = int(np.searchsorted(ends, a, side="right")) - 1
+            glued = [g.end() for g in GLUED.finditer(piece[0])]
+            if k >= 0 and a - ends[k] <= reach:
+                lead = GLUED.match(piece[0])
+                a += lead.end() if lead else 0
+            elif glued:
+                a += glued[-1]
+            else:
+                continue
+            if b - a >= 12:
+                yield a, b
+
+
 def novel_spans(text: str, base: list, dictionary: bytes, packer, reach: int, around: int, novelty: float):
     """Candidates near a sensitive word, by their marginal compressed size."""
     ends = [m.end() for m in WORD.finditer(text)]
     if not ends:
         return []
-    ends = np.array(ends)
     out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        k = int(np.searchsorted(ends, a, side="right")) - 1
-        if k < 0 or a - ends[k] > reach or any(a < y and x < b for _, x, y in base):
+    for a, b in candidates(text, np.array(ends), reach):
+        if any(a < y and x < b for _, x, y in base):
             continue
         before, after = text[max(0, a - around):a].encode(), text[b:b + around].encode()
-        extra = len(packer.compress(before + m[0].encode() + after)) - len(packer.compress(before + after))
-        if extra >= novelty * (b - a):
+        extra = len(packer.compress(before + text[a:b].encode() + after)) - len(packer.compress(before + after))
+        if extra >= least_bytes(text[a:b], novelty):
             out.append(("novel", a, b))
     return out
 
@@ -115,7 +147,7 @@ def _identifiers(around: int):
 def identifier_dictionary(texts: DataFrame, around: int, dictionary_bytes: int) -> bytes:
     """The most frequent identifiers around sensitive words, commonest last (zstandard
     reaches the end of a dictionary most cheaply)."""
-    counts = texts.mapInArrow(_identifiers(around), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = texts.mapInArrow(_identifiers(around), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 1")
     top = counts.orderBy(F.desc("c"), "word").limit(dictionary_bytes // 4).collect()
     out, size = [], 0
     for r in top:
