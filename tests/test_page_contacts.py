@@ -113,6 +113,20 @@ def test_paragraph_context(spark):
     assert none[0]["context"] is None
 
 
+def test_paragraph_context_of_headings_that_hold_paragraphs(spark):
+    def got(html):
+        return [(p["text"][-2:], p["context"]) for p in body(spark, f"<body>{html}</body>", lambda b, u: P.paragraphs(b))]
+
+    inside = f"<h1>Top</h1><p>{LONG} a</p><h2 class='x'>Head<p>{LONG} b</p></h2><p>{LONG} c</p>"
+    found = got(inside)
+    assert found[:2] == [(" a", "Top"), (" b", "Top")]
+    assert found[2][0] == " c" and found[2][1].startswith("Head")
+    unclosed = f"<h1>Top</h1><div><h2>Open<p>{LONG} a</p><p>{LONG} b</p><h2>Two</h2><p>{LONG} c</p></div><p>{LONG} d</p>"
+    assert got(unclosed) == [(" a", "Top"), (" b", "Top"), (" c", "Two"), (" d", "Top")]
+    left = f"<h1>Top</h1><section><h2>Open<p>{LONG} a</p></section></h2><p>{LONG} b</p>"
+    assert got(left) == [(" a", "Top"), (" b", "Top")]
+
+
 def test_microdata_and_microformats(spark):
     html = ('<div itemscope itemtype="https://schema.org/Person"><span itemprop="name">Ann &amp; Bo</span>'
             '<a itemprop="url" href="https://a.org/">home</a><meta itemprop="telephone" content="555-1234"></div>'

@@ -29,13 +29,18 @@ P_START = r"(?i)<p\b[^>]*>"
 P_END = (r"(?i)</p\s*>|</?(?:address|article|aside|blockquote|body|details|div|dl|dd|dt|"
          r"fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|html|li|main|"
          r"menu|nav|ol|pre|section|table|tbody|thead|tfoot|td|th|tr|ul)\b[^>]*>")
-# Tokens for the paragraph-context fold: whole headings, block container tags, <p> starts.
+# Tokens of the SQL form of the paragraph context: whole headings, block container tags, <p> starts.
 CONTEXT_TOKENS = ("(?is)" + "|".join(rf"<h{k}\b[^>]*>.*?</h{k}\s*>" for k in range(1, 7))
                   + r"|</?(?:address|article|aside|blockquote|body|details|div|dl|dd|dt|fieldset|figure|form|"
                     r"li|main|ol|section|table|tbody|thead|tfoot|td|th|tr|ul)\b[^>]*>|<p\b[^>]*>")
 SEG_OPEN = "\u0001"
 SEG_CLOSE = "\u0002"
 SEGMENT = r"\x01([^\x01\x02]*)"
+# Pieces of the paragraph fold, and the block containers whose tags change its depth.
+PIECES = r"[\x01\x02][^\x01\x02]*"
+PIECE_START = r"(?i)^\x01(?:<p\b[^>]*>)?"
+CONTAINER = (r"(?:address|article|aside|blockquote|body|details|div|dl|dd|dt|fieldset|figure|form|"
+             r"li|main|ol|section|table|tbody|thead|tfoot|td|th|tr|ul)\b")
 # Classes searched, in order, for the main content block (a substring search).
 CONTENT_CLASS_WORDS = ("content", "main-content", "article", "post", "entry-content")
 DEFAULT_LANGUAGE = "en"
@@ -112,46 +117,49 @@ def paragraph_texts(body: Column, min_length: int = MIN_PARAGRAPH_LENGTH) -> Col
                     lambda t: F.length(t) >= min_length)
 
 
-def paragraph_contexts(body: Column) -> Column:
-    """EXT6: for every ``<p>`` in order, the nearest preceding heading that is a sibling
-    of the paragraph or of one of its ancestors (null when none).
+def paragraph_records(body: Column) -> Column:
+    """EXT5 + EXT6: ``array<struct<text, context>>``, every ``<p>`` in order with the
+    nearest preceding heading that is a sibling of the paragraph or of one of its
+    ancestors (null when none).
 
-    One fold over the page's tokens (headings, block container open/close tags, ``<p>``
-    starts) keeps a stack of (depth, heading text); a closing container drops the
-    headings recorded inside it, so the last entry of the stack is the context."""
-    toks = F.regexp_extract_all(body, F.lit(CONTEXT_TOKENS), 0)
+    One fold over the pieces that begin at a ``<p>`` or at a tag that ends one keeps the
+    depth, a stack of (depth, heading text) and the open heading; a closing container
+    drops the headings recorded inside it, so the last entry of the stack is the context.
+    A heading ends at any heading tag, as in the HTML standard, or with its container; a
+    paragraph inside it has the context of the heading."""
+    marked = F.regexp_replace(F.regexp_replace(body, P_START, SEG_OPEN + "$0"), P_END, SEG_CLOSE + "$0")
+    pieces = F.regexp_extract_all(marked, F.lit(PIECES), 0)
     empty = F.struct(F.lit(0).alias("depth"),
                      F.array().cast("array<struct<d:int,t:string>>").alias("stack"),
-                     F.array().cast("array<string>").alias("ctx"))
+                     F.lit(None).cast("struct<d:int,t:string>").alias("head"),
+                     F.array().cast("array<struct<text:string,context:string>>").alias("recs"))
 
-    def step(acc, tok):
-        d, stack = acc["depth"], acc["stack"]
-        heading = tok.rlike(r"(?is)^<h[1-6]\b")
-        closing = tok.startswith("</")
-        para = tok.rlike(r"(?is)^<p\b")
-        top = F.try_element_at(stack, F.lit(-1))["t"]
-        return (F.when(heading, F.struct(d.alias("depth"),
-                                         F.concat(stack, F.array(F.struct(d.alias("d"), inner_text(tok).alias("t"))))
-                                         .alias("stack"), acc["ctx"].alias("ctx")))
-                .when(closing, F.struct((d - 1).alias("depth"), F.filter(stack, lambda e: e["d"] <= d - 1).alias("stack"),
-                                        acc["ctx"].alias("ctx")))
-                .when(para, F.struct(d.alias("depth"), stack.alias("stack"),
-                                     F.concat(acc["ctx"], F.array(top)).alias("ctx")))
-                .otherwise(F.struct((d + 1).alias("depth"), stack.alias("stack"), acc["ctx"].alias("ctx"))))
-
-    return F.aggregate(toks, empty, step)["ctx"]
+    def step(acc, piece):
+        d, head = acc["depth"], acc["head"]
+        closed = F.struct(head["d"].alias("d"), inner_text(head["t"]).alias("t"))
+        stack = F.when(head.isNull(), acc["stack"]).otherwise(F.concat(acc["stack"], F.array(closed)))
+        rest = F.struct(head["d"].alias("d"), F.concat(head["t"], F.substring(piece, 2, 1 << 30)).alias("t"))
+        longer = F.when(head.isNotNull(), rest)
+        para = F.struct(inner_text(F.regexp_replace(piece, PIECE_START, "")).alias("text"),
+                        F.try_element_at(acc["stack"], F.lit(-1))["t"].alias("context"))
+
+        def state(depth, stack, head, recs=acc["recs"]):
+            return F.struct(depth.alias("depth"), stack.alias("stack"), head.alias("head"), recs.alias("recs"))
+
+        return (F.when(piece.startswith(SEG_OPEN), state(d, acc["stack"], longer, F.concat(acc["recs"], F.array(para))))
+                .when(piece.rlike(r"(?i)^.<h[1-6]\b"), state(d, stack, F.struct(d.alias("d"), F.substring(piece, 2, 1 << 30).alias("t"))))
+                .when(piece.rlike(r"(?i)^.</h[1-6]\b"), state(d, stack, F.lit(None).cast("struct<d:int,t:string>")))
+                .when(piece.rlike(rf"(?i)^.</{CONTAINER}"), state(d - 1, F.filter(acc["stack"], lambda e: e["d"] <= d - 1), F.when(head["d"] <= d - 1, rest)))
+                .when(piece.rlike(rf"(?i)^.<{CONTAINER}"), state(d + 1, acc["stack"], longer))
+                .otherwise(state(d, acc["stack"], longer)))
+
+    return F.aggregate(pieces, empty, step)["recs"]
 
 
 def paragraphs(body: Column, min_length: int = MIN_PARAGRAPH_LENGTH) -> Column:
     """EXT5 + EXT6 record form: ``array<struct<text, length, context>>``."""
-    segs = F.transform(paragraph_segments(body), inner_text)
-    ctx = paragraph_contexts(body)
-    # zip once (a lambda that indexed ``ctx`` would re-run the fold per paragraph);
-    # if the token and segment counts ever disagree, contexts are left null
-    aligned = F.size(segs) == F.size(ctx)
-    recs = F.transform(F.arrays_zip(segs.alias("text"), ctx.alias("context")), lambda z: F.struct(
+    recs = F.transform(paragraph_records(body), lambda z: F.struct(
         z["text"].alias("text"), F.length(z["text"]).alias("length"), z["context"].alias("context")))
-    recs = F.when(aligned, recs).otherwise(F.transform(recs, lambda r: r.withField("context", F.lit(None))))
     return F.filter(recs, lambda r: r["length"] >= min_length)
 
 
