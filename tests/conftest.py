@@ -4,19 +4,14 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SMALL = "/root/testdata/sf0.001"
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
 def spark():
+    """The one session of the whole run, for the test folders below as well."""
     from webcorpus.session import ensure_checkpoint_dir, get_session
     s = get_session("local[4]", app_name="webcorpus-tests", shuffle_partitions=8)
     ensure_checkpoint_dir(s)
     yield s
     s.stop()
-
-
-def one(spark, col, value, schema="x string"):
-    """Evaluate a Column function on one literal value."""
-    return spark.createDataFrame([(value,)], schema).select(col.alias("r")).first()["r"]

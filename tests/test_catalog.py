@@ -3,7 +3,7 @@ the driver contract of __spark_entry__."""
 
 import pytest
 
-from conftest import SMALL
+from literal_rows import SMALL
 from webcorpus.plans import catalog, verify
 
 catalog.load_all()

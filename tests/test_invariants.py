@@ -102,7 +102,7 @@ def test_crawl_depth_is_minimal(spark, edges):
 
 
 def test_statistics_equal_array_sizes(spark):
-    from conftest import SMALL
+    from literal_rows import SMALL
     from webcorpus.operators import pages as OP
     from webcorpus.sources import tables
     rec = OP.extract_pages(tables.pages(spark, SMALL))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import one
+from literal_rows import one
 from webcorpus.functions import contacts as C
 from webcorpus.functions import page as P
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from conftest import SMALL
+from literal_rows import SMALL
 from webcorpus.plans import catalog
 
 catalog.load_all()

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL, one
+from literal_rows import SMALL, one
 from webcorpus.functions import contacts as C
 from webcorpus.functions import urls as U
 from webcorpus.operators import federate as FE

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import one
+from literal_rows import one
 from webcorpus.functions import text as T
 from webcorpus.functions import urls as U
 
