@@ -1,21 +1,8 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from webcorpus.session import ensure_checkpoint_dir, get_session
-    s = get_session("local[4]", app_name="webcorpus-llm-tests", shuffle_partitions=4)
-    ensure_checkpoint_dir(s)
-    yield s
-
-
 @pytest.fixture(scope="session")
 def sf_dir():
     return SMALL
