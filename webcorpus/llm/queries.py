@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard, language, mixing, quality, secret_scan, suffix_dedup, token_codec, url_rules
+from . import decontaminate, embedding_dedup, jaccard, language, mixing, quality, secret_scan, spelling, suffix_dedup, token_codec, url_rules
 
 # Contract rules: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -65,8 +65,13 @@ def op10_token_output(spark, sf_dir: str) -> DataFrame:
     return token_codec.read_files(spark, folder, digest=True)
 
 
+def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), edit_every=199)
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_url_filter, op4_language_id, op5_decontamination, op6_quality_classifier,
-                                   op7_ngram_jaccard, op8_embedding_dedup, op9_mixing, op10_token_output)}
+                                   op7_ngram_jaccard, op8_embedding_dedup, op9_mixing, op10_token_output,
+                                   op11_spelling_variants)}
 
 ORACLES = {
     "op3_url_filter": r"""
@@ -93,4 +98,22 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CA
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    # crc32 bit by bit: first over "<doc_id>:", from there over the run
+    "op11_spelling_variants": r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':', ''),
+         lambda c: list_transform(range(8), lambda k: ((ord(c) >> k::INT) & 1)::BIGINT)))), lambda h, b: xor(h >> 1, 3988292384 * (xor(h, b) & 1))) AS seed FROM documents),
+r AS (SELECT doc_id, seed, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM d),
+g AS (SELECT doc_id, seed, run, count(*) AS c FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(seed, flatten(list_transform(flatten(list_transform(string_split(run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)),
+         lambda x: list_transform(range(8), lambda k: ((x >> k::INT) & 1)::BIGINT)))), lambda h, b: xor(h >> 1, 3988292384 * (xor(h, b) & 1))), 4294967295) AS crc FROM g),
+e AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.less = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.less = w.word),
+m AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN top END AS form_n,
+             CASE WHEN top >= 5 * w.n THEN (SELECT min(near) FROM p WHERE p.word = w.word AND p.n = top) END AS form FROM w LEFT JOIN m USING (word)),
+c AS (SELECT word, word AS at FROM w UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f last ON last.word = c.at AND last.form IS NULL""",
 }
