@@ -123,6 +123,19 @@ def whole_groups(batches, key: str, rows: int = 1) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def range_pairs(lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair (row, partner) of rows whose partners are the positions lo..hi, in
+    slices of at most ``most`` pairs."""
+    end = np.cumsum(np.maximum(hi - lo, 0))
+    for a in range(0, int(end[-1]) if len(end) else 0, most):
+        b = min(a + most, int(end[-1]))
+        first, last = int(np.searchsorted(end, a, "right")), int(np.searchsorted(end, b - 1, "right"))
+        begin = np.append(end[first - 1] if first else 0, end[first:last])  # of the pairs of each row
+        count = np.minimum(end[first:last + 1], b) - np.maximum(begin, a)
+        start = lo[first:last + 1] + np.maximum(begin, a) - begin
+        yield np.repeat(np.arange(first, last + 1), count), np.repeat(start - np.cumsum(count) + count, count) + np.arange(b - a)
+
+
 # ---------------------------------------------------------------- words and hashes
 
 WORD = np.zeros(256, dtype=bool)

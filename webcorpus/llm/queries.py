@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard, language, mixing, quality, secret_scan, spelling, suffix_dedup, token_codec, url_rules
+from . import decontaminate, embedding_dedup, jaccard, language, mixing, quality, secret_scan, simhash, spelling, suffix_dedup, token_codec, url_rules
 
 # Contract rules: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -69,9 +69,13 @@ def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), edit_every=199)
 
 
+def op13_fingerprints(spark, sf_dir: str) -> DataFrame:
+    return simhash.compared(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_url_filter, op4_language_id, op5_decontamination, op6_quality_classifier,
                                    op7_ngram_jaccard, op8_embedding_dedup, op9_mixing, op10_token_output,
-                                   op11_spelling_variants)}
+                                   op11_spelling_variants, op13_fingerprints)}
 
 ORACLES = {
     "op3_url_filter": r"""

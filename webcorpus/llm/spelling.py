@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, longs, mix, parts, signed, span_hash, spans, sums, text_parts, whole_groups, write_shared
+from .common import LOWER, U64, mix, parts, range_pairs, signed, span_hash, spans, sums, text_parts, whole_groups, write_shared
 
 #: every letter is below U+0100, so a word in Latin-1 has one byte per code point, in code-point order
 LETTERS = "latin-1"
@@ -220,16 +220,10 @@ def _marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _meetings(group: np.ndarray, side: np.ndarray, most: int):
     """Rows (chunk word, gram word) of every pair within a group, ``most`` at a time."""
-    given, other = np.flatnonzero(side == CHUNK).astype(np.int32), np.flatnonzero(side == GRAM).astype(np.int32)
-    lo = np.searchsorted(group[other], group[given], "left")
-    end = np.cumsum(np.searchsorted(group[other], group[given], "right") - lo)
-    for a in range(0, int(end[-1]) if len(end) else 0, most):
-        b = min(a + most, int(end[-1]))
-        first, last = int(np.searchsorted(end, a, "right")), int(np.searchsorted(end, b - 1, "right"))
-        begin = np.append(end[first - 1] if first else 0, end[first:last])  # of the pairs of each chunk word
-        count = np.minimum(end[first:last + 1], b) - np.maximum(begin, a)
-        start = lo[first:last + 1] + np.maximum(begin, a) - begin
-        yield np.repeat(given[first:last + 1], count), other[np.repeat(start - np.cumsum(count) + count, count) + np.arange(b - a)]
+    given, other = np.flatnonzero(side == CHUNK), np.flatnonzero(side == GRAM)
+    lo, hi = (np.searchsorted(group[other], group[given], way) for way in ("left", "right"))
+    for s, t in range_pairs(lo, hi, most):
+        yield given[s], other[t]
 
 
 def _links(pairs: int, slice_bytes: int):
