@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard, language, mixing, quality, secret_scan, simhash, spelling, suffix_dedup, token_codec, url_rules
+from . import decontaminate, embedding_dedup, hard_negatives, jaccard, language, mixing, quality, secret_scan, simhash, spelling, suffix_dedup, token_codec, url_rules
 
 # Contract rules: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -69,13 +69,18 @@ def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), edit_every=199)
 
 
+def op12_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_fingerprints(spark, sf_dir: str) -> DataFrame:
     return simhash.compared(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_url_filter, op4_language_id, op5_decontamination, op6_quality_classifier,
                                    op7_ngram_jaccard, op8_embedding_dedup, op9_mixing, op10_token_output,
-                                   op11_spelling_variants, op13_fingerprints)}
+                                   op11_spelling_variants, op12_hard_negatives, op13_fingerprints)}
 
 ORACLES = {
     "op3_url_filter": r"""
@@ -120,4 +125,12 @@ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.
              CASE WHEN top >= 5 * w.n THEN (SELECT min(near) FROM p WHERE p.word = w.word AND p.n = top) END AS form FROM w LEFT JOIN m USING (word)),
 c AS (SELECT word, word AS at FROM w UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f last ON last.word = c.at AND last.form IS NULL""",
+    "op12_hard_negatives": r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id, CAST(list_dot_product(a.q, e.q) AS BIGINT) AS score FROM e a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
 }
