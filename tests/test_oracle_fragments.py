@@ -16,6 +16,8 @@ SNIPPETS = [
     "<html><head><meta http-equiv=\"content-language\" content=\"fr\"></head><body><h1>H1 &nbsp; t</h1>"
     "<p>para one is long enough to pass the fifty character minimum easily<br><p>short</p></body></html>",
     "<article><script>var t='</p>';</script><p>" + "word " * 12 + "</p><nav><p>" + "menu " * 12 + "</p></nav></article>",
+    "<body><article>one <article>a comment</article> two <section><article>b</article></section> three</article> out</body>",
+    "<body><main><p>x</p><div><main>inner</main> y</div> z</main> out</body>",
     "plain text &#39;quoted&#39; &copy; 2024 <b>bold",
     "<title>caf&#233; &#xE9;t&#xe9; &amp;#233; &#0; &#x110000; x</title><p>" + "&#8364; " * 12 + "end of it</p>",
     "<title>a &#38;lt; b &#38;#39; c</title>",

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import elements as E
 from .text import (ANY_TAG, clean_text, decode_entities, inner_text, spaced_text,
                    strip_boilerplate, strip_comments)
 from .urls import resolve_url
@@ -44,6 +45,7 @@ CONTAINER = (r"(?:address|article|aside|blockquote|body|details|div|dl|dd|dt|fie
 # Classes searched, in order, for the main content block (a substring search).
 CONTENT_CLASS_WORDS = ("content", "main-content", "article", "post", "entry-content")
 DEFAULT_LANGUAGE = "en"
+NESTED = r"(?is)<({})\b[^>]*>"
 LINK_SKIP_PREFIXES = ("#", "javascript:", "mailto:")
 HTML_TAG = r"(?is)(<html\b[^>]*>)"
 META_LANG_TAG = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?content-language[\"']?[^>]*>)"
@@ -187,14 +189,14 @@ def nested_inner(body: Column, start: str) -> Column:
 
 def main_content(body: Column) -> Column:
     """EXT15: first of main, article, an element whose class contains content /
-    article / post (to its matching close tag), body, the whole document. Presence
-    decides (an empty main gives "")."""
+    article / post (each to its matching close tag, so an article inside the article
+    stays inside), body, the whole document. Presence decides (an empty main gives "")."""
     def class_block(word):
         start = rf"(?is)<([A-Za-z][A-Za-z0-9]*)\b[^>]*\bclass\s*=\s*[\"']?[^\"'>]*{word}[^>]*>"
         return body.rlike(start), nested_inner(body, start)
 
-    out = F.when(has_tag(body, "main"), inner_text(element_inner(body, "main"))) \
-        .when(has_tag(body, "article"), inner_text(element_inner(body, "article")))
+    out = F.when(has_tag(body, "main"), inner_text(nested_inner(body, NESTED.format("main")))) \
+        .when(has_tag(body, "article"), inner_text(nested_inner(body, NESTED.format("article"))))
     # substring search: a word that contains an earlier word can never match first
     words = [w for i, w in enumerate(CONTENT_CLASS_WORDS) if not any(o in w for o in CONTENT_CLASS_WORDS[:i])]
     for word in words:
@@ -422,25 +424,27 @@ def lists(body: Column) -> Column:
     return F.when(body.rlike(r"(?i)<(ul|ol)\b"), F.aggregate(toks, init, step, finish)).otherwise(empty)
 
 
-def tables(body: Column) -> Column:
-    """EXT8: headers from ``thead th``; rows = cells of each tr of the first tbody (or
-    the whole table); tables without rows dropped."""
-    def cells(row_html):
-        marked = F.regexp_replace(F.regexp_replace(row_html, r"(?i)<t[dh]\b[^>]*>", SEG_OPEN),
-                                  r"(?i)</t[dh]\s*>", SEG_CLOSE)
-        return F.transform(F.regexp_extract_all(marked, F.lit(SEGMENT), 1), inner_text)
-
-    def one(t):
-        thead = F.regexp_extract(t, r"(?is)<thead\b[^>]*>(.*?)(?:</thead\s*>|$)", 1)
-        th_marked = F.regexp_replace(F.regexp_replace(thead, r"(?i)<th\b[^>]*>", SEG_OPEN),
-                                     r"(?i)</th\s*>|</?tr\b[^>]*>", SEG_CLOSE)
-        headers = F.transform(F.regexp_extract_all(th_marked, F.lit(SEGMENT), 1), inner_text)
-        tbody = F.when(t.rlike(r"(?i)<tbody\b"),
-                       F.regexp_extract(t, r"(?is)<tbody\b[^>]*>(.*?)(?:</tbody\s*>|$)", 1)).otherwise(t)
-        rows_marked = F.regexp_replace(F.regexp_replace(tbody, r"(?i)<tr\b[^>]*>", SEG_OPEN),
-                                       r"(?i)</tr\s*>|</?t(?:head|body|foot)\b[^>]*>", SEG_CLOSE)
-        rows = F.filter(F.transform(F.regexp_extract_all(rows_marked, F.lit(SEGMENT), 1), cells),
-                        lambda r: F.size(r) > 0)
-        return F.struct(headers.alias("headers"), rows.alias("rows"))
-
-    return F.filter(F.transform(all_inner(body, "table"), one), lambda t: F.size(t["rows"]) > 0)
+def tables(body: Column, index: Column | None = None) -> Column:
+    """EXT8: headers from the ``th`` of the first ``thead``; rows = the ``td`` and ``th`` of
+    each ``tr`` below the first ``tbody`` (or the table); tables without rows dropped. A
+    table inside a cell is a table of its own, and its rows are rows of the outer table as
+    well (the original searches all descendants); its text belongs to the outer cell.
+
+    Reads the element interval index (made here unless the caller has it)."""
+    def text(e):
+        return inner_text(E.inner_html(body, e))
+
+    def of(idx):
+        def one(t):
+            def table(inside):
+                def cells(row):
+                    return F.transform(F.filter(E.descendants(idx, row), lambda e: e["name"].isin("td", "th")), text)
+                head = E.first(F.filter(inside, lambda e: e["name"] == "thead"))
+                headers = F.transform(F.filter(E.descendants(idx, head), lambda e: e["name"] == "th"), text)
+                scope = F.coalesce(E.first(F.filter(inside, lambda e: e["name"] == "tbody")), t)
+                rows = F.transform(F.filter(E.descendants(idx, scope), lambda e: e["name"] == "tr"), cells)
+                return F.struct(F.coalesce(headers, F.array().cast("array<string>")).alias("headers"), F.filter(rows, lambda r: F.size(r) > 0).alias("rows"))
+            return E.let(E.descendants(idx, t), table)
+        return F.filter(F.transform(F.filter(idx, lambda e: e["name"] == "table"), one), lambda t: F.size(t["rows"]) > 0)
+
+    return E.let(E.element_index(body) if index is None else index, of)

@@ -1,246 +1,44 @@
-"""Result-page extraction as a DataFrame operator (SRC3, EXT22, EXT26, FLT7-9, WIN6,
-DEDUP1, SCL8-10).
+"""Result-page extraction as a DataFrame operator (SRC3, EXT22, EXT23, EXT26, FLT7-9,
+WIN6, DEDUP1, SCL8-10).
 
-Rules are data. Each engine's element rules (field, order, patterns) are rows of a
-rule table; each rule's first element is found with its own literal pattern (compiled
-once per task), and one compact ``transform`` turns the bounded per-segment array of
-elements into texts and hrefs. The original's rule loops ("first value that
-qualifies, else the last rule that matched") then run over that array.
-
-Plan: explode pages into (container rule, segment) rows per engine, evaluate the rule
-array, filter adverts and unusable rows, then one exchange on the page key serves
-three page-local windows: first occurrence per URL (DEDUP1), first container rule
-with any record (WIN6) and the position in the page. All windows are bounded by one
-page's results.
+Plan: the element interval index of each page is one column; the records of a page are
+one projection over it (``functions.serp``), chosen by the page's engine. Pages are read
+once, and nothing is exchanged: de-duplication, the choice of the container rule and
+positions are local to a page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import lru_cache
+
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import serp as SP
-from ..functions.page import ATTR_VALUE
-from ..functions.text import ANY_TAG, clean_text, decode_entities
-from ..functions.urls import unwrap_bing_redirect, unwrap_google_redirect, unwrap_yahoo_redirect
-
-def _rule(field, k, chain, href_from="none", strip_start=False, skip_js=False):
-    (t1, c1), rest = chain[0], chain[1:]
-    q1, p1 = SP.element_pattern(t1, c1)
-    q2, p2 = SP.element_pattern(*rest[0]) if rest else ("", "")
-    return (field, k, p1, q1, p2, q2, href_from, strip_start, skip_js)
-
-
-def rule_table(engine: str) -> list[tuple]:
-    """The engine's element rules as rows (field, order, patterns, options)."""
-    r = SP.RULES[engine]
-    rows = []
-    for k, ch in enumerate(r["titles"]):
-        href = "self" if ch[-1][0] == "a" else "none"
-        rows.append(_rule("title", k, ch, href_from=href))
-        if href == "none" and engine == "bing":  # the <a> inside the title element
-            rows.append(_rule("title_a", k, ch + [("a", None)], href_from="self"))
-    for k, ch in enumerate(r.get("links", [])):
-        rows.append(_rule("link", k, ch, href_from="self", skip_js=(k == 0)))
-    rows.append(_rule("anchor", 0, [("a", "[href]")], href_from="self"))
-    for k, ch in enumerate(r["snippets"]):
-        rows.append(_rule("snippet", k, ch))
-    if engine == "google":
-        for k, t in enumerate(("p", "span", "div")):
-            rows.append(_rule("fallback", k, [(t, None)], strip_start=True))
-    for k, ch in enumerate(r.get("cites", [])):
-        rows.append(_rule("cite", k, ch))
-    return rows
-
-
-def _text(inner: Column) -> Column:
-    return clean_text(decode_entities(F.regexp_replace(inner, ANY_TAG, "")))
-
-
-def _href(tag: Column) -> Column:
-    pat = ATTR_VALUE.replace("{name}", "href")
-    val = F.concat(F.regexp_extract(tag, pat, 1), F.regexp_extract(tag, pat, 2), F.regexp_extract(tag, pat, 3))
-    return F.when(tag.rlike(pat), decode_entities(val))
-
-
-RULE_TYPE = ("struct<idx:int,field:string,k:int,p1:string,q1:string,p2:string,q2:string,"
-             "href_from:string,strip_start:boolean,skip_js:boolean>")
-
-
-def _rx(s: Column, pattern: Column, group: int) -> Column:
-    """regexp_extract with the pattern of the rule row."""
-    return F.call_function("regexp_extract", s, pattern, F.lit(group))
-
+from ..functions.elements import element_index
 
-def news_rule_table(engine: str) -> list[tuple]:
-    """An engine's news element rules as rows."""
-    r = SP.NEWS_RULES[engine]
-    rows = [_rule("heading", k, ch) for k, ch in enumerate(r["headings"])]
-    rows += [_rule("link", k, ch, href_from="self") for k, ch in enumerate(r["links"])]
-    for field in ("sources", "snippets", "dates"):
-        rows += [_rule(field[:-1], k, ch) for k, ch in enumerate(r[field])]
-    return rows
 
+@lru_cache
+def _of_engine(jvm, of, engine: str) -> Column:
+    """The records of one engine's pages; building the expression takes thousands of calls
+    to the JVM, so each session does it once."""
+    return of(F.col("html"), F.col("_index"), engine)
 
-def _rules_lit(rows) -> Column:
-    return F.array(*[F.struct(F.lit(i), *[F.lit(v) for v in row]) for i, row in enumerate(rows)]).cast(
-        f"array<{RULE_TYPE}>")
 
-
-def _with_rule_results(segs: DataFrame, engine: str | None, keys, rows=None, rules_col: Column | None = None) -> DataFrame:
-    """Add ``res``: per rule that finds its element, struct(field, k, text, href).
-
-    The rule table is data: each segment is paired with every rule of its engine
-    (``explode`` of the literal rule list; no join), rows are sorted by rule inside
-    each partition so consecutive rows share a pattern (Spark compiles a row-supplied
-    pattern only when it changes), the element of each rule is extracted, and the
-    per-segment results are gathered again (at most a few dozen rows per segment,
-    grouped on the segment key; the segment text itself is not shuffled)."""
-    if rules_col is None:
-        rules_col = _rules_lit(rows if rows is not None else rule_table(engine))
-    pairs = segs.select(*keys, "seg_no", "rule_no", "seg",
-                        F.regexp_extract(F.col("seg"), r"(?is)^(<[^>]*>)", 1).alias("_start"),
-                        F.explode(rules_col).alias("r")).sortWithinPartitions("r.p1", "r.p2")
-    r = F.col("r")
-    src = F.when(r["strip_start"], F.regexp_replace(F.col("seg"), r"(?is)^<[^>]*>", "")).otherwise(F.col("seg"))
-    found1 = F.regexp_like(src, r["q1"])
-    tag1, inner1 = _rx(src, r["p1"], 1), _rx(src, r["p1"], 2)
-    two = r["p2"] != ""
-    el = pairs.select(*keys, "seg_no", "rule_no", "_start", "r",
-                      F.when(two, found1 & F.regexp_like(inner1, r["q2"])).otherwise(found1).alias("found"),
-                      F.when(two, _rx(inner1, r["p2"], 1)).otherwise(tag1).alias("tag"),
-                      F.when(two, _rx(inner1, r["p2"], 2)).otherwise(inner1).alias("inner"))
-    href = F.when(r["href_from"] == "self", F.coalesce(_href(F.col("tag")), F.lit("")))
-    title_attr = F.when(r["href_from"] == "self", F.coalesce(
-        F.regexp_extract(F.col("tag"), ATTR_VALUE.replace("{name}", "title"), 1), F.lit("")))
-    ok = F.col("found") & ~(r["skip_js"] & F.coalesce(href, F.lit("")).rlike("^(#|javascript)"))
-    hits = el.filter(ok).select(*keys, "seg_no", "rule_no", "_start",
-                                F.struct(r["field"].alias("field"), r["k"].alias("k"),
-                                         _text(F.col("inner")).alias("value"), href.alias("href"),
-                                         clean_text(decode_entities(title_attr)).alias("title_attr")).alias("h"))
-    # Segments without any matching element produce no record (every record needs a
-    # title or link element), so they can drop out here; no join back to the pages.
-    return (hits.groupBy(*keys, "seg_no", "rule_no")
-            .agg(F.array_sort(F.collect_list("h")).alias("res"), F.first("_start").alias("_start")))
-
-
-def _loop(res: Column, field: str, good, what: str = "value") -> Column:
-    """First found value of ``field`` that is good, else the last found (rule order)."""
-    found = F.filter(res, lambda x: x["field"] == field)
-    best = F.filter(found, good)
-    return F.coalesce(F.try_element_at(best, F.lit(1))[what], F.try_element_at(found, F.lit(-1))[what])
-
-
-def _first(res: Column, field: str, what: str = "value") -> Column:
-    return F.try_element_at(F.filter(res, lambda x: x["field"] == field), F.lit(1))[what]
-
-
-def _engine_records(res: DataFrame, engine: str, keys) -> DataFrame:
-    """Record fields of one engine from the per-segment rule results."""
-    rules = SP.RULES[engine]
-    df = res
-    res = F.col("res")
-
-    def title_good(x):
-        return F.length(x["value"]) > SP.GOOD_TITLE
-
-    if engine == "duckduckgo":
-        df = df.select("*", F.coalesce(_first(res, "title"), F.lit("")).alias("title"),
-                       _first(res, "title", "href").alias("url"))
-    else:
-        df = df.select("*", F.coalesce(_loop(res, "title", title_good), F.lit("")).alias("title"))
-    if engine == "google":
-        link = _loop(res, "link", lambda x: x["href"].startswith("http"), "href")
-        url = F.when(F.coalesce(link, F.lit("")) == "", _first(res, "anchor", "href")).otherwise(link)
-        df = df.withColumn("url", unwrap_google_redirect(F.coalesce(url, F.lit(""))))
-    elif engine in ("bing", "yahoo"):
-        # the URL of the title rule at which the title loop stopped
-        titles = F.filter(res, lambda x: x["field"] == "title")
-        chosen = F.coalesce(F.try_element_at(F.filter(titles, title_good), F.lit(1))["k"],
-                            F.try_element_at(titles, F.lit(-1))["k"])
-        own = F.filter(res, lambda x: (x["field"] == "title") & (x["k"] == chosen) & x["href"].isNotNull())
-        if engine == "bing":
-            inner = F.filter(res, lambda x: (x["field"] == "title_a") & (x["k"] == chosen))
-            url = F.coalesce(F.try_element_at(own, F.lit(1))["href"], F.try_element_at(inner, F.lit(1))["href"])
-            url = F.when(F.coalesce(url, F.lit("")) == "", _first(res, "anchor", "href")).otherwise(url)
-        else:
-            url = unwrap_yahoo_redirect(F.coalesce(F.try_element_at(own, F.lit(1))["href"], F.lit("")))
-        df = df.withColumn("url", url)
-    title = F.col("title")
-    if engine in ("bing", "yahoo"):
-        snip = _loop(res, "snippet", lambda x: (F.length(x["value"]) > SP.GOOD_SNIPPET) & (x["value"] != title))
-    elif engine == "google":
-        snip = _loop(res, "snippet", lambda x: F.length(x["value"]) > SP.GOOD_SNIPPET)
-        fb = F.filter(res, lambda x: (x["field"] == "fallback") & (F.length(x["value"]) > SP.FALLBACK_SNIPPET)
-                      & (x["value"] != title))
-        fb_val = F.substring(F.try_element_at(fb, F.lit(1))["value"], 1, SP.FALLBACK_CUT)
-        snip = F.when(F.coalesce(snip, F.lit("")) == "", fb_val).otherwise(snip)
-    else:
-        snip = _first(res, "snippet")
-    displayed = (F.coalesce(_first(res, "cite"), F.col("url")) if rules.get("cites")
-                 else F.lit(None).cast("string"))
-    df = df.select("*", F.coalesce(snip, F.lit("")).alias("snippet"), displayed.alias("displayed_url"))
-    # FLT7 adverts: class words or data attributes on the container start tag
-    cls_pat = ATTR_VALUE.replace("{name}", "class")
-    classes = F.lower(F.concat(F.regexp_extract("_start", cls_pat, 1), F.regexp_extract("_start", cls_pat, 2),
-                               F.regexp_extract("_start", cls_pat, 3)))
-    ad = F.lit(False)
-    for w in rules.get("ad_words", ()):
-        ad = ad | classes.contains(w)
-    for a in rules.get("ad_attrs", ()):
-        ad = ad | F.col("_start").rlike(rf"(?is)\s{a}\s*=\s*[\"']?[^\s\"'>]")
-    u = F.coalesce(F.col("url"), F.lit(""))
-    if engine == "google":  # FLT8 / FLT9
-        internal = F.lit(False)
-        for p in SP.GOOGLE_INTERNAL:
-            internal = internal | (u.contains("google.com") & u.contains(p))
-        keep = (F.length(title) >= SP.MIN_TITLE) & ~ad & u.startswith("http") & ~internal
-    elif engine == "bing":
-        keep = (F.length(title) >= SP.MIN_TITLE) & ~ad & ~u.contains("bing.com") & ~u.startswith("/") \
-            & u.startswith("http")
-    elif engine == "yahoo":
-        keep = (F.length(title) >= SP.MIN_TITLE) & ~ad & u.startswith("http")
-    else:
-        keep = (title != "") & (u != "")
-    return df.filter(keep)
+def _records(captures: DataFrame, engines, keys, of, kind: str) -> DataFrame:
+    pages = captures.filter(F.col("engine").isin(*engines)).select(*keys, *({"engine"} - set(keys)), "html", element_index(F.col("html")).alias("_index"))
+    records = F.array().cast(kind)
+    for engine in engines:
+        records = F.when(F.col("engine") == engine, _of_engine(SparkContext._active_spark_context._jvm, of, engine)).otherwise(records)
+    return pages.select(*keys, F.posexplode(records).alias("_p", "_r")).withColumn("pos", (F.col("_p") + 1).cast("int"))
 
 
 def extract_results(captures: DataFrame, keys=("query_id", "engine", "page_no")) -> DataFrame:
     """``captures(keys..., engine, html)`` -> one row per extracted result:
-    ``(keys..., pos, title, url, snippet, displayed_url)``.
-
-    One pass over the captures: segments and rule lists are chosen per row by engine,
-    so the pages are read and cut once, evaluated once and gathered with one exchange;
-    only the small per-segment results are split by engine for the final fields."""
-    keys = list(keys)
-    engine = F.col("engine")
-    segs_expr = None
-    rules_expr = None
-    for e in SP.RULES:
-        s_e, r_e = SP.container_segments(F.col("html"), e), _rules_lit(rule_table(e))
-        segs_expr = F.when(engine == e, s_e) if segs_expr is None else segs_expr.when(engine == e, s_e)
-        rules_expr = F.when(engine == e, r_e) if rules_expr is None else rules_expr.when(engine == e, r_e)
-    segs = (captures.filter(engine.isin(*SP.RULES))
-            .select(*keys, F.posexplode(segs_expr).alias("seg_no", "s"))
-            .select(*keys, "seg_no", F.col("s.rule_no").alias("rule_no"), F.col("s.seg").alias("seg")))
-    res = _with_rule_results(segs, None, keys, rules_col=rules_expr)
-    parts = []
-    for e in SP.RULES:
-        recs = _engine_records(res.filter(engine == e), e, keys)
-        parts.append(recs.select(*keys, "seg_no", "rule_no", "title", "url", "snippet", "displayed_url"))
-    kept = parts[0]
-    for p in parts[1:]:
-        kept = kept.unionByName(p)
-    kept = kept.repartition(*keys)  # one exchange; the windows below all cluster on the page key
-    w_dup = Window.partitionBy(*keys, "rule_no", "url").orderBy("seg_no")
-    w_page = Window.partitionBy(*keys)
-    w_pos = Window.partitionBy(*keys).orderBy("seg_no")
-    kept = (kept.withColumn("_dup", F.row_number().over(w_dup))
-            .filter((F.col("_dup") == 1) | (F.col("engine") == "duckduckgo"))
-            .withColumn("_win", F.min("rule_no").over(w_page))
-            .filter(F.col("rule_no") == F.col("_win")))
-    return kept.select(*keys, F.row_number().over(w_pos).cast("int").alias("pos"),
-                       "title", "url", "snippet", "displayed_url")
+    ``(keys..., pos, title, url, snippet, displayed_url)``."""
+    found = _records(captures, tuple(SP.RULES), list(keys), SP.web_records, SP.WEB_TYPE)
+    return found.select(*keys, "pos", "_r.title", "_r.url", "_r.snippet", "_r.displayed_url")
 
 
 def extract_news(captures: DataFrame, keys=("query_id", "engine", "page_no")) -> DataFrame:
@@ -251,48 +49,5 @@ def extract_news(captures: DataFrame, keys=("query_id", "engine", "page_no")) ->
     from their first matching elements. Google keeps the first container rule that
     yields a record, Bing and Yahoo the first rule present on the page. No
     de-duplication (as in the original)."""
-    keys = list(keys)
-    parts = []
-    for engine, rules in SP.NEWS_RULES.items():
-        segs = (captures.filter(F.col("engine") == engine)
-                .select(*keys, F.posexplode(F.flatten(F.array(*[
-                    F.transform(SP._segments(F.col("html"), c), _tag_rule(k))
-                    for k, c in enumerate(rules["containers"], start=1)]))).alias("seg_no", "s"))
-                .select(*keys, "seg_no", F.col("s.rule_no").alias("rule_no"), F.col("s.seg").alias("seg")))
-        df = _with_rule_results(segs, engine, keys, rows=news_rule_table(engine))
-        res = F.col("res")
-        link = F.try_element_at(F.filter(res, lambda x: x["field"] == "link"), F.lit(1))
-        link_text = F.coalesce(link["value"], F.lit(""))
-        if engine == "google":
-            title = F.coalesce(_first(res, "heading"), link["value"], F.lit(""))
-            url = unwrap_google_redirect(F.coalesce(link["href"], F.lit("")))
-        elif engine == "bing":
-            title = F.when(link_text != "", link_text).otherwise(F.coalesce(_first(res, "heading"), F.lit("")))
-            url = unwrap_bing_redirect(F.coalesce(link["href"], F.lit("")))
-        else:
-            title = F.when(link_text != "", link_text).otherwise(F.coalesce(link["title_attr"], F.lit("")))
-            url = unwrap_yahoo_redirect(F.coalesce(link["href"], F.lit("")))
-        out = df.select(*keys, "seg_no", "rule_no", F.coalesce(title, F.lit("")).alias("title"), url.alias("url"),
-                        F.coalesce(_first(res, "source"), F.lit("")).alias("source"),
-                        F.coalesce(_first(res, "snippet"), F.lit("")).alias("snippet"),
-                        F.coalesce(_first(res, "date"), F.lit("")).alias("date"),
-                        link.isNotNull().alias("_has_link"), F.lit(rules["choice"]).alias("_choice"))
-        parts.append(out)
-    recs = parts[0]
-    for p in parts[1:]:
-        recs = recs.unionByName(p)
-    recs = recs.repartition(*keys)
-    w_page = Window.partitionBy(*keys)
-    w_pos = Window.partitionBy(*keys).orderBy("seg_no")
-    usable = F.col("_has_link") & F.col("url").startswith("http") & (F.col("title") != "")
-    recs = (recs.withColumn("_present", F.min("rule_no").over(w_page))
-            .filter(usable)
-            .withColumn("_yielding", F.min("rule_no").over(w_page))
-            .filter(F.col("rule_no") == F.when(F.col("_choice") == "records", F.col("_yielding"))
-                    .otherwise(F.col("_present"))))
-    return recs.select(*keys, F.row_number().over(w_pos).cast("int").alias("pos"),
-                       "title", "url", "snippet", "source", "date", F.lit("news").alias("type"))
-
-
-def _tag_rule(k):
-    return lambda s: F.struct(F.lit(k).alias("rule_no"), s.alias("seg"))
+    found = _records(captures, tuple(SP.NEWS_RULES), list(keys), SP.news_records, SP.NEWS_TYPE)
+    return found.select(*keys, "pos", "_r.title", "_r.url", "_r.snippet", "_r.source", "_r.date", F.lit("news").alias("type"))

@@ -95,8 +95,7 @@ def paragraph_texts(b: str, min_length: int = P.MIN_PARAGRAPH_LENGTH) -> str:
 
 
 def main_content(b: str) -> str:
-    parts = [f"WHEN {has_tag(b, 'main')} THEN {inner_text(element_inner(b, 'main'))}",
-             f"WHEN {has_tag(b, 'article')} THEN {inner_text(element_inner(b, 'article'))}"]
+    parts = [f"WHEN {has_tag(b, t)} THEN {inner_text(nested_inner(b, P.NESTED.format(t)))}" for t in ("main", "article")]
     words = [w for i, w in enumerate(P.CONTENT_CLASS_WORDS) if not any(o in w for o in P.CONTENT_CLASS_WORDS[:i])]
     for word in words:
         start = rf"(?is)<([A-Za-z][A-Za-z0-9]*)\b[^>]*\bclass\s*=\s*[\"']?[^\"'>]*{word}[^>]*>"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import serp as SP
 from ..operators import serp as SX
 from ..sources import derived
 from ..sources.serp_render import PAGE_SIZE, render_captures
@@ -17,8 +16,8 @@ def _captures(spark, sf_dir):
 
 
 T, S, U = D.clean("title"), D.clean("snippet"), D.clean("url")
-SNIPPET = (f"CASE WHEN engine = 'bing' THEN CASE WHEN length({S}) > {SP.GOOD_SNIPPET} AND {S} <> {T} THEN {S} "
-           f"WHEN length({D.clean('snippet || url')}) > {SP.GOOD_SNIPPET} AND {D.clean('snippet || url')} <> {T} "
+SNIPPET = (f"CASE WHEN engine = 'bing' THEN CASE WHEN length({S}) > 20 AND {S} <> {T} THEN {S} "
+           f"WHEN length({D.clean('snippet || url')}) > 20 AND {D.clean('snippet || url')} <> {T} "
            f"THEN {D.clean('snippet || url')} ELSE {S} END ELSE {S} END")
 
 
@@ -27,7 +26,9 @@ SNIPPET = (f"CASE WHEN engine = 'bing' THEN CASE WHEN length({S}) > {SP.GOOD_SNI
 r AS (SELECT query_id, engine, CAST(floor((rank - 1) / {PAGE_SIZE}) AS INT) AS page_no, rank, {T} AS title, url,
              {SNIPPET} AS snippet, CASE WHEN engine = 'duckduckgo' THEN NULL ELSE {U} END AS displayed_url
       FROM engine_results WHERE type = 'web' AND url IS NOT NULL),
-k AS (SELECT * FROM r WHERE CASE WHEN engine = 'duckduckgo' THEN title <> '' ELSE length(title) >= {SP.MIN_TITLE} END),
+k AS (SELECT * FROM r WHERE CASE WHEN engine = 'duckduckgo' THEN title <> '' ELSE length(title) >= 3 END
+      -- container classes 4 and 5 of the first engine hold the letters "ad", which its advert rule drops
+      AND NOT (engine = 'google' AND (query_id + page_no) % 11 IN (3, 4))),
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id, engine, page_no, url ORDER BY rank) AS dup FROM k)
 SELECT query_id, engine, page_no,
        CAST(row_number() OVER (PARTITION BY query_id, engine, page_no ORDER BY rank) AS INT) AS pos,

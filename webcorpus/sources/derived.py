@@ -92,14 +92,13 @@ SELECT r.query_id, r.engine, r.rank, r.type, r.title,
        CASE WHEN r.type = 'images' THEN p.url || '/img.png' ELSE NULL END AS image_url,
        r.snippet
 FROM (SELECT doc_id,
-             CAST(doc_id % 40 AS BIGINT) AS query_id,
-             CASE CAST(floor(doc_id / 40) AS BIGINT) % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'duckduckgo'
-                  WHEN 2 THEN 'bing' ELSE 'yahoo' END AS engine,
-             CAST(floor(doc_id / 160) + 1 AS INT) AS rank,
+             CAST(floor(doc_id / 100) AS BIGINT) AS query_id,
+             CASE doc_id % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'duckduckgo' WHEN 2 THEN 'bing' ELSE 'yahoo' END AS engine,
+             CAST(floor((doc_id % 100) / 4) + 1 AS INT) AS rank,
              CASE WHEN doc_id % 37 = 0 THEN 'images' ELSE 'web' END AS type,
              regexp_extract(trim(text), '^([^ ]+(?: +[^ ]+){{0,5}})', 1) AS title,
-             substr(text, 1, 160) AS snippet,
-             ((doc_id % 40) * 3 + CAST(floor(doc_id / 160) AS BIGINT)) % 97 AS page_key
+             text AS snippet,
+             (CAST(floor(doc_id / 100) AS BIGINT) * 3 + CAST(floor((doc_id % 100) / 4) AS BIGINT)) % (SELECT count(*) FROM {pages}) AS page_key
       FROM {documents}) r
 JOIN {pages} p ON p.page_id = r.page_key""",
     "link_edges": """

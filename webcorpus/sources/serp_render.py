@@ -6,6 +6,12 @@ result layout, with an advert block (skipped by the extractor's advert filter) a
 redirect links (Google ``/url?q=``, Yahoo ``/RU=.../RK=``) that the extractor must
 unwrap. Ground truth is the rows themselves. Rows without a URL are rendered without a
 link, so the extractor drops them, as the original does.
+
+The layouts are hard on purpose: each page uses another one of its engine's container
+rules; snippets hold nested elements of the name of their own element, titles inline
+markup; an empty container and one without any text stand between the results; and the
+page ends with a footer that has a citation, a paragraph and a link of its own, right
+after the last container.
 """
 
 from __future__ import annotations
@@ -29,33 +35,63 @@ def _pct(c):
     return out
 
 
+def _thirds(c, name: str, inner: str):
+    """The text in three parts, the middle one inside a nested element."""
+    n = F.greatest(F.length(c), F.lit(0))
+    third = F.floor(n / 3).cast("int")
+    a, m, z = F.substring(c, F.lit(1), third), F.substring(c, third + 1, third), F.substring(c, third * 2 + 1, n)
+    return F.concat(_esc(a), F.lit(f"<{name} class={inner!r}><b>"), _esc(m), F.lit(f"</b></{name}>"), _esc(z))
+
+
+# Start and end of a result container, one pair per container rule of the engine.
+CONTAINERS = {
+    "google": [('<div class="g">', "</div>"), ('<div class="g g-blk">', "</div>"), ('<div data-hveid="CA"><div class="g g-blk">', "</div></div>"),
+               ('<div class="Gx5Zad fP1Qef xpd EtOod pkphOe">', "</div>"), ('<div class="Gx5Zad">', "</div>"), ('<div class="tF2Cxc">', "</div>"),
+               ('<div data-sokoban-container="x">', "</div>"), ('<div class="N54PNb">', "</div>"), ('<div class="MjjYud">', "</div>"),
+               ('<div data-content-feature="1">', "</div>"), ('<div class="hlcw0c">', "</div>")],
+    "bing": [('<li class="b_algo">', "</li>"), ('<div class="b_algo">', "</div>"), ('<ol id="b_results"><li class="b_algo">', "</li></ol>"),
+             ('<ol id="b_results"><li>', "</li></ol>"), ('<div id="b_results"><ul><li class="b_algo">', "</li></ul></div>")],
+    "yahoo": [('<div class="dd algo algo-sr">', "</div>"), ('<ul><li class="algo">', "</li></ul>"), ('<div class="algo-sr">', "</div>"), ('<div data-uuid="7">', "</div>"),
+              ('<ol class="searchCenterMiddle"><li>', "</li></ol>"), ('<div class="Sr">', "</div>")],
+    "duckduckgo": [('<div class="result">', "</div>"), ('<div class="results_links">', "</div>"), ('<div class="result results_links">', "</div>")],
+}
+
+
+def _container(engine: str, k: int):
+    """Start (0) or end (1) tag of this page's container rule."""
+    pairs = F.array(*[F.lit(p[k]) for p in CONTAINERS[engine]])
+    return F.element_at(pairs, (F.pmod(F.col("query_id") + F.col("page_no"), F.lit(len(CONTAINERS[engine]))) + 1).cast("int"))
+
+
 def _block(engine: str):
-    t, s, u = _esc(F.col("title")), _esc(F.col("snippet")), F.col("url")
+    t, u = F.concat(F.lit("<em>"), _esc(F.col("title")), F.lit("</em>")), F.col("url")
     has = u.isNotNull()
+    start, end = _container(engine, 0), _container(engine, 1)
     if engine == "google":
         href = F.when(F.col("rank") % 5 == 0, F.concat(F.lit("/url?q="), _pct(u), F.lit("&amp;sa=U"))).otherwise(u)
         link = F.when(has, F.concat(F.lit('<a href="'), href, F.lit('"><h3 class="LC20lb">'), t, F.lit("</h3></a>"))) \
             .otherwise(F.concat(F.lit('<h3 class="LC20lb">'), t, F.lit("</h3>")))
-        return F.concat(F.lit('<div class="g"><div class="yuRUbf">'), link, F.lit('</div><div class="VwiC3b">'), s,
-                        F.lit("</div><cite>"), F.coalesce(u, F.lit("")), F.lit("</cite></div>"))
+        return F.concat(start, F.lit('<div class="yuRUbf"><div>'), link, F.lit('</div></div><div class="VwiC3b">'), _thirds(F.col("snippet"), "div", "lyLwlc"),
+                        F.lit("</div><cite>"), F.coalesce(u, F.lit("")), F.lit("</cite>"), end)
     if engine == "bing":
         a = F.when(has, F.concat(F.lit('<a href="'), u, F.lit('">'), t, F.lit("</a>"))).otherwise(t)
-        return F.concat(F.lit('<li class="b_algo"><h2>'), a, F.lit('</h2><div class="b_caption"><p>'), s,
-                        F.lit('</p><div class="b_attribution"><cite>'), F.coalesce(u, F.lit("")),
-                        F.lit("</cite></div></div></li>"))
+        return F.concat(start, F.lit('<h2>'), a, F.lit('</h2><div class="b_caption"><div></div><p>'), _thirds(F.col("snippet"), "span", "algoSlug"),
+                        F.lit('</p><div class="b_attribution"><cite>'), F.coalesce(u, F.lit("")), F.lit("</cite></div></div>"), end)
     if engine == "yahoo":
         href = F.when(F.col("rank") % 3 == 0, F.concat(
             F.lit("https://r.search.yahoo.com/_ylt=Aw/RV=2/RE=1/RO=10/RU="), _pct(u), F.lit("/RK=2/RS=ab"))).otherwise(u)
         a = F.when(has, F.concat(F.lit('<a href="'), href, F.lit('">'), t, F.lit("</a>"))).otherwise(t)
-        return F.concat(F.lit('<div class="dd algo algo-sr"><h3 class="title">'), a,
-                        F.lit('</h3><div class="compText"><p class="s-desc">'), s,
-                        F.lit('</p></div><span class="fz-ms">'), F.coalesce(u, F.lit("")), F.lit("</span></div>"))
+        return F.concat(start, F.lit('<h3 class="title">'), a, F.lit('</h3><div class="compText"><div><p class="s-desc">'), _thirds(F.col("snippet"), "span", "fc-falcon"),
+                        F.lit('</p></div></div><span class="fz-ms"><span>'), F.coalesce(u, F.lit("")), F.lit("</span></span>"), end)
     a = F.when(has, F.concat(F.lit('<a class="result__a" href="'), u, F.lit('">'), t, F.lit("</a>"))) \
         .otherwise(F.concat(F.lit('<span class="result__a">'), t, F.lit("</span>")))
-    return F.concat(F.lit('<div class="result results_links"><h2 class="result__title">'), a,
-                    F.lit('</h2><a class="result__snippet">'), s, F.lit("</a></div>"))
+    return F.concat(start, F.lit('<div class="links_main"><h2 class="result__title">'), a,
+                    F.lit('</h2><a class="result__snippet">'), _thirds(F.col("snippet"), "span", "hl"), F.lit("</a></div>"), end)
 
 
+FOOTER = ('<div class="g"></div><div class="g"><div> <span></span></div></div><footer id="foot"><cite>footer citation</cite>'
+          '<p>This footer paragraph is longer than every snippet limit.</p><div class="VwiC3b">Footer text that is not a snippet.</div>'
+          '<a href="/preferences">settings</a></footer>')
 ADVERTS = {
     "google": '<div class="g commercial-unit" data-text-ad="1"><a href="https://ads.example.com/g">'
               '<h3 class="LC20lb">Sponsored offer today</h3></a><div class="VwiC3b">Advert copy that is long enough.</div></div>',
@@ -83,7 +119,7 @@ def render_captures(results: DataFrame) -> DataFrame:
         "query_id", "engine", F.lit("all").alias("search_type"), "page_no",
         F.concat(F.lit('<html><head><title>results</title></head><body><div id="search">'), advert,
                  F.array_join(F.transform("blocks", lambda b: b["block"]), ""),
-                 F.lit('</div><div id="foot">page navigation</div></body></html>')).alias("html"))
+                 F.lit(f"</div>{FOOTER}</body></html>")).alias("html"))
 
 
 def _b64url(c):
