@@ -33,6 +33,7 @@ SEARCH_LIMIT_PER_MINUTE = 120
 SUCCESS_CRITICAL, SUCCESS_WARNING = 0.70, 0.80
 ERROR_CRITICAL, ERROR_WARNING = 0.30, 0.20
 P95_CRITICAL_SECONDS = 10.0
+DOWN_SECONDS = 60.0
 SELECTOR_WARNING = 0.10
 FALLBACK_WARNING = 0.30
 ERROR_LIMITS = (("captcha_detected", 0.05), ("blocked", 0.05), ("rate_limited", 0.02),
@@ -172,41 +173,84 @@ def error_mix(log: DataFrame) -> DataFrame:
                     F.coalesce(F.col("n") / F.col("requests") > limit, F.lit(False)).alias("over_limit")))
 
 
-def exact_percentile(df: DataFrame, group_cols, value: str, p: float) -> DataFrame:
-    """Exact linear-interpolated percentile per group from (group, value) counts."""
-    counts = df.groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*group_cols).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("cum", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*group_cols)))
-    pos = p * (F.col("n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    agg = counts.groupBy(*group_cols).agg(
-        F.min(F.when(F.col("cum") > lo, F.col(value))).alias("v_lo"),
-        F.min(F.when(F.col("cum") > hi, F.col(value))).alias("v_hi"),
-        F.first(pos).alias("pos"))
-    return agg.select(*group_cols, (F.col("v_lo") + (F.col("pos") - F.floor("pos")) * (F.col("v_hi") - F.col("v_lo")))
-                      .alias(f"p{int(p * 100)}"))
+def exact_percentile(df: DataFrame, group_cols, value: str, p: float, accuracy: int = 10_000) -> DataFrame:
+    """Exact linear-interpolated percentile per group by distributed selection.
+
+    A mergeable sketch per group gives two values that the percentile lies between; rows
+    below, between and above them are counted (partial sums), which tells the part that
+    holds each of the two ranks asked for; only the values of that part, about
+    4 / ``accuracy`` of a group, are sorted. The sketch decides what is sorted, not the
+    result. Nulls and groups of nulls alone have no rows."""
+    df = df.select(*group_cols, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    margin = 2.0 / accuracy
+    keys = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in group_cols]
+    around = F.percentile_approx("_v", F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), F.lit(accuracy))
+    bounds = df.groupBy(*group_cols).agg(around.alias("_around"), F.count(F.lit(1)).alias("_n"))
+    bounds = bounds.select(*[F.col(c).alias(f"_b_{c}") for c in group_cols], "_around", "_n")
+    part = F.when(F.col("_v") < F.col("_around")[0], 0).when(F.col("_v") <= F.col("_around")[1], 1).otherwise(2)
+    parted = df.join(bounds, keys).select(*group_cols, "_v", "_n", part.alias("_part"))
+
+    def cut(name):
+        return F.coalesce(F.sum(name).over(Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    pos = p * (F.col("_n") - 1)
+    held = parted.groupBy(*group_cols, "_part").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")).withColumn("_before", cut("_c"))  # at most three rows a group
+    asked = held.withColumn("_rank", F.explode(F.array(F.floor(pos), F.ceil(pos)))).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    asked = asked.groupBy(*group_cols, "_part", "_before").agg(F.min("_rank").alias("_lo"), F.max("_rank").alias("_hi"))
+    asked = asked.select(*[F.col(c).alias(f"_b_{c}") for c in group_cols], F.col("_part").alias("_p"), "_before", "_lo", "_hi")
+    inside = parted.join(asked, [*keys, F.col("_part") == F.col("_p")]).groupBy(*group_cols, "_part", "_v").agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_n", "_before", "_lo", "_hi")])
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*group_cols, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("_end", end)
+    value_at = [F.min(F.when((F.col("_end") > F.col(r)), F.col("_v"))).alias(r) for r in ("_lo", "_hi")]
+    # the two ranks may lie in neighbouring parts: the smaller part's first, the larger part's last
+    found = ranked.groupBy(*group_cols, "_part").agg(*value_at, F.first("_n").alias("_n"))
+    found = found.groupBy(*group_cols).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.first("_n").alias("_n"))
+    return found.select(*group_cols, (F.col("_lo") + (pos - F.floor(pos)) * (F.col("_hi") - F.col("_lo"))).alias(f"p{int(p * 100)}"))
 
 
 def latency(log: DataFrame, p: float = 0.95, exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """AGG9: p95 and mean response time per day and engine (all attempts).
-
-    ``exact`` uses (group, value) counts: memory per group grows with the number of
-    distinct values (bounded for times logged at a fixed resolution). For continuous
-    values at scale pass ``exact=False``: ``percentile_approx`` keeps a fixed-size
-    sketch per group and merges partial sketches map side."""
+    """AGG9: p95 and mean response time per day and engine (all attempts), exact by
+    ``exact_percentile``; with ``exact=False`` the sketch's value, in one pass."""
     df = log.select(F.date_format(F.date_trunc("day", "ts"), TS_FMT).alias("day"), "engine", "response_time")
     if exact:
-        pct = exact_percentile(df, ["day", "engine"], "response_time", p)
+        pct = exact_percentile(df, ["day", "engine"], "response_time", p, accuracy)
     else:
         pct = df.groupBy("day", "engine").agg(
             F.percentile_approx("response_time", p, accuracy).alias(f"p{int(p * 100)}"))
     avg = df.groupBy("day", "engine").agg(F.count(F.lit(1)).alias("requests"),
                                           F.avg("response_time").alias("avg_rt"))
-    return (avg.join(pct, ["day", "engine"])
+    return (avg.join(pct, ["day", "engine"], "left")
             .select("day", "engine", "requests", F.round("avg_rt", 6).alias("avg_response_time"),
                     F.round(f"p{int(p * 100)}", 6).alias("p95_response_time")))
 
 
+def outages(log: DataFrame, longer_than: float = DOWN_SECONDS, chunk_seconds: int = 3600) -> DataFrame:
+    """AGG11 "down for more than a minute": the maximal runs of failed requests of an
+    engine, in order of time and request id, whose first and last request lie more than
+    ``longer_than`` seconds apart: engine, start, end, failures, seconds.
+
+    Runs are found inside time chunks, so an engine with a third of all requests is many
+    tasks. A run that reaches the edge of its chunk is one of at most two pieces of it;
+    only those are put in order over all chunks of an engine, and pieces without a success
+    between them are one run."""
+    df = normalized(log).where(F.col("ts").isNotNull()).select("engine", "ts", "request_id", F.coalesce("success", F.lit(False)).alias("ok"),
+                                                    F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / chunk_seconds).alias("chunk"))
+    seen = Window.partitionBy("engine", "chunk").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("run", F.count_if("ok").over(seen))
+    bad = ~F.col("ok")
+    runs = df.groupBy("engine", "chunk", "run").agg(F.count_if(bad).alias("failures"), F.min(F.when(bad, F.col("ts"))).alias("start"), F.max(F.when(bad, F.col("ts"))).alias("end"))
+    last = F.max("run").over(Window.partitionBy("engine", "chunk"))
+    runs = runs.withColumn("last", last)
+    whole = runs.where((F.col("run") > 0) & (F.col("run") < F.col("last"))).select("engine", "start", "end", "failures")
+    # the run after the chunk's last success begins anew, the one before its first goes on
+    pieces = runs.where((F.col("run") == 0) | (F.col("run") == F.col("last"))).withColumn("fresh", (F.col("run") > 0).cast("int"))
+    place = Window.partitionBy("engine").orderBy("chunk", "run").rowsBetween(Window.unboundedPreceding, 0)
+    joined = pieces.withColumn("island", F.sum("fresh").over(place)).groupBy("engine", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("failures").alias("failures"))
+    found = whole.unionByName(joined.select("engine", "start", "end", "failures")).where("failures > 0")
+    found = found.withColumn("seconds", F.expr("timestampdiff(MICROSECOND, start, end)") / 1e6).where(F.col("seconds") > longer_than)
+    return found.select("engine", "start", "end", F.col("failures").cast("long").alias("failures"), F.round("seconds", 6).alias("seconds"))
+
+
 def fallback_rate(log: DataFrame) -> DataFrame:
     """AGG10: per day, share of queries not answered by the first engine tried, and
     queries no engine answered."""
@@ -223,7 +267,8 @@ def fallback_rate(log: DataFrame) -> DataFrame:
 
 
 def alerts(log: DataFrame) -> DataFrame:
-    """AGG11: the monitoring plan's critical / warning conditions per day."""
+    """AGG11: the monitoring plan's critical / warning conditions per day (``down``: the
+    longest outage that began on the day, in seconds)."""
     df = normalized(log).withColumn("day", F.date_format(F.date_trunc("day", "ts"), TS_FMT))
     # per (day, engine) and per day in one aggregate (grouping sets)
     counts = (df.groupingSets([["day", "engine"], ["day"]], "day", "engine")
@@ -247,7 +292,9 @@ def alerts(log: DataFrame) -> DataFrame:
     fb = fallback_rate(log).select("day", F.lit("fallback_rate").alias("alert"),
                                    F.when(F.col("fallback_rate") > FALLBACK_WARNING, F.lit("warning")).alias("level"),
                                    F.col("fallback_rate").alias("v"))
-    out = eng.unionByName(err).unionByName(sel).unionByName(lat).unionByName(fb)
+    down = outages(log).groupBy(F.date_format(F.date_trunc("day", "start"), TS_FMT).alias("day")).agg(F.max("seconds").alias("v"))
+    down = down.select("day", F.lit("down").alias("alert"), F.lit("critical").alias("level"), "v")
+    out = eng.unionByName(err).unionByName(sel).unionByName(lat).unionByName(fb).unionByName(down)
     return out.filter(F.col("level").isNotNull()).select("day", "alert", "level", F.round("v", 6).alias("value"))
 
 

@@ -168,8 +168,23 @@ def slo_fallback_rate(spark, sf_dir):
     return S.fallback_rate(_log(spark, sf_dir))
 
 
+OUTAGE_SQL = f"""
+o AS (SELECT engine, ts, success, count(*) FILTER (WHERE success) OVER (PARTITION BY engine ORDER BY ts, request_id) AS run FROM n),
+down AS (SELECT engine, min(ts) AS first_bad, max(ts) AS last_bad, count(*) AS failures FROM o WHERE NOT success GROUP BY engine, run
+         HAVING epoch_us(max(ts)) - epoch_us(min(ts)) > 60000000)"""
+
+
+@register("slo_outages", oracle=f"""
+{normalized_cte()}, {OUTAGE_SQL}
+SELECT engine, strftime(first_bad, '%Y-%m-%d %H:%M:%S') AS outage_start, strftime(last_bad, '%Y-%m-%d %H:%M:%S') AS outage_end, failures,
+       round((epoch_us(last_bad) - epoch_us(first_bad)) / 1e6, 6) AS seconds FROM down""")
+def slo_outages(spark, sf_dir):
+    found = S.outages(_log(spark, sf_dir))
+    return found.select("engine", F.date_format("start", S.TS_FMT).alias("outage_start"), F.date_format("end", S.TS_FMT).alias("outage_end"), "failures", "seconds")
+
+
 @register("slo_alerts", oracle=f"""
-{normalized_cte()}, d AS (SELECT *, {DAY} AS day FROM n), {FALLBACK_SQL},
+{normalized_cte()}, {OUTAGE_SQL}, d AS (SELECT *, {DAY} AS day FROM n), {FALLBACK_SQL},
 pe AS (SELECT day, engine, count(*) FILTER (WHERE success) / count(*) AS v FROM d GROUP BY 1, 2),
 ov AS (SELECT day, count(*) FILTER (WHERE NOT success) / count(*) AS err,
               count(*) FILTER (WHERE error_type = 'selector_mismatch') / count(*) AS sel FROM d GROUP BY 1),
@@ -181,7 +196,8 @@ a AS (
   UNION ALL SELECT day, 'selector_mismatch', CASE WHEN sel > {S.SELECTOR_WARNING} THEN 'warning' END, sel FROM ov
   UNION ALL SELECT day, 'p95_response_time', CASE WHEN p95 > {S.P95_CRITICAL_SECONDS} THEN 'critical' END, p95 FROM lat
   UNION ALL SELECT day, 'fallback_rate', CASE WHEN round(fallbacks / queries, 6) > {S.FALLBACK_WARNING} THEN 'warning' END,
-                   round(fallbacks / queries, 6) FROM fb)
+                   round(fallbacks / queries, 6) FROM fb
+  UNION ALL SELECT strftime(date_trunc('day', first_bad), '%Y-%m-%d %H:%M:%S'), 'down', 'critical', max((epoch_us(last_bad) - epoch_us(first_bad)) / 1e6) FROM down GROUP BY 1)
 SELECT day, alert, level, round(v, 6) AS value FROM a WHERE level IS NOT NULL""")
 def slo_alerts(spark, sf_dir):
     return S.alerts(_log(spark, sf_dir))
