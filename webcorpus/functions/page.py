@@ -227,16 +227,9 @@ def raw_text(body: Column) -> Column:
     return decode_entities(F.regexp_replace(body, ANY_TAG, ""))
 
 
-def _first_by(arr: Column, key: str, elem_type: str) -> Column:
-    """Keep the first element per ``key`` field, preserving order. One fold over the
-    array (the array expression is evaluated once, not once per element)."""
-    init = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{elem_type}>").alias("out"))
-
-    def step(acc, x):
-        dup = F.array_contains(acc["seen"], x[key])
-        return F.when(dup, acc).otherwise(F.struct(F.concat(acc["seen"], F.array(x[key])).alias("seen"),
-                                                   F.concat(acc["out"], F.array(x)).alias("out")))
-    return F.aggregate(arr, init, step)["out"]
+def _first_by(arr: Column, key: str) -> Column:
+    """Keep the first element per ``key`` field, preserving order (no array grows)."""
+    return E.let(arr, lambda xs: E.let(F.transform(xs, lambda x: x[key]), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, x[key]) == i + 1)))
 
 
 def links(body: Column, base_url: Column) -> Column:
@@ -256,7 +249,7 @@ def links(body: Column, base_url: Column) -> Column:
     keep = F.filter(recs, kept)
     resolved = F.transform(keep, lambda r: F.struct(resolve_url(r["href"], base_url).alias("url"),
                                                     r["text"].alias("text"), r["title"].alias("title")))
-    return _first_by(resolved, "url", "struct<url:string,text:string,title:string>")
+    return _first_by(resolved, "url")
 
 
 def images(body: Column, base_url: Column) -> Column:
@@ -333,9 +326,9 @@ def _stripped(c: Column) -> Column:
 
 
 def microdata(raw_html: Column) -> Column:
-    """EXT13 (partial by design): item types and flat ``itemprop -> value`` pairs in
-    page order; the value is content, href, src or datetime when present, else the
-    element's own leading text (decoded and stripped, not cleaned). Nesting of item scopes is not kept."""
+    """EXT13, flat: item types and ``itemprop -> value`` pairs in page order; the value is
+    content, href, src or datetime when present, else the element's own leading text
+    (decoded and stripped, not cleaned). ``structured.nested_items`` keeps the nesting."""
     tags = F.regexp_extract_all(raw_html, F.lit(MICRODATA_PROP), 1)
     texts = F.regexp_extract_all(raw_html, F.lit(MICRODATA_PROP), 2)
     pairs = F.transform(F.arrays_zip(tags.alias("tag"), texts.alias("text")), lambda z: F.struct(
@@ -347,8 +340,9 @@ def microdata(raw_html: Column) -> Column:
 
 
 def microformats(raw_html: Column) -> Column:
-    """EXT14 (partial by design): root classes ``h-*`` and flat property pairs from
-    ``p-* / u-* / dt-* / e-*`` classes (``u-*`` takes href or src, others the text)."""
+    """EXT14, flat: root classes ``h-*`` and property pairs from ``p-* / u-* / dt-* / e-*``
+    classes (``u-*`` takes href or src, others the text); ``structured.nested_items``
+    keeps the nesting."""
     roots = F.array_distinct(F.regexp_extract_all(
         raw_html, F.lit(r"(?is)\sclass\s*=\s*[\"'](?:[^\"']*\s)?(h-[a-z0-9-]+)"), 1))
     tags = F.regexp_extract_all(raw_html, F.lit(MICROFORMAT_PROP), 1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts as C
 from ..functions import page as P
+from ..functions import structured as ST
 from ..functions import urls as U
 
 ALL_FIELDS = ("title", "meta", "headings", "paragraphs", "lists", "tables", "images",
@@ -39,7 +40,8 @@ def field_columns(include_boilerplate: bool = False):
         "structured_data": F.struct(P.json_ld(F.col("html")).alias("json_ld"),
                                     P.microdata(F.col("html")).alias("microdata"),
                                     P.opengraph(b).alias("opengraph"),
-                                    P.microformats(F.col("html")).alias("microformat")),
+                                    P.microformats(F.col("html")).alias("microformat"),
+                                    ST.nested_items(F.col("html")).alias("items")),
         "contacts": C.contacts(P.raw_text(b), F.col("html")),
         "main_content": P.main_content(b),
         "language": P.language(b),
@@ -55,7 +57,7 @@ def statistics(rec_cols: dict) -> "F.Column":
     c = rec_cols["contacts"]
     sd = rec_cols["structured_data"]
     return F.struct(
-        F.size(rec_cols["paragraphs"]).alias("total_paragraphs"),
+        F.size(rec_cols["paragraphs"]).alias("total_paragraphs"),  # the texts suffice, see extract_pages
         F.aggregate(F.map_values(rec_cols["headings"]), F.lit(0), lambda acc, v: acc + F.size(v)).alias("total_headings"),
         F.size(rec_cols["images"]).alias("total_images"),
         F.size(rec_cols["links"]).alias("total_links"),
@@ -86,6 +88,8 @@ def extract_pages(pages: DataFrame, fields=ALL_FIELDS, with_statistics: bool = T
     # stage 1: every needed field once; stage 2: statistics read those columns, so no
     # field expression is evaluated twice
     needed = list(dict.fromkeys(wanted + (list(STAT_FIELDS) if with_statistics else [])))
+    if "paragraphs" not in wanted:  # counting does not need the contexts
+        cols["paragraphs"] = P.paragraph_texts(F.col("body"))
     stage1 = staged.select("page_id", "url", *[cols[f].alias(f) for f in needed])
     out = [F.col("page_id"), F.col("url")] + [F.col(f) for f in wanted]
     if with_statistics:

@@ -13,7 +13,8 @@ from ..functions import page as P
 from ..operators import pages as OP
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
-from ..sources.record_render import record_pages
+from ..functions import structured as ST
+from ..sources.record_render import nested_pages, record_pages
 from .catalog import register
 
 CTE = """WITH w AS (SELECT doc_id, coalesce(lang, 'en') AS lang, CAST(doc_id AS VARCHAR) AS id,
@@ -22,6 +23,7 @@ CTE = """WITH w AS (SELECT doc_id, coalesce(lang, 'en') AS lang, CAST(doc_id AS
                   lambda i: array_to_string(words[i + 1:i + 8], ' ')) AS chunks FROM w),
      k AS (SELECT page_id, id, unnest(chunks) AS chunk, CAST(generate_subscripts(chunks, 1) AS BIGINT) AS pos FROM c)
 """
+NESTED_CTE = CTE.replace("[A-Za-z]+", "[A-Za-z0-9\u00C0-\u00FF]+")
 URL = "'https://site.example.org/records/' || id"
 REQUEST = f"sha256('page|' || id || '|' || {URL})"
 
@@ -164,3 +166,47 @@ def page_record(spark, sf_dir):
         "page_id", "url", "title", "language", count(F.col("lists.unordered")).alias("items"), count(F.col("tables.rows")).alias("table_rows"),
         stats["total_images"].cast("long").alias("images"), stats["email_count"].cast("long").alias("emails"), stats["phone_count"].cast("long").alias("phones"),
         stats["social_media_count"].cast("long").alias("social"), stats["has_structured_data"].alias("structured"), "success", "request_id")
+
+
+@register("record_nested_main", oracle=f"""{NESTED_CTE}
+SELECT page_id, trim(regexp_replace('Nested ' || id || array_to_string(list_transform(chunks, lambda c: c || ' '), '') || 'comment ' || id || ' after ' || id, ' +', ' ', 'g')) AS main_content FROM c""")
+def record_nested_main(spark, sf_dir):
+    return OP.with_body(nested_pages(spark, sf_dir)).select("page_id", P.main_content(F.col("body")).alias("main_content"))
+
+
+@register("record_nested_tables", oracle=f"""{NESTED_CTE}
+SELECT page_id, 'H' || id AS header, 0 AS tab, 0 AS pos, 'outer ' || id || '|' || coalesce(array_to_string(list_transform(chunks, lambda x: x || 'in'), ''), '') ||
+       CASE WHEN len(chunks) > 0 THEN '|' || array_to_string(list_transform(chunks, lambda x: x || '|in'), '|') ELSE '' END AS cells FROM c
+UNION ALL SELECT page_id, 'H' || id, 0, CAST(pos AS INT), chunk || '|in' FROM k
+UNION ALL SELECT page_id, '', CAST(pos AS INT), 0, chunk || '|in' FROM k""")
+def record_nested_tables(spark, sf_dir):
+    found = OP.with_body(nested_pages(spark, sf_dir)).select("page_id", F.posexplode(P.tables(F.col("body"))).alias("tab", "t"))
+    return found.select("page_id", F.array_join("t.headers", "|").alias("header"), "tab", F.posexplode("t.rows").alias("pos", "row")) \
+        .select("page_id", "header", "tab", "pos", F.array_join("row", "|").alias("cells"))
+
+
+@register("record_nested_items", oracle=f"""{NESTED_CTE}
+SELECT page_id, 'https://schema.org/Organization' AS type, 'Org ' || id AS name, 'https://schema.org/Person' AS founder_type, 'Ann é ' || id AS founder_name,
+       'ann' || id || '@example.org' AS founder_email, 'second' || id || '@example.org' AS founder_email_2, id || ' Inner St' AS street, '+1 303 555 ' || id AS phone,
+       'Entry ' || id AS entry, 'Card ' || id AS author, 'card' || id || '@example.org' AS author_email, 'h-cite' AS child, 'Cite ' || id AS child_name,
+       CAST(1 AS BIGINT) AS top_items FROM c""")
+def record_nested_items(spark, sf_dir):
+    found = nested_pages(spark, sf_dir).select("page_id", ST.nested_items(F.col("html")).alias("i"))
+    found = found.select("page_id", F.try_parse_json("i.microdata").alias("m"), F.try_parse_json("i.microformats").alias("f"))
+    paths = {"type": ("m", "$[0].type"), "name": ("m", "$[0].properties.name"), "founder_type": ("m", "$[0].properties.founder.type"), "founder_name": ("m", "$[0].properties.founder.properties.name"),
+             "founder_email": ("m", "$[0].properties.founder.properties.email[0]"), "founder_email_2": ("m", "$[0].properties.founder.properties.email[1]"),
+             "street": ("m", "$[0].properties.founder.properties.address.properties.streetAddress"), "phone": ("m", "$[0].properties.telephone"),
+             "entry": ("f", "$[0].properties.name[0]"), "author": ("f", "$[0].properties.author[0].properties.name[0]"), "author_email": ("f", "$[0].properties.author[0].properties.email[0]"),
+             "child": ("f", "$[0].children[0].type[0]"), "child_name": ("f", "$[0].children[0].properties.name[0]")}
+    top = F.size(F.variant_get("m", "$", "array<variant>")).cast("long")
+    return found.select("page_id", *[F.variant_get(v, path, "string").alias(n) for n, (v, path) in paths.items()], top.alias("top_items"))
+
+
+@register("record_nested_contacts", oracle=f"""{NESTED_CTE}
+SELECT page_id, 'emails' AS kind, unnest(['café' || id || '@example.org', 'ann' || id || '@example.org', 'second' || id || '@example.org', 'card' || id || '@example.org']) AS value FROM c
+UNION ALL SELECT page_id, 'phones', unnest(['+1 404 555 ' || id, id, 'True', 'None', '1.5', '+1 303 555 ' || id]) FROM c
+UNION ALL SELECT page_id, 'addresses', unnest(['Café "' || id || '"', id || ' Elm', 'x']) FROM c""")
+def record_nested_contacts(spark, sf_dir):
+    found = nested_pages(spark, sf_dir).select("page_id", C.structured_contacts(F.col("html")).alias("s"))
+    kinds = F.create_map(*[x for k in ("emails", "phones", "addresses") for x in (F.lit(k), F.col(f"s.{k}"))])
+    return found.select("page_id", F.explode(kinds).alias("kind", "vs")).select("page_id", "kind", F.explode("vs").alias("value"))
