@@ -16,7 +16,9 @@ Places are code points, end exclusive. Null text is empty. One row per input row
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 
@@ -37,7 +39,7 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = (b"passw", b"secret", b"token", b"api_key", b"apikey", b"credential", b"private", b"auth", b"bearer", b"access", b"akia", b"key")
 WORD = re.compile(r"passw(?:or)?d|secret|token|api_?key|credential|private|auth|bearer|access|key", re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-PIECE = re.compile(r"(?:[^=]|=+$)+")
+PIECE = re.compile(r"[^=]+")
 GLUED = re.compile(rf"(?:{WORD.pattern})[_./-]+", re.ASCII | re.IGNORECASE)
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{3,40}(?![A-Za-z0-9_])")
 CLASSES = ((re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[0-9]"), 10), (re.compile(r"[+/_.=-]"), 6))
@@ -86,17 +88,27 @@ def least_bytes(string: str, novelty: float) -> float:
     return novelty * len(string) * math.log2(sum(n for c, n in CLASSES if c.search(string))) / 8
 
 
+def pieces(run: str):
+    """Start and end of the strings between the '=' of a run of token characters; '=' at
+    the end of the run belongs to the last one, as its padding."""
+    body = run.rstrip("=")
+    if not body:
+        yield 0, len(run)
+    for m in PIECE.finditer(body):
+        yield m.start(), len(run) if m.end() == len(body) else m.end()
+
+
 def candidates(text: str, ends: np.ndarray, reach: int):
     """Strings after a sensitive word: the pieces between '=' of a run of token
     characters ('=' at its end is padding), else what follows a sensitive word and a sign
     inside the piece."""
     for m in CANDIDATE.finditer(text):
-        for piece in PIECE.finditer(m[0]):
-            a, b = m.start() + piece.start(), m.start() + piece.end()
+        for x, y in pieces(m[0]):
+            piece, a, b = m[0][x:y], m.start() + x, m.start() + y
             k = int(np.searchsorted(ends, a, side="right")) - 1
-            glued = [g.end() for g in GLUED.finditer(piece[0])]
+            glued = [g.end() for g in GLUED.finditer(piece)]
             if k >= 0 and a - ends[k] <= reach:
-                lead = GLUED.match(piece[0])
+                lead = GLUED.match(piece)
                 a += lead.end() if lead else 0
             elif glued:
                 a += glued[-1]
@@ -111,9 +123,12 @@ def novel_spans(text: str, base: list, dictionary: bytes, packer, reach: int, ar
     ends = [m.end() for m in WORD.finditer(text)]
     if not ends:
         return []
+    starts = sorted((x, y) for _, x, y in base)
+    reached = list(itertools.accumulate((y for _, y in starts), max))  # the furthest end of the base spans so far
     out = []
     for a, b in candidates(text, np.array(ends), reach):
-        if any(a < y and x < b for _, x, y in base):
+        k = bisect.bisect_left(starts, (b,))
+        if k and reached[k - 1] > a:  # overlaps a base span
             continue
         before, after = text[max(0, a - around):a].encode(), text[b:b + around].encode()
         extra = len(packer.compress(before + text[a:b].encode() + after)) - len(packer.compress(before + after))
