@@ -8,8 +8,9 @@ resumes from its offsets and state store.
 
 * STR3 page extraction: stateless ``select`` over a page stream.
 * STR4 first-seen keys: ``dropDuplicates`` with state that does not expire.
-* STR5 service levels: event-time windows with a watermark, append mode; rows later
-  than the watermark are dropped (our rule; the original has none).
+* STR5 service levels: success rates in all window kinds, error mix, response times and
+  fallback rate as chained event-time aggregates with a watermark, append mode; rows
+  later than the watermark are dropped (our rule; the original has none).
 * STR6 requests per minute: 1-minute windows against the per-minute limit.
 * STR1 quota and STR2 source health: per-key state in ``applyInPandasWithState``.
 """
@@ -101,6 +102,56 @@ def service_levels_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
                     "requests", "successes", F.round(F.col("successes") / F.col("requests"), 6).alias("success_rate"))
 
 
+def _timed(log: DataFrame, delay: str) -> DataFrame:
+    return S.normalized(log).withColumn("event_ts", event_time("ts")).withWatermark("event_ts", delay)
+
+
+def success_levels_stream(log: DataFrame, kind: str, delay: str = "1 hour") -> DataFrame:
+    """STR5 / AGG7: success rate per engine and overall in one of the window kinds of
+    ``WINDOW_KINDS``. Two chained event-time aggregates: counts per hour and engine, and
+    windows over these counts, so a row is never copied into the 24 or 7 windows that
+    overlap it; state is an hour's count per engine and the open windows."""
+    size, slide = {name: (size, slide) for name, size, slide in S.WINDOW_KINDS}[kind]
+    hours = _timed(log, delay).groupBy(F.window("event_ts", "1 hour").alias("h"), "engine").agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("ok"))
+    hours = hours.select(F.window_time("h").alias("t"), F.explode(F.array("engine", F.lit("all"))).alias("engine"), "n", "ok")
+    g = hours.groupBy(F.window("t", f"{size} seconds", f"{slide} seconds").alias("w"), "engine").agg(F.sum("n").alias("requests"), F.sum("ok").alias("successes"))
+    return g.select(F.lit(kind).alias("window_kind"), utc_text("w.start").alias("window_start"), "engine", "requests", "successes", F.round(F.col("successes") / F.col("requests"), 6).alias("success_rate"))
+
+
+def error_mix_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """STR5 / AGG8: share of each error type per day and engine, with the acceptable limit:
+    counts per type, chained to the day's total (a handful of types per day and engine)."""
+    kind = F.when(~F.col("success"), F.col("error_type"))
+    types = _timed(log, delay).groupBy(F.window("event_ts", "1 day").alias("d"), "engine", (~F.col("success")).alias("bad"), kind.alias("error_type")).agg(F.count(F.lit(1)).alias("n"))
+    days = types.groupBy(F.window(F.window_time("d"), "1 day").alias("w"), "engine").agg(F.sum("n").alias("requests"), F.collect_list(F.struct("bad", "error_type", "n")).alias("types"))
+    out = days.select(utc_text("w.start").alias("day"), "engine", "requests", F.explode(F.filter("types", lambda t: t["bad"])).alias("t"))
+    limit = F.lit(None).cast("double")
+    for name, most in S.ERROR_LIMITS:
+        limit = F.when(F.col("t.error_type") == name, F.lit(most)).otherwise(limit)
+    share = F.col("t.n") / F.col("requests")
+    return out.select("day", "engine", F.col("t.error_type").alias("error_type"), F.col("t.n").alias("errors"), "requests", F.round(share, 6).alias("share"),
+                      limit.alias("limit"), F.coalesce(share > limit, F.lit(False)).alias("over_limit"))
+
+
+def latency_stream(log: DataFrame, p: float = 0.95, accuracy: int = 10_000, delay: str = "1 hour") -> DataFrame:
+    """STR5 / AGG9: p95 and mean response time per day and engine. The state is a mergeable
+    sketch, so the percentile is a value whose rank is off by at most 1 / ``accuracy``."""
+    timed = log.withColumn("event_ts", event_time("ts")).withWatermark("event_ts", delay)
+    g = timed.groupBy(F.window("event_ts", "1 day").alias("w"), "engine").agg(
+        F.count(F.lit(1)).alias("requests"), F.avg("response_time").alias("avg_rt"), F.percentile_approx("response_time", p, accuracy).alias("pct"))
+    return g.select(utc_text("w.start").alias("day"), "engine", "requests", F.round("avg_rt", 6).alias("avg_response_time"), F.round("pct", 6).alias("p95_response_time"))
+
+
+def fallback_rate_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """STR5 / AGG10: per day, the share of queries that the first engine tried did not
+    answer, and queries that none answered: the best engine per query, chained to the day."""
+    prio = S.engine_priority(F.col("engine"))
+    queries = _timed(log, delay).groupBy(F.window("event_ts", "1 day").alias("d"), "query_id").agg(F.min(prio).alias("first"), F.min(F.when(F.col("success"), prio)).alias("won"))
+    g = queries.groupBy(F.window(F.window_time("d"), "1 day").alias("w")).agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if(F.col("won") > F.col("first")).alias("fallbacks"), F.count_if(F.col("won").isNull()).alias("unanswered"))
+    return g.select(utc_text("w.start").alias("day"), "queries", "fallbacks", "unanswered", F.round(F.col("fallbacks") / F.col("queries"), 6).alias("fallback_rate"))
+
+
 def rate_stream(log: DataFrame, limit: int = S.SEARCH_LIMIT_PER_MINUTE, delay: str = "10 minutes") -> DataFrame:
     """STR6: requests per engine and minute, flagged against the limit."""
     e = log.withColumn("event_ts", event_time("ts")).withWatermark("event_ts", delay)
