@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from webcorpus.functions import quality as Q
 from webcorpus.operators import crawl as CR
 from webcorpus.operators import federate as FE
-from webcorpus.operators import quota as QU
 from webcorpus.operators import service as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -91,28 +90,6 @@ def reference_bucket(times, capacity, rate):
     return out
 
 
-def test_quota_replay_matches_sequential_rule(spark):
-    rnd = random.Random(7)
-    rows, rid = [], 0
-    for key in ("a", "b"):
-        t = 0.0
-        for _ in range(300):
-            t += rnd.choice([0.001, 0.01, 0.2, 1.0, 90.0]) if rnd.random() < 0.9 else 0.0
-            rows.append((key, rid, T0 + dt.timedelta(seconds=t)))
-            rid += 1
-    df = spark.createDataFrame(rows, "engine string, request_id long, ts timestamp_ntz")
-    got = {r["request_id"]: r["admitted"] for r in QU.quota_replay(df, requests_per_minute=6).collect()}
-    for key in ("a", "b"):
-        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1]))
-        times = [(r[2] - dt.datetime(1970, 1, 1)).total_seconds() for r in mine]
-        want = reference_bucket(times, 6.0, 0.1)
-        assert [got[r[1]] for r in mine] == want
-        # invariant: admitted never exceeds capacity + rate x elapsed
-        admitted = sum(want)
-        assert admitted <= 6 + 0.1 * (times[-1] - times[0]) + 1e-9
-    assert not all(got.values())
-
-
 def test_source_health_matches_fold(spark):
     rnd = random.Random(3)
     rows = []

@@ -1,5 +1,5 @@
 """Scale properties of the plans: no Python worker in any
-query except the sequential replays, top-n queries carry a partial group limit before
+query but one Arrow pass where the element index is read, top-n queries carry a partial group limit before
 the exchange, and page extraction runs without an exchange."""
 
 import re
@@ -10,7 +10,6 @@ from literal_rows import SMALL
 from webcorpus.plans import catalog
 
 catalog.load_all()
-PYTHON_ALLOWED = {"source_health_stream"}
 # one Arrow pass per page builds the element index, or items and contact fields from it
 INDEXED = {"serp_web_roundtrip", "serp_news_roundtrip", "record_tables", "record_nested_tables", "record_nested_items", "record_nested_contacts", "contacts_structured",
            "page_record", "page_statistics", "page_metadata_view", "page_contacts_view"}
@@ -21,7 +20,7 @@ def plan_of(spark, name):
     return catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n not in PYTHON_ALLOWED))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_python_in_plan(spark, name):
     found = set(PYTHON_NODES.findall(plan_of(spark, name)))
     assert found <= ({"ArrowEvalPython", "PythonUDF"} if name in INDEXED else set())

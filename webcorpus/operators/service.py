@@ -66,44 +66,65 @@ def engine_outcomes(log: DataFrame) -> DataFrame:
             .withColumn("success", F.col("engines_succeeded") > 0))
 
 
-def source_health(log: DataFrame, key: str = "proxy", chunk: str = "1 minute") -> DataFrame:
-    """STR2 (batch): final health record per source after replaying its log in
-    (ts, request_id) order: failures (+1 on failure, -1 floored at 0 on success),
-    successes, is_working (off at 3 failures, on after a success), latest positive
-    response time of a success, and the AGG6 score."""
+def health_summary(log: DataFrame, key: str = "proxy", chunk: str = "1 minute") -> DataFrame:
+    """What a stretch of a source's log does to its health, per source: the sum ``s`` of the
+    steps (+1 on failure, -1 on success), their least running sum ``m``, successes, the
+    last outcome and the last positive response time of a success. Summed over time
+    chunks first, so a source with a third of all rows is many groups."""
     ev = (log.select(key, "ts", "request_id", "success", "response_time")
           .withColumn("d", F.when(F.col("success"), F.lit(-1)).otherwise(F.lit(1)))
           .withColumn("chunk", F.window("ts", chunk).start))
     w_local = Window.partitionBy(key, "chunk").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("s_local", F.sum("d").over(w_local))
     order_key = F.struct("ts", "request_id")
+    timed = F.col("success") & (F.col("response_time") > 0)
     chunks = ev.groupBy(key, "chunk").agg(
-        F.sum("d").alias("s"), F.min("s_local").alias("m"),
-        F.count_if(F.col("success")).alias("succ"),
-        F.max_by("success", order_key).alias("last_success"),
-        F.max(order_key).alias("last_key"),
-        F.max_by(F.when(F.col("success") & (F.col("response_time") > 0), F.col("response_time")),
-                 F.when(F.col("success") & (F.col("response_time") > 0), order_key)).alias("rt"),
-        F.max(F.when(F.col("success") & (F.col("response_time") > 0), order_key)).alias("rt_key"))
+        F.sum("d").alias("s"), F.min("s_local").alias("m"), F.count_if(F.col("success")).alias("successes"),
+        F.max_by("success", order_key).alias("last_success"), F.max(order_key).alias("last_key"),
+        F.max_by(F.when(timed, F.col("response_time")), F.when(timed, order_key)).alias("rt"),
+        F.max(F.when(timed, order_key)).alias("rt_key"))
     w_chunks = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("s_before", F.coalesce(F.sum("s").over(w_chunks), F.lit(0)))
-    final = chunks.groupBy(key).agg(
-        F.sum("s").alias("s_total"),
-        F.min(F.col("s_before") + F.col("m")).alias("m_total"),
-        F.sum("succ").alias("successes"),
-        F.max_by("last_success", "last_key").alias("last_success"),
-        F.max_by("rt", "rt_key").alias("response_time"))
-    failures = F.col("s_total") - F.least(F.lit(0), F.col("m_total"))
-    return (final.select(
+    return chunks.groupBy(key).agg(
+        F.sum("s").alias("s"), F.min(F.col("s_before") + F.col("m")).alias("m"), F.sum("successes").alias("successes"),
+        F.max_by("last_success", "last_key").alias("last_success"), F.max_by("rt", "rt_key").alias("rt"))
+
+
+def merge_summaries(before: DataFrame, after: DataFrame, key: str = "proxy") -> DataFrame:
+    """The summary of two stretches that follow one another."""
+    a, b = before.alias("a"), after.alias("b")
+
+    def both(c):
+        return F.coalesce(F.col(f"a.{c}"), F.lit(0)), F.coalesce(F.col(f"b.{c}"), F.lit(0))
+
+    (sa, sb), (na, nb) = both("s"), both("successes")
+    return a.join(b, key, "full").select(
+        key, (sa + sb).alias("s"), F.least(F.col("a.m"), sa + F.col("b.m")).alias("m"), (na + nb).alias("successes"),
+        F.coalesce(F.col("b.last_success"), F.col("a.last_success")).alias("last_success"), F.coalesce(F.col("b.rt"), F.col("a.rt")).alias("rt"))
+
+
+def health_of(summary: DataFrame, key: str = "proxy") -> DataFrame:
+    """The health record that a log's summary stands for: the failure counter falls by one
+    on success but not below zero, so it is ``s - min(0, m)``."""
+    failures = F.col("s") - F.least(F.lit(0), F.col("m"))
+    return (summary.select(
         key,
         failures.cast("long").alias("failures"),
         F.col("successes").cast("long").alias("successes"),
         (F.col("last_success") | (failures < MAX_FAILURES)).alias("is_working"),
-        F.coalesce(F.col("response_time"), F.lit(0.0)).alias("response_time"))
+        F.coalesce(F.col("rt"), F.lit(0.0)).alias("response_time"))
         .withColumn("score", F.round(Q.quality_score(F.col("successes"), F.col("failures"),
                                                      F.col("response_time")), 6)))
 
 
+def source_health(log: DataFrame, key: str = "proxy", chunk: str = "1 minute") -> DataFrame:
+    """STR2 (batch): final health record per source after its log in (ts, request_id)
+    order: failures (+1 on failure, -1 floored at 0 on success), successes, is_working
+    (off at 3 failures, on after a success), latest positive response time of a success,
+    and the AGG6 score."""
+    return health_of(health_summary(log, key, chunk), key)
+
+
 def source_scorecard(health: DataFrame, sources: DataFrame, key: str = "proxy") -> DataFrame:
     """AGG5: total / working / failed sources overall, by protocol and by list."""
     h = health.join(sources, key)

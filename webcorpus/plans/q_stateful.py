@@ -1,4 +1,4 @@
-"""Stateful replays and stream-equals-batch queries (STR1-STR6).
+"""Stream-equals-batch queries (STR2-STR6).
 
 Windowed streams run in append mode: a window is emitted once the watermark (latest
 event time minus the allowed delay) has passed its end, so the oracle of a windowed
@@ -15,8 +15,7 @@ from .q_service import HEALTH_SQL, normalized_cte
 
 @register("source_health_stream", oracle=f"{HEALTH_SQL} SELECT * FROM hs")
 def source_health_stream(spark, sf_dir):
-    out = ST.run_to_table(ST.health_stream(ST.fetch_log_stream(spark, sf_dir)), "health")
-    return ST.latest_health(out)
+    return ST.run_health(ST.fetch_log_stream(spark, sf_dir))
 
 
 @register("stream_page_overview")

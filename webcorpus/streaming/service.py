@@ -1,4 +1,4 @@
-"""Structured Streaming forms (STR1-STR6).
+"""Structured Streaming forms (STR2-STR6).
 
 Every stream uses the same column functions and aggregates as the batch operators,
 so a run with an ``availableNow`` trigger over a finished input equals the batch
@@ -12,7 +12,8 @@ resumes from its offsets and state store.
   fallback rate as chained event-time aggregates with a watermark, append mode; rows
   later than the watermark are dropped (our rule; the original has none).
 * STR6 requests per minute: 1-minute windows against the per-minute limit.
-* STR1 quota and STR2 source health: per-key state in ``applyInPandasWithState``.
+* STR2 source health: a mergeable summary per source, fed by native aggregates of each
+  micro-batch.
 """
 
 from __future__ import annotations
@@ -20,21 +21,13 @@ from __future__ import annotations
 import os
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions import quality as Q
-from ..operators import quota as QU
 from ..operators import service as S
-from ..session import ensure_checkpoint_dir, ship_python_code
+from ..session import ensure_checkpoint_dir
 from ..sources import tables
 
-ship_python_code()
-
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -160,73 +153,30 @@ def rate_stream(log: DataFrame, limit: int = S.SEARCH_LIMIT_PER_MINUTE, delay: s
                     (F.col("n") > limit).alias("over_limit"))
 
 
-QUOTA_STATE = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("last_t", T.DoubleType())])
-QUOTA_OUT = T.StructType([T.StructField("key", T.StringType()), T.StructField("request_id", T.LongType()),
-                          T.StructField("admitted", T.BooleanType()), T.StructField("tokens", T.DoubleType())])
-
-
-def quota_stream(log: DataFrame, key: str = "engine",
-                 requests_per_minute: int = QU.SEARCH_REQUESTS_PER_MINUTE) -> DataFrame:
-    """STR1: per-key token bucket kept in the state store; each micro-batch is
-    replayed in (time, id) order from the stored (tokens, last time)."""
-    capacity, rate = float(requests_per_minute), requests_per_minute / 60.0
-
-    def step(k, batches, state):
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "request_id"], kind="mergesort")
-        tokens, last_t = state.get if state.exists else (None, None)
-        adm, after, tokens, last_t = QU.replay_bucket(pdf["t"].to_numpy(np.float64), capacity, rate, tokens, last_t)
-        state.update((float(tokens), float(last_t)))
-        yield pd.DataFrame({"key": k[0], "request_id": pdf["request_id"].to_numpy(),
-                            "admitted": adm, "tokens": after})
-
-    ev = log.select(F.col(key).cast("string").alias("key"), "request_id", QU.epoch_seconds("ts").alias("t"))
-    return (ev.groupBy("key").applyInPandasWithState(step, QUOTA_OUT, QUOTA_STATE, "append",
-                                                     GroupStateTimeout.NoTimeout)
-            .withColumn("tokens", F.round("tokens", 6)))
-
-
-HEALTH_STATE = T.StructType([T.StructField(n, T.DoubleType()) for n in
-                             ("failures", "successes", "working", "response_time", "version")])
-HEALTH_OUT = T.StructType([T.StructField("proxy", T.StringType()), T.StructField("failures", T.LongType()),
-                           T.StructField("successes", T.LongType()), T.StructField("is_working", T.BooleanType()),
-                           T.StructField("response_time", T.DoubleType()), T.StructField("as_of", T.DoubleType())])
-
-
-def health_stream(log: DataFrame, key: str = "proxy") -> DataFrame:
-    """STR2: the source-health state machine per key in the state store; every
-    micro-batch appends the updated record of each key it saw (``as_of`` counts the
-    key's updates, so late rows are never older than what they follow); the current
-    health is the record of the last update per key."""
-    def step(k, batches, state):
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "request_id"], kind="mergesort")
-        f, s, working, rt, version = state.get if state.exists else (0.0, 0.0, 1.0, 0.0, 0.0)
-        for ok, r in zip(pdf["success"].to_numpy(), pdf["response_time"].to_numpy()):
-            if ok:
-                s += 1
-                f = max(0.0, f - 1)
-                working = 1.0
-                if r > 0:
-                    rt = float(r)
-            else:
-                f += 1
-                if f >= S.MAX_FAILURES:
-                    working = 0.0
-        version += 1
-        state.update((f, s, working, rt, version))
-        yield pd.DataFrame({"proxy": [k[0]], "failures": [int(f)], "successes": [int(s)],
-                            "is_working": [bool(working)], "response_time": [rt],
-                            "as_of": [version]})
-
-    ev = log.select(F.col(key).alias("proxy"), "request_id", "success", "response_time",
-                    QU.epoch_seconds("ts").alias("t"))
-    out = ev.groupBy("proxy").applyInPandasWithState(step, HEALTH_OUT, HEALTH_STATE, "append",
-                                                     GroupStateTimeout.NoTimeout)
-    return out.withColumn("score", F.round(Q.quality_score(F.col("successes"), F.col("failures"),
-                                                           F.col("response_time")), 6))
-
-
-def latest_health(records: DataFrame) -> DataFrame:
-    """Current health per key from the appended STR2 records."""
-    cols = ["failures", "successes", "is_working", "response_time", "score"]
-    return (records.groupBy("proxy").agg(F.max_by(F.struct(*cols), "as_of").alias("r"))
-            .select("proxy", *[F.col(f"r.{c}").alias(c) for c in cols]))
+def run_health(log: DataFrame, key: str = "proxy", name: str = "health") -> DataFrame:
+    """STR2 as a stream: every micro-batch is summed up per source by the batch operator
+    and merged into the summaries so far; returns the health after all input.
+
+    The state is a table of one summary per source, written per batch number from the
+    one before, so a batch that is run again after a failure writes the same table. Rows
+    count in the order of batches, and by time inside a batch."""
+    spark = log.sparkSession
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+    schema = S.health_summary(spark.createDataFrame([], log.schema), key).schema
+
+    def state(session, number: int) -> DataFrame:
+        return session.read.schema(schema).parquet(os.path.join(base, f"state-{number}"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        now = S.health_summary(batch, key)
+        if number:
+            now = S.merge_summaries(state(batch.sparkSession, number - 1), now, key)
+        now.write.mode("overwrite").parquet(os.path.join(base, f"state-{number}"))
+
+    query = (log.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(base, "checkpoint"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    progress = query.recentProgress
+    done = [p["batchId"] for p in progress if p["numInputRows"]] if progress else []
+    summary = state(spark, max(done)) if done else spark.createDataFrame([], schema)
+    return S.health_of(summary, key)
