@@ -43,7 +43,8 @@ def test_instant_answer_topics(spark):
     topics.insert(5, {"Name": "group", "Topics": []})
     doc = json.dumps({"Heading": "H", "AbstractURL": "http://abs", "RelatedTopics": topics,
                       "Results": [{"Text": "r", "FirstURL": "http://r"}]})
-    ia = one(spark, PV.instant_answer(F.col("x")), doc)
+    ia = one(spark, PV.instant_answer(F.col("x"), topic_limit=10), doc)
+    assert len(one(spark, PV.instant_answer(F.col("x")), doc)["related_topics"]) > 10  # no limit of its own
     assert ia["heading"] == "H" and ia["abstract_url"] == "http://abs" and ia["answer"] == ""
     assert [t["text"] for t in ia["related_topics"]] == [f"t{i}" for i in range(10)]
     assert ia["results"][0]["url"] == "http://r"

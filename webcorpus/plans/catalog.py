@@ -29,7 +29,7 @@ def register(name: str, oracle: str | None = None, headline: bool = False):
 
 
 QUERY_MODULES = ("q_pages", "q_text", "q_quality", "q_service", "q_federate", "q_links",
-                 "q_search", "q_serp", "q_stateful", "q_records")
+                 "q_search", "q_serp", "q_providers", "q_stateful", "q_records")
 
 
 def load_all() -> None:

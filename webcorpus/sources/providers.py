@@ -23,9 +23,11 @@ LIBRARY_TEXT_SCHEMA = "array<struct<title:string,href:string,link:string,body:st
 INSTANT_SCHEMA = ("struct<Abstract:string,AbstractSource:string,AbstractURL:string,Image:string,Heading:string,"
                   "Answer:string,AnswerType:string,Definition:string,DefinitionSource:string,"
                   "RelatedTopics:array<string>,Results:array<struct<Text:string,FirstURL:string>>>")
-# --- fixed values -----------------------------------------------------------------
-MAX_RELATED_TOPICS = 10
-# ---------------------------------------------------------------------------------
+
+
+def _cut(items: Column, most: int | None) -> Column:
+    """The first ``most`` items; all without a limit."""
+    return items if most is None else F.slice(items, 1, most)
 
 
 def _result(**fields) -> Column:
@@ -51,19 +53,19 @@ def searxng_results(doc: Column, num_results: int | Column) -> Column:
         engine_sources=F.coalesce(i["engines"], F.array().cast("array<string>"))))
 
 
-def brave_results(doc: Column, search_type: str, num_results: int) -> Column:
+def brave_results(doc: Column, search_type: str, num_results: int | None = None) -> Column:
     """SRC5: three layouts. Images and news read ``results``; every other type,
     videos included, reads ``web.results`` (so a videos answer without ``web`` is empty)."""
     d = F.from_json(doc, BRAVE_SCHEMA)
     if search_type == "images":
-        return F.transform(F.slice(F.coalesce(d["results"], F.array()), 1, num_results), lambda i: _result(
+        return F.transform(_cut(F.coalesce(d["results"], F.array()), num_results), lambda i: _result(
             type=F.lit("image"), image_url=_s(i["url"]), thumbnail_url=_s(i["thumbnail"]["src"]),
             title=_s(i["title"]), page_url=_s(i["source"]), source=F.lit("brave")))
     if search_type == "news":
-        return F.transform(F.slice(F.coalesce(d["results"], F.array()), 1, num_results), lambda i: _result(
+        return F.transform(_cut(F.coalesce(d["results"], F.array()), num_results), lambda i: _result(
             type=F.lit("news"), title=_s(i["title"]), url=_s(i["url"]), snippet=_s(i["description"]),
             source=_s(i["meta_url"]["netloc"]), date=_s(i["age"])))
-    return F.transform(F.slice(F.coalesce(d["web"]["results"], F.array()), 1, num_results), lambda i: _result(
+    return F.transform(_cut(F.coalesce(d["web"]["results"], F.array()), num_results), lambda i: _result(
         type=F.lit("web"), title=_s(i["title"]), url=_s(i["url"]), snippet=_s(i["description"]),
         displayed_url=_s(i["meta_url"]["netloc"]), source=F.lit("brave")))
 
@@ -116,9 +118,9 @@ def library_video_results(doc: Column) -> Column:
         source=F.lit("duckduckgo")))
 
 
-def instant_answer(doc: Column) -> Column:
-    """SRC7: nine renamed fields; related topics that are objects with text, first 10;
-    results as (text, url)."""
+def instant_answer(doc: Column, topic_limit: int | None = None) -> Column:
+    """SRC7: nine renamed fields; related topics that are objects with text (the original
+    keeps the first 10); results as (text, url)."""
     d = F.from_json(doc, INSTANT_SCHEMA)
     topics = F.transform(F.coalesce(d["RelatedTopics"], F.array().cast("array<string>")),
                          lambda t: F.from_json(t, "struct<Text:string,FirstURL:string>"))
@@ -130,8 +132,7 @@ def instant_answer(doc: Column) -> Column:
         _s(d["Heading"]).alias("heading"), _s(d["Answer"]).alias("answer"),
         _s(d["AnswerType"]).alias("answer_type"), _s(d["Definition"]).alias("definition"),
         _s(d["DefinitionSource"]).alias("definition_source"),
-        F.slice(F.transform(topics, lambda t: F.struct(_s(t["Text"]).alias("text"), _s(t["FirstURL"]).alias("url"))),
-                1, MAX_RELATED_TOPICS).cast(pair).alias("related_topics"),
+        _cut(F.transform(topics, lambda t: F.struct(_s(t["Text"]).alias("text"), _s(t["FirstURL"]).alias("url"))), topic_limit).cast(pair).alias("related_topics"),
         F.transform(F.coalesce(d["Results"], F.array()), lambda r: F.struct(
             _s(r["Text"]).alias("text"), _s(r["FirstURL"]).alias("url"))).cast(pair).alias("results"),
     ).alias("instant_answer")
@@ -150,24 +151,24 @@ def render_searxng(results) -> "DataFrame":  # noqa: F821
 
 
 # --- image result pages (EXT24) ---------------------------------------------------
-IMAGE_CAP = 50
 IMAGE_URL = r"https?://[^\"']+\.(?:jpg|jpeg|png|gif|webp)"
 BING_IMAGE_META = "struct<murl:string,turl:string,t:string,purl:string>"
 
 
-def google_image_results(raw_html: Column) -> Column:
-    """EXT24 (Google): image URLs inside ``AF_initDataCallback`` scripts (first 50 per
-    script, then those with 'encrypted' or 'gstatic' dropped); without any, the first
-    50 ``img`` tags with an http src not pointing at google and not inline data."""
+def google_image_results(raw_html: Column, limit: int | None = None) -> Column:
+    """EXT24 (Google): image URLs inside ``AF_initDataCallback`` scripts, those with
+    'encrypted' or 'gstatic' dropped; without any, the ``img`` tags with an http src not
+    pointing at google and not inline data. The original cuts each script's URLs and the
+    tags at 50 before it filters: ``limit``."""
     from ..functions.page import attr
     scripts = F.regexp_extract_all(raw_html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), 1)
     found = F.flatten(F.transform(F.filter(scripts, lambda s: s.contains("AF_initDataCallback")),
-                                  lambda s: F.slice(F.regexp_extract_all(s, F.lit(IMAGE_URL), 0), 1, IMAGE_CAP)))
+                                  lambda s: _cut(F.regexp_extract_all(s, F.lit(IMAGE_URL), 0), limit)))
     kept = F.filter(found, lambda u: ~F.lower(u).contains("encrypted") & ~F.lower(u).contains("gstatic"))
     from_scripts = F.transform(kept, lambda u: _result(type=F.lit("image"), image_url=u, thumbnail_url=u,
                                                        title=F.lit(""), page_url=F.lit(""), source=F.lit("google")))
-    tags = F.slice(F.regexp_extract_all(
-        raw_html, F.lit(r"(?is)(<img\b[^>]*\ssrc\s*=\s*[\"']?[^\"'>\s]*http[^>]*>)"), 1), 1, IMAGE_CAP)
+    tags = _cut(F.regexp_extract_all(
+        raw_html, F.lit(r"(?is)(<img\b[^>]*\ssrc\s*=\s*[\"']?[^\"'>\s]*http[^>]*>)"), 1), limit)
     imgs = F.transform(tags, lambda t: F.struct(
         F.coalesce(F.when(F.coalesce(attr(t, "src"), F.lit("")) != "", attr(t, "src")), attr(t, "data-src"),
                    F.lit("")).alias("src"), F.coalesce(attr(t, "alt"), F.lit("")).alias("alt")))
@@ -178,7 +179,7 @@ def google_image_results(raw_html: Column) -> Column:
     return F.when(F.size(from_scripts) > 0, from_scripts).otherwise(from_tags)
 
 
-def bing_image_results(raw_html: Column) -> Column:
+def bing_image_results(raw_html: Column, limit: int | None = None) -> Column:
     """EXT24 (Bing): ``a.iusc`` items in page order; metadata from the JSON in the
     ``m`` attribute (murl, turl, t, purl; invalid JSON skipped), else the inner
     ``img`` (src, alt) with the item's href as page; first 50 results."""
@@ -200,7 +201,7 @@ def bing_image_results(raw_html: Column) -> Column:
             page_url=F.coalesce(attr(start, "href"), F.lit("")), source=F.lit("bing")))
         return F.when(m != "", from_m).otherwise(from_img)
 
-    return F.slice(F.filter(F.transform(items, one), lambda r: r.isNotNull()), 1, IMAGE_CAP)
+    return _cut(F.filter(F.transform(items, one), lambda r: r.isNotNull()), limit)
 
 
 def render_bing_images(results) -> "DataFrame":  # noqa: F821
@@ -258,7 +259,7 @@ def bing_video_results(raw_html: Column) -> Column:
     return F.filter(items, lambda r: r.isNotNull() & (r["title"] != ""))
 
 
-def yahoo_image_results(raw_html: Column) -> Column:
+def yahoo_image_results(raw_html: Column, limit: int | None = None) -> Column:
     """EXT24 (Yahoo): every ``img`` inside ``li.ld`` / ``li[data-pos]`` items; image from
     data-src, else src (empty or 'spacer' images skipped); title from alt; page URL from
     the enclosing link, redirect unwrapped; first 50."""
@@ -283,7 +284,7 @@ def yahoo_image_results(raw_html: Column) -> Column:
             type=F.lit("image"), image_url=src, thumbnail_url=src, title=F.coalesce(attr(z["img"], "alt"), F.lit("")),
             page_url=page, source=F.lit("yahoo")))
 
-    return F.slice(F.filter(F.transform(items, one), lambda r: r.isNotNull()), 1, IMAGE_CAP)
+    return _cut(F.filter(F.transform(items, one), lambda r: r.isNotNull()), limit)
 
 
 def google_video_results(raw_html: Column) -> Column:
