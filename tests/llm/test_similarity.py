@@ -97,3 +97,33 @@ def test_vector_recall_on_the_given_table(spark, sf_dir):
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
     assert all(got[i] <= n for (i, _), n in zip(rows, near))
     assert sum(got.values()) >= 0.9 * near.sum()
+
+
+def test_vector_recall_in_a_dense_group(spark):
+    """Planted partners in a hot group of mutual cosine near 0.8, far larger than a block."""
+    rng, n, planted = np.random.default_rng(1), 9000, 300
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    mean = unit(rng.normal(size=(1, 64)))[0]
+    own = unit((r := rng.normal(size=(n, 64))) - (r @ mean)[:, None] * mean)
+    other = rng.normal(size=(planted, 64))
+    other = unit(other - (other @ mean)[:, None] * mean - (other * own[:planted]).sum(axis=1, keepdims=True) * own[:planted])
+    near = 0.55 * own[:planted] + np.sqrt(1 - 0.55**2) * other
+    v = unit(np.sqrt(0.8) * mean + np.sqrt(0.2) * np.concatenate([own, near]))
+    want = (v @ v.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, [float(t) for t in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(8)
+    got = embedding_dedup.near_duplicates(df, rows=512, block=200).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.95 * want.sum() and want.sum() > 2 * planted
+
+
+def test_linked_rows_of_an_adjacency_matrix():
+    rng = np.random.default_rng(2)
+    near = rng.random((60, 60)) < 0.02
+    near = near | near.T
+    np.fill_diagonal(near, False)
+    a, b = embedding_dedup._linked(near)
+    label = np.arange(60)
+    for _ in range(60):
+        label = np.minimum(label, np.where(near, label[None], 60).min(axis=1))
+    assert {*zip(a, b)} == {(label[i], i) for i in range(60) if label[i] != i}
