@@ -155,3 +155,23 @@ def domain_rollup(pages: DataFrame) -> DataFrame:
                  F.sum("n_par").cast("long").alias("paragraphs"),
                  F.sum("n_words").cast("long").alias("words"),
                  F.sum("n_links").cast("long").alias("links")))
+
+
+def link_targets(pages: DataFrame, precision: int = 12) -> DataFrame:
+    """AGG12, distinct link targets: per registrable domain and, rolled up, per suffix
+    (what follows its first label) the exact number of distinct URLs that its pages link
+    to, a HyperLogLog estimate of it, and the mergeable sketch behind the estimate.
+
+    (domain, URL) pairs are made distinct by a partially aggregated exchange; suffix
+    sketches are unions of domain sketches, so a further roll-up needs no page again. With
+    ``precision`` p the standard error is 1.04 / sqrt(2^p)."""
+    full = P.page_body(F.col("html"), include_boilerplate=True)
+    urls = (pages.select(U.registrable_domain(F.col("url")).alias("domain"), "url", full.alias("full_body"))
+            .select("domain", F.explode(F.transform(P.links(F.col("full_body"), F.col("url")), lambda r: r["url"])).alias("target")).distinct())
+    urls = urls.withColumn("suffix", F.regexp_extract("domain", r"^[^.]*\.(.*)$", 1))
+    domains = urls.groupBy("suffix", "domain").agg(F.count(F.lit(1)).alias("targets"), F.hll_sketch_agg("target", precision).alias("sketch"))
+    exact = urls.select("suffix", "target").distinct().groupBy("suffix").agg(F.count(F.lit(1)).alias("targets"))
+    suffixes = domains.groupBy("suffix").agg(F.hll_union_agg("sketch").alias("sketch")).join(exact, "suffix")
+    rows = domains.select(F.lit("domain").alias("level"), F.col("domain").alias("name"), "targets", "sketch").unionByName(
+        suffixes.select(F.lit("suffix").alias("level"), F.col("suffix").alias("name"), "targets", "sketch"))
+    return rows.withColumn("estimate", F.hll_sketch_estimate("sketch"))

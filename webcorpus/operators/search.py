@@ -96,7 +96,9 @@ def federated_search(corpus: DataFrame, queries: DataFrame, partition_col: str =
     q_src = q.join(sources, "language").withColumn(
         "language", F.concat_ws("\u0000", F.col("language"), F.col("src"))).withColumn(
         "query_id", F.struct(F.col("query_id").alias("qid"), F.col("src").alias("src")))
-    hits = bm25_search(parts, q_src, doc_key="doc_id", lang="_lang_src", max_results=per_source)
+    # the bound is read from the requests alone, not from their join with the corpus's sources
+    most = per_source if per_source is not None else q.agg(F.max("num_results")).first()[0] or 0
+    hits = bm25_search(parts, q_src, doc_key="doc_id", lang="_lang_src", max_results=most)
     # only texts that some query hit are cleaned and hashed
     texts = corpus.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     keyed = (hits.join(texts.select("doc_id", F.sha2(T.clean_text(F.col("text")), 256).alias("content_key")), "doc_id")

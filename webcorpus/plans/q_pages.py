@@ -215,6 +215,19 @@ def domain_rollup(spark, sf_dir):
     return OP.domain_rollup(tables.pages(spark, sf_dir))
 
 
+@register("domain_link_targets", oracle=f"""
+WITH b AS (SELECT url, {D.body('html', True)} AS full_body FROM pages),
+u AS (SELECT DISTINCT {D.registrable_domain('url')} AS domain, unnest(list_transform({_first_by_url(_links_sql('full_body', 'url'))}, lambda r: r.url)) AS target FROM b),
+x AS (SELECT *, regexp_extract(domain, '^[^.]*\\.(.*)$', 1) AS suffix FROM u)
+SELECT 'domain' AS level, domain AS name, count(*) AS targets, true AS estimate_close FROM x GROUP BY domain
+UNION ALL SELECT 'suffix', suffix, count(DISTINCT target), true FROM x GROUP BY suffix""")
+def domain_link_targets(spark, sf_dir):
+    """Exact counts, and whether the estimate is within four standard errors of them."""
+    out = OP.link_targets(tables.pages(spark, sf_dir))
+    close = F.abs(F.col("estimate") - F.col("targets")) <= 4 * 1.04 / 64 * F.col("targets") + 1
+    return out.select("level", "name", "targets", close.alias("estimate_close"))
+
+
 def _contexts_sql(b: str) -> str:
     """EXT6 in DuckDB: the same token fold with list_reduce and an initial state."""
     toks = f"regexp_extract_all({b}, {D.q(P.CONTEXT_TOKENS)}, 0)"
