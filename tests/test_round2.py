@@ -73,7 +73,7 @@ def test_first_seen_once_over_shuffled_files(spark, tmp_path):
         return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
     assert ST.run_to_table(ST.first_seen_stream(stream()), "seen").count() == 150
-    got = ST.latest_health(ST.run_to_table(ST.health_stream(stream()), "health"))
+    got = ST.run_health(stream())
     assert got.agg(F.sum("successes")).first()[0] == log.where("success").count()
 
 
