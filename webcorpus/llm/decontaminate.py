@@ -16,6 +16,11 @@ enough for the join: its rarest shingle by document frequency over the corpus.
 
 Words as in ``common``. Null text has no words. Null item ids are no items but their
 windows still hit. Rows with equal id and text get equal results, one row each.
+
+A text of any length is one row of the pass and read whole; a window with several equally
+rare shingles takes one of them, which changes no result; an empty table of documents gives
+no rows, one of items hits nothing; only the named columns are read, so others may have any
+name.
 """
 
 from __future__ import annotations

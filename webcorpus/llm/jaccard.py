@@ -18,6 +18,10 @@ counted, and a forest of the verified links.
 Words as in ``common``; a text of fewer than ``size`` words has one shingle, all its
 words; a text without words (or null) links with nothing. Shingles are 64-bit values.
 Rows with equal id and text are copies like any other.
+
+A text of any length is read whole. Of a component the row with the least id (then keys) is
+kept. An empty table gives no rows; only the id and the text are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations

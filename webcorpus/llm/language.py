@@ -16,6 +16,9 @@ document is kept if it has letters and its best language has a posterior of at l
 ``least``; a text without letters has a null language. With no declared tag in the
 whole table there is no model: language null, kept if there are letters.
 One row per input row; equal posteriors go to the first language by name.
+
+A text of any length is read whole; repeated rows count as evidence each; an empty table
+gives no rows; only the four named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

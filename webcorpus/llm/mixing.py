@@ -22,6 +22,10 @@ functions only.
 Tokens are white-space separated words. Null or empty texts have no tokens, a posterior
 of the prior and a rate like others. Targets are normalised over the domains that occur;
 without labelled rows every rate is 1. One row per input row.
+
+A text of any length is read whole; rows with equal id and text have equal posteriors, rates
+and copies; an empty table gives no rows; only the named columns are read, so others may
+have any name.
 """
 
 from __future__ import annotations

@@ -13,6 +13,9 @@
 The score depends on the text alone. Null text is empty. A document with several labels
 has their mean; null labels are none. Without labels every score is 0.5. One row per
 input row; a null id is not held out.
+
+A text of any length is read whole; equal texts have equal scores, repeated rows a row each;
+an empty table gives no rows; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -12,6 +12,10 @@ The identifier dictionary holds the words most often seen around sensitive words
 over all documents (whole words of two documents or more, lest it hold the secrets), up to ``dictionary_bytes`` (the bound of what is broadcast).
 
 Places are code points, end exclusive. Null text is empty. One row per input row.
+
+A text of any length is scanned whole (time grows with its length); spans that start at the
+same place are listed in the order of the kinds; repeated rows keep a row each; an empty
+table gives no rows; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -19,6 +19,9 @@ common prefix of ``length`` or more.
 
 Null text is empty; texts under ``length`` bytes lose nothing; equal rows count as
 separate places; the result has a row per input row and no other input columns.
+
+A text of any length is cut into runs; of equal strings none is kept (each is removed
+everywhere); an empty table gives no rows.
 """
 
 from __future__ import annotations

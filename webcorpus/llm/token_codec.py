@@ -19,6 +19,10 @@ digits and ASCII punctuation other than the apostrophe, all of which are borders
 the tokenizer's own split; equal pieces (64-bit hash, at most 64 bytes) are tokenized
 once per worker and looked up after. Texts with ``<|`` go to the tokenizer whole, as
 they may hold its special tokens.
+
+A text of any length is one document, wholly inside one block. An empty table writes an empty
+code book and no blocks, and reads back no rows; only the id and the text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations

@@ -11,6 +11,10 @@ Only DataFrame functions. The join key is salted, as one expression may hold a t
 of all urls; Spark broadcasts the rule side by itself only below its size threshold.
 Null urls and urls without ``://`` have an empty host and path. Equal rows each keep
 their row. A rule listed twice counts once; listed as both, it blocks.
+
+A url of any length has as many expressions as the rules' labels, slashes and lengths allow;
+an empty table gives no rows, an empty rule table the default verdict; only the id and the
+url are read, so other columns may have any name.
 """
 
 from __future__ import annotations
