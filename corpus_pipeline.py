@@ -23,28 +23,49 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the fused evidence settles."""
+    """Documents whose language the fused evidence settles.
+
+    Null and empty texts and texts without letters have no language and go; a text of any
+    length is judged whole; equal posteriors go to the first language by name; repeated rows
+    are judged, and kept or not, alike; an empty table stays empty; all columns of ``docs``
+    are returned whatever their names."""
     return _without(docs, language.identify(docs).where("not kept")).select("row.*")
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; of equal rows, one."""
+    """One document of each group of near copies; of equal rows, one.
+
+    The row with the least id of a group stays (a null id is the least key); texts without
+    words link with nothing and stay, of equal ones one; texts of any length are compared
+    whole; an empty table stays empty; all columns are returned whatever their names."""
     own = _without(docs, jaccard.near_duplicates(docs).where("not kept"))
     return own.dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark's windows do not contaminate."""
+    """Documents that the benchmark's windows do not contaminate.
+
+    Null and empty texts have no words and stay; texts of any length are searched whole;
+    repeated rows are judged alike; an empty table, or an empty benchmark, drops nothing;
+    all columns are returned whatever their names."""
     return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated")).select("row.*")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate asks (none, once or several times)."""
+    """Documents as often as their fitted rate asks (none, once or several times).
+
+    Null and empty texts have the prior's rate; rows with equal id and text get the same
+    number of copies; texts of any length are read whole; an empty table stays empty, without
+    labelled rows every document stays once; all columns are returned whatever their names."""
     return mixing.resample(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 def token_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mixed documents, read back: a row per document."""
+    """Token files of the mixed documents, read back: a row per document.
+
+    Null and empty texts have the end id alone; documents stand in ascending id order, null
+    ids first, equal ids by a hash of the text, repeated rows as documents of their own; a
+    text of any length is one document; an empty table gives no rows."""
     return token_codec.read_files(spark, token_codec.write_files(docs, tokenizer_path()), digest=True)
 
 
