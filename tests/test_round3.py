@@ -70,3 +70,13 @@ def test_scores_do_not_depend_on_blocks(spark, monkeypatch, size):
     assert [r for r in rows if r[0] == 1] == [(1, 1, 3), (1, 2, 0), (1, 3, 6), (1, 4, 1)]
     assert len([r for r in rows if r[0] == 2]) == 9 and [r for r in rows if r[0] > 2] == [(5, 1, 21)]
     assert "CoGroup" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_that_repeat_across_languages_have_one_score(spark):
+    docs = [(1, "red", "en"), (1, "red", "de"), (2, "red", "en"), (3, "blue", "en"), (4, "blue", "de")]
+    asked = [(1, "red", "en", 1), (1, "red", "de", 1), (2, "red", "en", 5)]
+    got = SE.bm25_search(spark.createDataFrame(docs, "doc_id long, text string, lang string"),
+                         spark.createDataFrame(asked, "query_id long, query string, language string, num_results int")).collect()
+    rows = sorted(tuple(r) for r in got)
+    assert [r[:3] for r in rows] == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (2, 2, 2)]
+    assert rows[0][3] > rows[2][3] == rows[3][3] > 0

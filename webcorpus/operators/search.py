@@ -108,14 +108,16 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, doc_key: str = "doc_id",
     weighted = (postings.join(df_t, ["lang", "term"]).join(stats, "lang")
                 .select("lang", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc", "term",
                         (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))).alias("w")))
-    # each query goes to the blocks of its language
-    wishes = queries.groupBy("query_id").agg(F.coalesce(F.max("num_results"), F.lit(0)).cast("int").alias("n"))
+    # each query goes to the blocks of its language; a query id that asks in several languages is
+    # not cut in them, since a document id that occurs in several has the sum of its scores
+    wishes = queries.groupBy("query_id").agg(F.when(F.count_distinct("language") > 1, F.lit(2**31 - 1))
+                                             .otherwise(F.coalesce(F.max("num_results"), F.lit(0))).cast("int").alias("n"))
     asked = (q_terms.groupBy("query_id", "lang").agg(F.collect_list("term").alias("terms")).join(wishes, "query_id").join(stats, "lang")
              .select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "n", "terms"))
     kind = ST.StructType([ST.StructField("query_id", queries.schema["query_id"].dataType), ST.StructField("doc", corpus.schema[doc_key].dataType),
                           ST.StructField("score", ST.DoubleType())])
     scores = (asked.groupBy("lang", "block").cogroup(weighted.groupBy("lang", "block")).applyInArrow(_best_of_block, kind)
-              .withColumn("score", F.round("score", 6)))
+              .groupBy("query_id", "doc").agg(F.round(F.sum("score"), 6).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc"))
     if max_results is None:
         max_results = queries.agg(F.max("num_results")).first()[0] or 0
